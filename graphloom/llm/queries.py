@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import quality_rules
+from graphloom.llm import quality_rules, token_count, token_output
 from graphloom.llm.shared import tune
 
 
@@ -15,6 +15,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary file lies; the files are never part of the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.score_documents(_read(spark, sf_dir, "documents"))
     return out.select(
@@ -62,8 +69,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM r JOIN h ON r.source IS NOT DISTINCT FROM h.source, p
 """
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = token_output.token_table(_read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return token_output.digest(tokens)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op7_token_counts": op7_token_counts,
+    "op10_token_output": op10_token_output,
 }
 
 ORACLES: dict[str, str] = {
