@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import quality_rules, token_count, token_output
+from graphloom.llm import decontaminate, mixing, quality_rules, token_count, token_output
 from graphloom.llm.shared import tune
 
 
@@ -22,6 +23,37 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, l, array_to_string(w[i:i+l-1], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS l, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, l, i, array_to_string(w[i:i+l-1], ' ') AS g
+  FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM bw) WHERE len(w) >= l)
+), hit AS (
+  SELECT DISTINCT dw.doc_id, dw.i, dw.l FROM dw JOIN (SELECT DISTINCT l, g FROM bw) USING (l, g)
+), n AS (
+  SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM hit) GROUP BY doc_id
+), it AS (
+  SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM dw JOIN bw USING (l, g)) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.score_documents(_read(spark, sf_dir, "documents"))
     return out.select(
@@ -73,17 +105,48 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal shares for all sources;"""
+    out = mixing.replicate(_read(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "row.source", F.round("rate", 6).alias("rate"), F.col("copy").cast("long").alias("copy"), "order_key", "row.text")
+
+
+OP8_SQL = """
+WITH RECURSIVE s AS (
+  SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source
+), r AS (
+  SELECT source, (1.0 / (SELECT count(*) FROM s)) * (SELECT sum(n) FROM s) / n AS rate FROM s
+), p(source, rate, k, term, cum) AS (
+  SELECT source, rate, 0, exp(-rate), exp(-rate) FROM r
+  UNION ALL
+  SELECT source, rate, k + 1, term * rate / (k + 1), cum + term * rate / (k + 1) FROM p WHERE k < rate + 12 * sqrt(rate) + 24
+), u AS (
+  SELECT doc_id, source, text, ('0x' || substr(md5('42:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents
+), n AS (
+  SELECT u.doc_id, u.source, any_value(u.text) AS text, any_value(p.rate) AS rate, count(*) AS n
+  FROM u JOIN p ON u.source = p.source AND p.cum <= u.u GROUP BY u.doc_id, u.source
+)
+SELECT doc_id, source, round(rate, 6) AS rate, copy::BIGINT AS copy,
+       ('0x' || substr(md5('42:order:' || doc_id || ':' || copy), 1, 13))::BIGINT / 4503599627370496.0 AS order_key, text
+FROM (SELECT *, unnest(range(0, n)) AS copy FROM n)
+"""
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = token_output.token_table(_read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
     return token_output.digest(tokens)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_quality_rules": op2_quality_rules,
     "op7_token_counts": op7_token_counts,
+    "op8_mixing": op8_mixing,
     "op10_token_output": op10_token_output,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_decontaminate": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
+    "op8_mixing": OP8_SQL,
 }
