@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, mixing, quality_rules, token_count, token_output
+from graphloom.llm import decontaminate, jaccard_join, mixing, quality_rules, token_count, token_output
 from graphloom.llm.shared import tune
 
 
@@ -132,6 +132,36 @@ FROM (SELECT *, unnest(range(0, n)) AS copy FROM n)
 """
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.join_documents(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", "class_size", "n_links")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i+l-1], ' ') AS g
+  FROM (SELECT doc_id, w, least(5, len(w)) AS l, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), rare AS (
+  SELECT g FROM g GROUP BY g HAVING count(*) > 1
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+  FROM (SELECT * FROM g SEMI JOIN rare USING (g)) a JOIN (SELECT * FROM g SEMI JOIN rare USING (g)) b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+), link AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * k >= 4 * (x.n + y.n - k)
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), c AS (
+  SELECT a AS doc_id, min(b) AS class_id, count(*)::BIGINT AS class_size FROM reach GROUP BY a
+)
+SELECT c.doc_id, class_id, class_size, (SELECT count(*) FROM link WHERE link.a = c.doc_id)::BIGINT AS n_links FROM c
+"""
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = token_output.token_table(_read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
     return token_output.digest(tokens)
@@ -142,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_token_output": op10_token_output,
 }
 
@@ -149,4 +180,5 @@ ORACLES: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
     "op8_mixing": OP8_SQL,
+    "op9_jaccard_join": OP9_SQL,
 }
