@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, jaccard_join, mixing, quality_rules, secret_scan, substring_dedup, token_count, token_output
+from graphloom.llm import decontaminate, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_count, token_output
 from graphloom.llm.shared import tune
 
 
@@ -45,6 +45,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(_read(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality_classifier.score_documents(docs, quality_classifier.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def tokenizer_file(name: str) -> str:
     """Where a public vocabulary file lies; the files are never part of the repository."""
     import public_tokenizers
@@ -201,6 +206,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
     "op9_jaccard_join": op9_jaccard_join,
