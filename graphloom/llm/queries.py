@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_count, token_output
+from graphloom.llm import decontaminate, html_extract, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_count, token_output
 from graphloom.llm.shared import tune
 
 
@@ -50,6 +50,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(docs, quality_classifier.train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_read(spark, sf_dir, "pages"))
+
+
 def tokenizer_file(name: str) -> str:
     """Where a public vocabulary file lies; the files are never part of the repository."""
     import public_tokenizers
@@ -205,6 +209,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_html_extract": op4_html_extract,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_token_counts": op7_token_counts,
