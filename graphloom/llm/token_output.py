@@ -14,6 +14,7 @@ table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,8 +38,12 @@ OPTIONS = {
 }
 SCHEMA = "doc_id long, ordinal long, n_tokens long, ids array<int>"
 
-#: Encoded chunks that a worker keeps, and the length of the longest.
-CACHE_CHUNKS, CACHE_CHARS = 400_000, 48
+#: Encoded chunks, and parts of chunks, that a worker keeps, and the length of the longest.
+CACHE_CHUNKS, CACHE_CHARS = 600_000, 48
+#: A run of Latin letters, then ASCII punctuation without the apostrophe: the pre-tokenizer cuts such a chunk between the two.
+LETTERS_THEN_MARKS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+#: Parts sent to the tokenizer as one text.
+JOINED = 256
 
 _encoders: dict[str, "ChunkEncoder"] = {}
 
@@ -47,7 +52,9 @@ class ChunkEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk between spaces once.
 
     The vocabulary's pre-tokenizer drops white space and its normaliser works on
-    characters within a word, so a text's ids are those of its chunks in order.
+    characters within a word, so a text's ids are those of its chunks in order.  A chunk of
+    letters and closing marks is two parts, and case is folded, so parts repeat more than chunks;
+    new parts go to the tokenizer many to a text, whose ids are cut after each end-of-word id.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,27 +62,56 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.chunks: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.chunks
-        new = list({c for chunks in split for c in chunks if c not in known})
-        own = known if len(known) + len(new) <= CACHE_CHUNKS else {"": b""}
-        if own is not known:
-            new = list({c for chunks in split for c in chunks})
-            self.chunks = own
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                own[c] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(own.__getitem__, chunks)) for chunks in split]
+        new = {c for chunks in split for c in chunks if c not in self.chunks}
+        if len(self.chunks) + len(new) > CACHE_CHUNKS:
+            self.chunks = {"": b""}
+            new = {c for chunks in split for c in chunks if c}
+        self._encode_new(new)
+        out = [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
         for c in new:
             if len(c) > CACHE_CHARS:
-                del own[c]
+                del self.chunks[c]
         return out
 
+    def _encode_new(self, new: set[str]) -> None:
+        cut, whole = [], []
+        for c in new:
+            found = LETTERS_THEN_MARKS.fullmatch(c)
+            if found and len(c) <= CACHE_CHARS:
+                cut.append((c, found[1].lower(), found[2]))
+            else:
+                whole.append(c)
+        parts = self._encode_parts({p for _, *both in cut for p in both})
+        for c, letters, marks in cut:
+            self.chunks[c] = parts[letters] + parts[marks]
+        for i in range(0, len(whole), JOINED):
+            texts = whole[i : i + JOINED]
+            for c, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                self.chunks[c] = np.array(e.ids, "<u4").tobytes()
+
+    def _encode_parts(self, wanted: set[str]) -> dict[str, bytes]:
+        if len(self.parts) + len(wanted) > CACHE_CHUNKS:
+            self.parts = {"": b""}
+        new = [p for p in wanted if p not in self.parts]
+        for i in range(0, len(new), JOINED):
+            words = new[i : i + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != len(words):
+                raise ValueError("the vocabulary does not end every word with an end-of-word id")
+            for word, start, end in zip(words, [0, *last[:-1]], last, strict=True):
+                self.parts[word] = ids[start:end].tobytes()
+        return self.parts
+
 
 def encoder(path: str) -> ChunkEncoder:
     """One encoder per worker and vocabulary, kept between tasks."""
