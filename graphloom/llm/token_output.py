@@ -29,7 +29,7 @@ from graphloom.llm.shared import input_partitions, new_path, row_key
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 OPTIONS = {
-    "compression": "zstd",
+    "compression": "snappy",
     "parquet.block.size": str(ROW_GROUP_BYTES),
     "parquet.page.size": str(PAGE_BYTES),
     "parquet.writer.version": "PARQUET_2_0",
@@ -38,12 +38,13 @@ OPTIONS = {
 }
 SCHEMA = "doc_id long, ordinal long, n_tokens long, ids array<int>"
 
-#: Encoded chunks, and parts of chunks, that a worker keeps, and the length of the longest.
-CACHE_CHUNKS, CACHE_CHARS = 600_000, 48
-#: A run of Latin letters, then ASCII punctuation without the apostrophe: the pre-tokenizer cuts such a chunk between the two.
-LETTERS_THEN_MARKS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+#: Encoded chunks and parts of chunks that a worker keeps, and the length of the longest.
+CACHE_CHUNKS, CACHE_CHARS = 1_000_000, 48
+#: A chunk of Latin letters and then these marks (ASCII without the apostrophe) is cut between the two by the pre-tokenizer.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LATIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 #: Parts sent to the tokenizer as one text.
-JOINED = 256
+JOINED = 1024
 
 _encoders: dict[str, "ChunkEncoder"] = {}
 
@@ -65,52 +66,55 @@ class ChunkEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {"": b""}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = {c for chunks in split for c in chunks if c not in self.chunks}
-        if len(self.chunks) + len(new) > CACHE_CHUNKS:
-            self.chunks = {"": b""}
-            new = {c for chunks in split for c in chunks if c}
+        distinct = set().union(*split)
+        new = distinct.difference(self.known)
+        if len(self.known) + len(new) > CACHE_CHUNKS:
+            self.known = {"": b""}
+            new = distinct - {""}
         self._encode_new(new)
-        out = [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
+        ids = self.known.__getitem__
+        out = [b"".join(map(ids, chunks)) for chunks in split]
         for c in new:
             if len(c) > CACHE_CHARS:
-                del self.chunks[c]
+                del self.known[c]
         return out
 
     def _encode_new(self, new: set[str]) -> None:
-        cut, whole = [], []
+        parts, cut, whole = set(), [], []
         for c in new:
-            found = LETTERS_THEN_MARKS.fullmatch(c)
-            if found and len(c) <= CACHE_CHARS:
-                cut.append((c, found[1].lower(), found[2]))
-            else:
+            letters = c.rstrip(MARKS)
+            if len(c) > CACHE_CHARS or not letters.isalpha() or not (letters.isascii() or LATIN.fullmatch(letters)):
                 whole.append(c)
-        parts = self._encode_parts({p for _, *both in cut for p in both})
-        for c, letters, marks in cut:
-            self.chunks[c] = parts[letters] + parts[marks]
-        for i in range(0, len(whole), JOINED):
-            texts = whole[i : i + JOINED]
-            for c, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                self.chunks[c] = np.array(e.ids, "<u4").tobytes()
-
-    def _encode_parts(self, wanted: set[str]) -> dict[str, bytes]:
-        if len(self.parts) + len(wanted) > CACHE_CHUNKS:
-            self.parts = {"": b""}
-        new = [p for p in wanted if p not in self.parts]
-        for i in range(0, len(new), JOINED):
-            words = new[i : i + JOINED]
+            elif letters == c and c.islower():
+                parts.add(c)
+            else:
+                low, marks = letters.lower(), c[len(letters) :]
+                cut.append((c, low, marks))
+                parts.add(low)
+                parts.add(marks)
+        known = self.known
+        fresh = list(parts.difference(known))
+        for i in range(0, len(fresh), JOINED):
+            words = fresh[i : i + JOINED]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
+            last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(last) != len(words):
                 raise ValueError("the vocabulary does not end every word with an end-of-word id")
-            for word, start, end in zip(words, [0, *last[:-1]], last, strict=True):
-                self.parts[word] = ids[start:end].tobytes()
-        return self.parts
+            data, start = ids.tobytes(), 0
+            for word, end in zip(words, last, strict=True):
+                known[word] = data[4 * start : 4 * end]
+                start = end
+        for c, low, marks in cut:
+            known[c] = known[low] + known[marks]
+        for i in range(0, len(whole), JOINED):
+            texts = whole[i : i + JOINED]
+            for c, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                known[c] = np.array(e.ids, "<u4").tobytes()
 
 
 def encoder(path: str) -> ChunkEncoder:
