@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,14 @@ BROADCAST_ROWS = 200_000
 
 
 def tune(spark: SparkSession) -> None:
-    """Session settings the operators rely on: UTC, and small Arrow batches so that long texts fit a Python worker."""
+    """Session settings the operators rely on: UTC, and small Arrow batches so that long texts fit a Python worker.
+
+    Python workers find this package where the driver did, if it is not installed for them.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
