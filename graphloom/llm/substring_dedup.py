@@ -184,12 +184,14 @@ def dedup_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return _send(batches, hashed, True)
 
     shared = _meet(texts.mapInArrow(anchors, _ROWS), parts, True)
-    extended = texts.where(~F.col("is_copy")).join(_by_document(shared, "shared").hint("shuffle_hash"), F.col("doc_id") == F.col("_to")).select("doc_id", "text", "shared")
+    # a left join: an inner one would ask the scan for non-null ids, and the texts would be dealt out a second time
+    extended = texts.join(_by_document(shared, "shared").hint("shuffle_hash"), F.col("doc_id") == F.col("_to"), "left").select("doc_id", "text", "shared")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def hashed(batch: pa.RecordBatch):
-            for i, (d, t) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
-                words = hash_words(split_words(t))
+            for i in np.flatnonzero(batch.column("shared").is_valid().to_numpy(zero_copy_only=False)).tolist():
+                d = batch.column("doc_id")[i].as_py()
+                words = hash_words(split_words(batch.column("text")[i].as_py()))
                 high, low = _windows(words)
                 if not len(high):
                     continue
