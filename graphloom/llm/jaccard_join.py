@@ -211,13 +211,13 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class, its columns unchanged: the one with the least id (then the least hash of id and text).
+    """One row of each class, its columns unchanged: the one with the least id (null comes last; then the least hash of id and text).
 
     What goes is broadcast up to a checked number of rows and otherwise shuffled.
     """
     found = table(join_documents(docs, doc_id, text), "jaccard-classes")
     large = found.where("class_size > 1")
-    keepers = large.groupBy("root").agg(F.min(F.struct("doc_id", "key", "rid")).alias("keep"))
+    keepers = large.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "rid")).alias("keep"))
     rest = large.join(keepers, "root").where("rid != keep.rid")
     same = (F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))) & (F.col("key") == F.col("keep.key"))
     gone = rest.where(~same).select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct()

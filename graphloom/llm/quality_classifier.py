@@ -200,6 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     bounded = found.select("_id", "label", "text").mapInArrow(extract, "id long, label int, columns binary").limit(rows).coalesce(1)
     fitted = bounded.mapInArrow(fit, "weights binary, bias double, slope double, shift double").first()
+    if fitted is None:
+        return fit_model([], np.empty(0, "i8"))
     return Model(np.frombuffer(fitted["weights"], "f4"), fitted["bias"], fitted["slope"], fitted["shift"])
 
 
