@@ -128,6 +128,10 @@ def first_record(triples: DataFrame, spec: RecordSpec) -> DataFrame:
     return records.orderBy(spec.subject).limit(1)
 
 
+def _said(predicate: str, objects: Column) -> Column:
+    return F.transform(objects, lambda o: F.struct(F.lit(predicate).alias("p"), o.alias("o")))
+
+
 def encode(records: DataFrame, spec: RecordSpec, type_predicate: str = "a") -> DataFrame:
     """The set of triples of the records: types, single values, and each member of a set."""
     pairs = [F.array(F.struct(F.lit(type_predicate).alias("p"), F.lit(spec.cls).alias("o")))]
@@ -144,7 +148,7 @@ def encode(records: DataFrame, spec: RecordSpec, type_predicate: str = "a") -> D
         else:
             value = F.array(F.col(f.name).cast("string"))
         value = F.coalesce(value, F.array().cast("array<string>"))
-        pairs.append(F.transform(value, lambda o, p=f.predicate: F.struct(F.lit(p).alias("p"), o.alias("o"))))
+        pairs.append(_said(f.predicate, value))
     out = records.select(F.col(spec.subject).cast("string").alias("s"), F.explode(F.flatten(F.array(*pairs))).alias("t"))
     return out.select("s", "t.p", "t.o").where("s is not null and o is not null").distinct()
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from graphloom.functions.scalar import classify_prefix, floor_bin, seconds_since
 
 # The forms of log lines.
-_head = r"^\[(?<node>[^\]]*)\]\[(?<ts>[^\]]+?)(?: UTC)?\]\s*"
 BYTES_LINE = r"(?i)^\[[^\]]*\]\[([^\]]+?)(?: UTC)?\].*\[peer=([0-9.]+):\d+\]\s*(sent|received) bytes:\s*(\d+)"
 LATENCY_LINE = r"(?i)^\[[^\]]*\]\[([^\]]+?)(?: UTC)?\].*\[peer=([0-9.]+):\d+\]\s*latency \(s\):\s*([0-9.eE+-]+)"
 ACCURACY_LINE = r"(?i)^\[[^\]]*\]\[([^\]]+?)(?: UTC)?\].*round #(\d+) global accuracy:\s*([0-9.eE+-]+)"
@@ -66,7 +65,7 @@ def bin_rate(df: DataFrame, at: str, amount: str, width: float, by: list[str], u
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """actual, predicted, prob and n, the run's size from the file's name."""
     rows = spark.read.option("header", "true").schema("actual string, predicted string, prob double").csv(path)
-    return rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)[^/]*\.csv", 1).try_cast("int").alias("n"))
+    return rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)[^\d/]*\.csv$", 1).try_cast("int").alias("n"))
 
 
 def write_predictions(df: DataFrame, path: str) -> None:

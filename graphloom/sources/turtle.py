@@ -72,7 +72,8 @@ class _Scanner:
             if word in ("prefix", "base") and kind in ("lang", "name"):
                 self.take()
                 if word == "prefix":
-                    self.prefixes[self.take()[1].rstrip(":")] = self.iri(self.take()[1])
+                    prefix = self.take()[1].removesuffix(":")
+                    self.prefixes[prefix] = self.iri(self.take()[1])
                 else:
                     self.base = self.iri(self.take()[1])
                 if value.startswith("@"):
@@ -160,7 +161,7 @@ def read_turtle(spark: SparkSession, path: str, mode: str = "FAILFAST", pattern:
     FAILFAST raises at the first file with a fault; PERMISSIVE keeps the other files and gives the fault
     in a row with ``error``.
     """
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
