@@ -80,16 +80,13 @@ def _resolve(high: np.ndarray, low: np.ndarray, doc: np.ndarray, tell_first: boo
     told = ~start
     if tell_first:
         told |= np.r_[~start[1:], False][: len(start)] & start
-    # an answer's hash travels in its own columns: route spreads it by document, so it needs no task of its own
-    ask = pa.RecordBatch.from_arrays(
-        [pa.array(high[start].view("i8")), pa.array(np.full(start.sum(), ASK, "i4")), pa.array(low[start].view("i4")), pa.array(doc[start])],
-        ["route", "kind", "low", "doc_id"],
-    )
-    tell = pa.RecordBatch.from_arrays(
-        [pa.array(high[told].view("i8")), pa.array(np.full(told.sum(), TELL, "i4")), pa.array(low[told].view("i4")), pa.array(doc[told])],
-        ["route", "kind", "low", "doc_id"],
-    )
-    return pa.concat_batches([ask, tell])
+    def rows(chosen: np.ndarray, kind: int) -> pa.RecordBatch:
+        own = np.flatnonzero(chosen)
+        own = own[np.argsort(doc[own], kind="stable")]  # a document's rows stand together, so its id compresses away
+        columns = (high[own].view("i8"), np.full(len(own), kind, "i4"), low[own].view("i4"), doc[own])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["route", "kind", "low", "doc_id"])
+
+    return pa.concat_batches([rows(start, ASK), rows(told, TELL)])
 
 
 def _meet(rows: DataFrame, partitions: int, tell_first: bool) -> DataFrame:
