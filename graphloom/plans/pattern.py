@@ -139,6 +139,15 @@ class Solutions:
         for row in self.df.toLocalIterator():
             yield cls(**{k: v for k, v in row.asDict().items() if v is not None})
 
+    def to_json(self) -> DataFrame:
+        """One JSON text a solution, in the column ``value``; unbound variables are left out."""
+        return self.df.select(F.to_json(F.struct(*self.variables)).alias("value"))
+
+    @staticmethod
+    def from_json(lines: DataFrame, schema: str) -> Solutions:
+        """The solutions that to_json wrote, with variables and types by schema."""
+        return Solutions(lines.select(F.from_json("value", schema).alias("v")).select("v.*"))
+
     def tuples(self) -> Iterable[tuple[Any, ...]]:
         """The solutions by position; an unbound variable is an error.  For small results."""
         for row in self.df.toLocalIterator():

@@ -10,7 +10,7 @@ from graphloom.functions.terms import Name, PrefixMap, compact_space, file_stem,
 from graphloom.operators import infer, joins, update
 from graphloom.operators.closure import path_closure
 from graphloom.operators.records import Field, RecordSpec, decode, decode_all, decode_containers, decode_lists, encode, first_record, lookup, subject_hash
-from graphloom.plans.pattern import MappedGraph, Pattern, TripleGraph, bgp, path, values
+from graphloom.plans.pattern import MappedGraph, Pattern, Solutions, TripleGraph, bgp, path, values
 from graphloom.plans.storage import new_path
 from graphloom.sources.mapping import mapped_graph
 from graphloom.sources.turtle import format_triples, read_turtle, scan_text, write_turtle
@@ -117,6 +117,12 @@ def test_rows_and_tuples(spark):
         list(found.optional(bgp(g, ("?s", "none", "?z"))).tuples())
 
 
+def test_json_solutions(spark):
+    found = bgp(TripleGraph(triples(spark, [("a", "t", "1"), ("b", "t", "2")])), ("?s", "t", "?t"))
+    back = Solutions.from_json(found.to_json(), "s string, t int")
+    assert {tuple(r) for r in back.df.collect()} == {("a", 1), ("b", 2)}
+
+
 def test_star_is_one_scan(spark, sf_dir):
     g = mapped_graph(spark, sf_dir, "orders")
     found = bgp(g, ("?o", "orders.o_orderstatus", "F"), ("?o", "orders.o_totalprice", "?p"))
@@ -288,7 +294,9 @@ def test_store_versions_and_updates(spark):
     assert store.require_classes(["C1"]).count() == 2
     with pytest.raises(NotFound):
         store.require_classes(["C9"])
-    store.snapshot(f"{store.path}-copy")
+    store.execute("snapshot", f"{store.path}-copy")
+    with pytest.raises(QueryError):
+        store.execute("drop")
     assert spark.read.parquet(f"{store.path}-copy").count() == 5
 
 
