@@ -80,7 +80,9 @@ def replicate(
     )
     copies = drawn.where(F.col("n") > 0).select("row", "_id", "rate", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
     keyed = copies.select("row", "rate", "copy", uniform(seed, F.lit("order"), F.col("_id"), F.col("copy")).alias("order_key"))
-    return keyed.repartitionByRange(input_partitions(docs), "order_key").sortWithinPartitions("order_key")
+    # the keys are uniform, so ranges of equal width are even and need no sampling pass
+    n = input_partitions(docs)
+    return keyed.repartitionById(n, F.floor(F.col("order_key") * n).cast("int")).sortWithinPartitions("order_key")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights: Mapping[str, float] | None = None, seed: int = SEED) -> DataFrame:

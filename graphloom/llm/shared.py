@@ -24,6 +24,7 @@ def tune(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,3 +60,33 @@ def row_key(doc_id: str, text: str) -> Column:
 def input_partitions(df: DataFrame, least: int = 1) -> int:
     """A number of partitions for a shuffle that carries whole rows of df: the session's, which the deployment sizes to its data."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def in_ranges(df: DataFrame, key: str, tie: str, partitions: int) -> DataFrame:
+    """df dealt into ascending ranges of key (nulls first) and, among equal keys, of the hash tie; sorted within.
+
+    The bounds come from quantiles of key, for which the scan reads that column alone; a range
+    partitioning by Spark would sample whole rows and so compute all of df twice.  A key that is
+    several bounds at once is spread over their partitions by its ties.
+    """
+    at = [i / partitions for i in range(1, partitions)]
+    found = df.agg(F.percentile_approx(key, at, max(10_000, 20 * partitions)).alias("b")).first()["b"] if at else []
+    bounds = list(found or [])
+    step = max(1, int(len(bounds) ** 0.5))
+    coarse = F.lit(bounds[step - 1 :: step]) if bounds else F.array().cast("array<bigint>")
+    fine = F.lit(bounds) if bounds else F.array().cast("array<bigint>")
+
+    def below(inclusive: bool) -> Column:
+        """How many bounds lie below key (or at it): whole steps first, then within one step."""
+
+        def under(b: Column) -> Column:
+            return (b <= F.col(key)) if inclusive else (b < F.col(key))
+
+        steps = F.size(F.filter(coarse, under))
+        return steps * step + F.size(F.filter(F.slice(fine, steps * step + 1, F.lit(step)), under))
+
+    ranged = df.withColumn("_low", below(False)).withColumn("_high", below(True))
+    share = (F.col(tie).cast("double") + 2.0**63) / 2.0**64
+    part = F.col("_low") + F.least(F.floor(share * (F.col("_high") - F.col("_low") + 1)), F.col("_high") - F.col("_low"))
+    dealt = ranged.repartitionById(partitions, F.coalesce(part, F.lit(0)).cast("int"))
+    return dealt.drop("_low", "_high").sortWithinPartitions(key, tie)
