@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import input_partitions, new_path, row_key
+from graphloom.llm.shared import in_ranges, input_partitions, new_path, row_key
 
 #: Parquet settings of the files.
 ROW_GROUP_BYTES = 16 << 20
@@ -68,35 +69,50 @@ class ChunkEncoder:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        distinct = set().union(*split)
-        new = distinct.difference(self.known)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, ids): the number of ids of each text, and all ids one after the other."""
+        plain = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        chunks = pc.split_pattern(plain, " ")
+        coded = chunks.values.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, distinct))
+        new = [i for i, ids in enumerate(found) if ids is None]
         if len(self.known) + len(new) > CACHE_CHUNKS:
             self.known = {"": b""}
-            new = distinct - {""}
-        self._encode_new(new)
-        ids = self.known.__getitem__
-        out = [b"".join(map(ids, chunks)) for chunks in split]
-        for c in new:
-            if len(c) > CACHE_CHARS:
-                del self.known[c]
-        return out
+        self._encode_new([distinct[i] for i in new])
+        for i in new:
+            found[i] = self.known[distinct[i]]
+            if len(distinct[i]) > CACHE_CHARS:
+                del self.known[distinct[i]]
+        pool = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), "i8", len(found)) // 4
+        at = coded.indices.to_numpy()
+        first = np.cumsum(sizes) - sizes
+        own = sizes[at]
+        ends = np.cumsum(own)
+        # each chunk's ids are a run of the pool: its first place, then one by one
+        ids = pool[np.repeat(first[at] - (ends - own), own) + np.arange(own.sum())]
+        bounds = np.concatenate([[0], ends])[chunks.offsets.to_numpy()]
+        return np.diff(bounds), ids
 
-    def _encode_new(self, new: set[str]) -> None:
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        counts, ids = self.encode(pa.array(texts, pa.string()))
+        return [part.tobytes() for part in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
+
+    def _encode_new(self, new: list[str]) -> None:
         parts, cut, whole = set(), [], []
         for c in new:
-            letters = c.rstrip(MARKS)
+            letters = c if c.isalpha() else c.rstrip(MARKS)
             if len(c) > CACHE_CHARS or not letters.isalpha() or not (letters.isascii() or LATIN.fullmatch(letters)):
                 whole.append(c)
-            elif letters == c and c.islower():
-                parts.add(c)
-            else:
-                low, marks = letters.lower(), c[len(letters) :]
-                cut.append((c, low, marks))
-                parts.add(low)
+                continue
+            low = letters.lower()
+            parts.add(low)
+            if low != c:
+                marks = c[len(letters) :]
                 parts.add(marks)
+                cut.append((c, low, marks))
         known = self.known
         fresh = list(parts.difference(known))
         for i in range(0, len(fresh), JOINED):
@@ -124,30 +140,22 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 250) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode every text, append end_id, and write the files in ascending document order."""
     thin = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("tie"))
-    ordered = thin.repartitionByRange(input_partitions(docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered = in_ranges(thin, "doc_id", "tie", input_partitions(docs))
     # the partition's number in the upper bits, the row's place in it in the lower 33
     numbered = ordered.select("doc_id", F.monotonically_increasing_id().alias("ordinal"), "text")
-    end = np.array([end_id], "<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_texts = encoder(tokenizer)
+        chunks = encoder(tokenizer)
         for batch in batches:
-            for part in _slices(batch):
-                blobs = [b + end for b in encode_texts(part.column("text").to_pylist())]
-                n = np.array([len(b) // 4 for b in blobs], "int64")
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype("int32")
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), "<u4").astype("int32")))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("ordinal"), pa.array(n), ids], ["doc_id", "ordinal", "n_tokens", "ids"]
-                )
+            counts, ids = chunks.encode(batch.column("text"))
+            ids = np.insert(ids, np.cumsum(counts), end_id).astype("i4")
+            offsets = np.concatenate([[0], np.cumsum(counts + 1)]).astype("i4")
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("ordinal"), pa.array(counts + 1, "int64"), lists], ["doc_id", "ordinal", "n_tokens", "ids"]
+            )
 
     numbered.mapInArrow(encode, SCHEMA).write.options(**OPTIONS).parquet(path)
 
