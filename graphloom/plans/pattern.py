@@ -184,12 +184,29 @@ class TripleGraph:
 
 @dataclass(frozen=True)
 class Mapped:
-    """A table as a class: its name, its frame, the subject's expression, and the names of its predicates."""
+    """A table as a class: its name, its frame, the subject's expression, and the names of its predicates.
+
+    links names the predicates whose values are subjects and the space they belong to; space is that of the
+    table's own subjects, by default its name.
+    """
 
     name: str
     df: DataFrame
     subject: Column
     predicates: Mapping[str, Column] = field(default_factory=dict)
+    links: Mapping[str, str] = field(default_factory=dict)
+    space: str | None = None
+
+    @property
+    def subjects(self) -> str:
+        return self.space or self.name
+
+    def iri(self) -> Column:
+        return F.concat(F.lit(self.subjects + "/"), self.subject.cast("string"))
+
+    def object_text(self, predicate: str) -> Column:
+        text = self.predicates[predicate].cast("string")
+        return F.concat(F.lit(self.links[predicate] + "/"), text) if predicate in self.links else text
 
 
 class MappedGraph:
@@ -240,18 +257,28 @@ class MappedGraph:
     def scan(self, pattern: Pattern) -> Solutions:
         return self.star([pattern])
 
+    def check_spaces(self, patterns: Sequence[Pattern]) -> None:
+        """An error if a variable would have to be a subject of two spaces: their native keys are not comparable."""
+        found: dict[str, str] = {}
+        for p in patterns:
+            t = self._table(p)
+            spaces = [(p.s, t.subjects)] + ([(p.o, t.links[p.p])] if p.p in t.links else [])
+            for term, space in spaces:
+                if is_var(term) and found.setdefault(term, space) != space:
+                    raise QueryError(f"{term} cannot be of {found[term]} and of {space}")
+
     def edges(self, predicate: str) -> DataFrame:
+        """s and o as text, named with their spaces, so that paths do not mix keys of different tables."""
         t = self.owner[predicate]
-        return t.df.select(t.subject.alias("s"), t.predicates[predicate].alias("o")).where("s is not null and o is not null")
+        return t.df.select(t.iri().alias("s"), t.object_text(predicate).alias("o")).where("s is not null and o is not null")
 
     def triples(self, *names: str) -> DataFrame:
         """s, p, o as text of the named classes (all, if none is named); one pass over each table."""
         parts = []
         for t in (self.tables[n] for n in (names or self.tables)):
-            s = F.concat(F.lit(t.name + "/"), t.subject.cast("string"))
             pairs = [F.struct(F.lit(TYPE).alias("p"), F.lit(t.name).alias("o"))]
-            pairs += [F.struct(F.lit(p).alias("p"), c.cast("string").alias("o")) for p, c in t.predicates.items()]
-            parts.append(t.df.select(s.alias("s"), F.explode(F.array(*pairs)).alias("t")).select("s", "t.p", "t.o").where("o is not null"))
+            pairs += [F.struct(F.lit(p).alias("p"), t.object_text(p).alias("o")) for p in t.predicates]
+            parts.append(t.df.select(t.iri().alias("s"), F.explode(F.array(*pairs)).alias("t")).select("s", "t.p", "t.o").where("o is not null"))
         return reduce(DataFrame.unionByName, parts)
 
 
@@ -267,6 +294,8 @@ def bgp(graph: Graph, *patterns: tuple[Any, Any, Any]) -> Solutions:
     stars: dict[Any, list[Pattern]] = {}
     for p in patterns:
         stars.setdefault(p[0], []).append(Pattern(*p))
+    if isinstance(graph, MappedGraph):
+        graph.check_spaces([p for own in stars.values() for p in own])
     todo = [graph.star(own) for own in stars.values()]
     out = todo.pop(0)
     while todo:

@@ -178,12 +178,12 @@ def _hierarchy(spark, sf_dir):
 
 @query(
     "path_plus",
-    "SELECT o_orderkey AS o, c_nationkey AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 3",
+    "SELECT 'nation/' || n_nationkey AS s, 'region/' || n_regionkey AS o FROM nation UNION SELECT 'nation/' || n_nationkey, 'nation/' || n_nationkey FROM nation "
+    "UNION SELECT DISTINCT 'region/' || n_regionkey, 'region/' || n_regionkey FROM nation",
 )
 def path_plus(spark, sf_dir):
-    g = mapped_graph(spark, sf_dir, "orders", "customer")
-    found = bgp(g, ("?o", "orders.o_custkey", "?c"), ("?c", "customer.c_nationkey", "?n")).filter("n < 3")
-    return found.project("o", "n").df
+    """(nation.n_regionkey)*: each nation to its region, and every node to itself."""
+    return path(mapped_graph(spark, sf_dir, "nation"), "?s", ["nation.n_regionkey"], "?o", zero=True).df
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.plans.pattern import Mapped, MappedGraph
 
-#: The key of each table's subjects, and its links: column -> (predicate's name, class it points to).
+#: The key of each table's subjects.
 KEYS = {
     "region": "r_regionkey",
     "nation": "n_nationkey",
@@ -21,6 +21,19 @@ KEYS = {
     "embeddings": "vec_id",
     "pages": "page_id",
 }
+#: Columns that point to another table's subjects.
+LINKS = {
+    "nation.n_regionkey": "region",
+    "customer.c_nationkey": "nation",
+    "supplier.s_nationkey": "nation",
+    "orders.o_custkey": "customer",
+    "lineitem.l_orderkey": "orders",
+    "lineitem.l_partkey": "part",
+    "lineitem.l_suppkey": "supplier",
+    "events.user_id": "customer",
+}
+#: Tables that say more of another table's subjects.
+SPACES = {"labels": "documents"}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +48,8 @@ def mapped_table(spark: SparkSession, sf_dir: str, name: str) -> Mapped:
     """
     df = read_table(spark, sf_dir, name)
     subject = F.col(KEYS[name]) if name in KEYS else F.xxhash64(*df.columns)
-    return Mapped(name, df, subject, {f"{name}.{c}": F.col(c) for c in df.columns})
+    predicates = {f"{name}.{c}": F.col(c) for c in df.columns}
+    return Mapped(name, df, subject, predicates, {p: c for p, c in LINKS.items() if p in predicates}, SPACES.get(name))
 
 
 def mapped_graph(spark: SparkSession, sf_dir: str, *names: str) -> MappedGraph:

@@ -139,6 +139,10 @@ def test_mapped_graph_errors(spark, sf_dir):
         with pytest.raises(QueryError):
             bgp(g, bad)
     assert g.triples().count() == 25 * 4
+    assert ("nation/0", "nation.n_regionkey", "region/0") in {tuple(r) for r in g.triples().where("s = 'nation/0'").collect()}
+    both = mapped_graph(spark, sf_dir, "orders", "supplier")
+    with pytest.raises(QueryError, match="customer"):
+        bgp(both, ("?o", "orders.o_custkey", "?c"), ("?c", "supplier.s_name", "?n"))
 
 
 def test_paths(spark):
