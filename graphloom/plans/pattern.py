@@ -272,13 +272,24 @@ class MappedGraph:
         t = self.owner[predicate]
         return t.df.select(t.iri().alias("s"), t.object_text(predicate).alias("o")).where("s is not null and o is not null")
 
-    def triples(self, *names: str) -> DataFrame:
-        """s, p, o as text of the named classes (all, if none is named); one pass over each table."""
+    def triples(self, *names: str, predicates: Sequence[str] | None = None) -> DataFrame:
+        """s, p, o as text of the named classes (all, if none is named); one pass over each table.
+
+        With predicates only their columns are read.
+        """
         parts = []
+
+        def wanted(p: str) -> bool:
+            return predicates is None or p in predicates
+
         for t in (self.tables[n] for n in (names or self.tables)):
-            pairs = [F.struct(F.lit(TYPE).alias("p"), F.lit(t.name).alias("o"))]
-            pairs += [F.struct(F.lit(p).alias("p"), t.object_text(p).alias("o")) for p in t.predicates]
+            pairs = [F.struct(F.lit(TYPE).alias("p"), F.lit(t.name).alias("o"))] if wanted(TYPE) else []
+            pairs += [F.struct(F.lit(p).alias("p"), t.object_text(p).alias("o")) for p in t.predicates if wanted(p)]
+            if not pairs:
+                continue
             parts.append(t.df.select(t.iri().alias("s"), F.explode(F.array(*pairs)).alias("t")).select("s", "t.p", "t.o").where("o is not null"))
+        if not parts:
+            raise QueryError(f"no triples of {predicates}")
         return reduce(DataFrame.unionByName, parts)
 
 

@@ -455,7 +455,7 @@ def decode_required_errors(spark, sf_dir):
 
 @query("decode_enum", "SELECT 'orders/' || o_orderkey AS subject, CASE o_orderstatus WHEN 'F' THEN 'Ok' WHEN 'O' THEN 'Running' WHEN 'P' THEN 'Error' END AS status FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')")
 def decode_enum(spark, sf_dir):
-    triples = mapped_graph(spark, sf_dir, "orders").triples("orders").where(F.col("p").isin("a", "orders.o_orderstatus"))
+    triples = mapped_graph(spark, sf_dir, "orders").triples("orders", predicates=["a", "orders.o_orderstatus"])
     status = {"F": "Ok", "O": "Running", "P": "Error"}
     records, _ = decode(triples, RecordSpec("orders", [Field("status", "orders.o_orderstatus", enum=status)]))
     return records
@@ -560,7 +560,7 @@ def replace_upsert(spark, sf_dir):
 )
 def update_delete_insert(spark, sf_dir):
     g = mapped_graph(spark, sf_dir, "nation")
-    triples = g.triples("nation").where("p = 'nation.n_name'")
+    triples = g.triples("nation", predicates=["nation.n_name"])
     where = bgp(g, ("?n", "nation.n_regionkey", 1), ("?n", "nation.n_name", "?name"))
     s = F.concat(F.lit("nation/"), F.col("n").cast("string"))
     return update.apply_update(triples, where.construct([(s, "nation.n_name", "?name")]), where.construct([(s, "status", "moved")]))
@@ -606,7 +606,7 @@ def subproperty_rewrite(spark, sf_dir):
 
 @query("equivalent_class", "SELECT 'customer/' || c_custkey AS s FROM customer UNION SELECT 'supplier/' || s_suppkey FROM supplier")
 def equivalent_class(spark, sf_dir):
-    graph = mapped_graph(spark, sf_dir, "customer", "supplier").triples().where("p = 'a'")
+    graph = mapped_graph(spark, sf_dir, "customer", "supplier").triples(predicates=["a"])
     out = infer.materialize(graph, infer.Axioms(equivalent_class=[("customer", "supplier")]), ["equivalent_class"])
     return out.where("p = 'a' and o = 'supplier'").select("s")
 

@@ -140,6 +140,8 @@ def test_mapped_graph_errors(spark, sf_dir):
             bgp(g, bad)
     assert g.triples().count() == 25 * 4
     assert ("nation/0", "nation.n_regionkey", "region/0") in {tuple(r) for r in g.triples().where("s = 'nation/0'").collect()}
+    names = g.triples(predicates=["nation.n_name"])
+    assert names.count() == 25 and "n_regionkey" not in names._jdf.queryExecution().executedPlan().toString()
     both = mapped_graph(spark, sf_dir, "orders", "supplier")
     with pytest.raises(QueryError, match="customer"):
         bgp(both, ("?o", "orders.o_custkey", "?c"), ("?c", "supplier.s_name", "?n"))
