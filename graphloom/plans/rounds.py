@@ -168,9 +168,15 @@ class TaskResult:
     history: list[tuple[int, float | None]]
 
 
-def run_task(task: str, algorithm: Algorithm, mapping: DataFrame, sizes: DataFrame, train: Trainer, evaluate: Evaluator) -> TaskResult:
+Listener = Callable[[str, int, Mapping[str, object]], None]
+
+
+def run_task(
+    task: str, algorithm: Algorithm, mapping: DataFrame, sizes: DataFrame, train: Trainer, evaluate: Evaluator, listeners: Sequence[Listener] = ()
+) -> TaskResult:
     """All rounds: train, average at each aggregator, average globally, evaluate.
 
+    Each step is told to the listeners: its name, the round, and what there is to say.
     train(clients, weights, round) gives node, weights and round; rows of another round are stale and dropped.
     evaluate(clients, weights) gives node, value and size.
     """
@@ -178,19 +184,28 @@ def run_task(task: str, algorithm: Algorithm, mapping: DataFrame, sizes: DataFra
     history: list[tuple[int, float | None]] = []
     clients = mapping.select(F.col("client").alias("node"))
     round_no = 0
+
+    def tell(step: str, **about: object) -> None:
+        for listener in listeners:
+            listener(step, round_no, about)
+
     try:
         while not algorithm.should_stop(round_no):
+            tell("train")
             chosen = table(algorithm.select_train(clients, sizes), "round-clients")
             answers = train(chosen, weights, round_no).where(F.col("round") == round_no)
             updates = answers.join(sizes.select("node", F.col("value").alias("size")), "node").join(
                 mapping.select(F.col("aggregator").alias("group"), F.col("client").alias("node")), "node"
             )
             local = table(algorithm.aggregate_train(table(updates, "round-updates")).select("group", "weights", "size"), "round-local")
+            tell("local aggregation", weights=local)
             if algorithm.should_aggregate_globally(round_no):
                 # every aggregator's average takes part, also that of the node that averages
                 weights = table(federated_average(local, "weights", "size"), "round-global")
+                tell("global aggregation", weights=weights)
             scores = evaluate(algorithm.select_eval(clients), weights if weights is not None else local)
             history.append((round_no, algorithm.aggregate_eval(scores).first()["accuracy"]))
+            tell("evaluation", accuracy=history[-1][1])
             round_no += 1
     except (NotEnough, MissingContext) as fault:
         return TaskResult(task, "Error", str(fault), weights, history)

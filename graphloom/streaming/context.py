@@ -91,6 +91,14 @@ def acquire(
     return start.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def run_for(query: StreamingQuery, seconds: float) -> bool:
+    """Whether a query ended by itself within that time; else it is stopped after what it has taken in."""
+    done = bool(query.awaitTermination(int(seconds) if seconds >= 1 else 1))
+    if not done:
+        query.stop()
+    return done
+
+
 def batch_writer(path: str) -> Callable[[DataFrame, str, int], None]:
     """A write for acquire: one folder per target and batch, written over if the batch comes again."""
 

@@ -99,7 +99,9 @@ def test_learning_task_end_to_end(spark, scenario):
     def evaluate(clients, weights):
         return learner.evaluate(data.where("category != 'unknown'").join(clients, "node", "left_semi"), learning.as_layers(weights))
 
-    result = rounds.run_task("t", rounds.FedAvg(rounds=2), mapping, sizes, train, evaluate)
+    told = []
+    result = rounds.run_task("t", rounds.FedAvg(rounds=2), mapping, sizes, train, evaluate, [lambda step, n, about: told.append((step, n))])
+    assert told == [(s, n) for n in (0, 1) for s in ("train", "local aggregation", "global aggregation", "evaluation")]
     assert result.status == "Ok" and [r for r, _ in result.history] == [0, 1] and result.history[-1][1] > 0.9
     path = new_path(spark, "model")
     learning.save_model(result.weights, path, "t", 1)
