@@ -17,9 +17,10 @@ covers them all; empty tables give empty or clean results; other columns are not
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from graphloom.llm.shared import row_key, small, table
 
@@ -30,6 +31,7 @@ WINDOW = 10
 
 #: Words in a hashed k-gram (fewer in shorter windows).
 GRAM = 5
+RUNS = "array<struct<length:int,fp:bigint,first:int,last:int>>"
 
 
 def words_of(text: Column) -> Column:
@@ -75,12 +77,16 @@ def _runs(minima: Column) -> Column:
     )
 
 
-def fingerprints(words: Column, length: int) -> Column:
-    """The runs of a text for windows of that many words; null where it is shorter."""
-    k = min(GRAM, length)
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    runs = _let(hashes, lambda h: _let(_grams(h, k), lambda g: _let(_minima(g, length - k + 1), _runs)))
-    return F.when(F.size(words) >= length, runs)
+def fingerprints(words: Column, lengths: Sequence[int]) -> Column:
+    """(length, fp, first, last) of the runs of a text, for windows of each of the lengths; the words are hashed once."""
+
+    def of_length(hashes: Column, length: int) -> Column:
+        k = min(GRAM, length)
+        runs = _let(_grams(hashes, k), lambda g: _let(_minima(g, length - k + 1), _runs))
+        named = F.transform(runs, lambda r: F.struct(F.lit(length).alias("length"), r["fp"].alias("fp"), r["first"].alias("first"), r["last"].alias("last")))
+        return F.when(F.size(hashes) >= length, named).otherwise(F.array().cast(RUNS))
+
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.flatten(F.array(*[of_length(h, n) for n in lengths])))
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -101,36 +107,35 @@ def find_hits(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text:
     distinct = windows.select("length", "window").distinct()
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # ten values at most
     source = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), words_of(F.col(text)).alias("words"))
-    found = None
-    for length in lengths:
-        own = distinct.where(F.col("length") == length)
-        kept = own.select(F.explode_outer(fingerprints(F.split("window", " "), length)["fp"]).alias("fp")).distinct()
-        spans = source.select("doc_id", "key", "words", F.explode_outer(fingerprints(F.col("words"), length)).alias("run")).select(
-            "doc_id",
-            "key",
-            F.col("run.fp").alias("fp"),
-            F.col("run.first").alias("first"),
-            F.slice("words", F.col("run.first") + 1, F.col("run.last") - F.col("run.first") + length).alias("span"),
-        )
-        near = spans.join(small(kept), "fp")
-        each = near.select(
-            "doc_id",
-            "key",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.size("span") - length + 1),
-                    lambda i: F.struct(
-                        (F.col("first") + i - 1).alias("start"), F.array_join(F.slice("span", i, length), " ").alias("window")
-                    ),
-                )
-            ).alias("w"),
-        ).select("doc_id", "key", F.col("w.start").alias("start"), F.col("w.window").alias("window"))
-        hits = each.join(small(own), "window").select("doc_id", "key", "length", "start", "window")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
+    if not lengths:
         empty = source.where(F.lit(False))
-        found = empty.select("doc_id", "key", F.lit(0).alias("length"), F.lit(0).alias("start"), F.lit("").alias("window"))
-    return found.distinct()
+        return empty.select("doc_id", "key", F.lit(0).alias("length"), F.lit(0).alias("start"), F.lit("").alias("window"))
+    # an item's window has one run of its own length; that of a shorter length in it is another window's concern
+    own = distinct.select("length", F.explode_outer(fingerprints(F.split("window", " "), lengths)).alias("run"))
+    kept = own.where(F.col("run.length") == F.col("length")).select("length", F.col("run.fp").alias("fp")).distinct()
+    spans = source.select("doc_id", "key", "words", F.explode_outer(fingerprints(F.col("words"), lengths)).alias("run")).select(
+        "doc_id",
+        "key",
+        F.col("run.length").alias("length"),
+        F.col("run.fp").alias("fp"),
+        F.col("run.first").alias("first"),
+        F.slice("words", F.col("run.first") + 1, F.col("run.last") - F.col("run.first") + F.col("run.length")).alias("span"),
+    )
+    near = spans.join(small(kept), ["length", "fp"])
+    each = near.select(
+        "doc_id",
+        "key",
+        "length",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(1), F.size("span") - F.col("length") + 1),
+                lambda i: F.struct(
+                    (F.col("first") + i - 1).alias("start"), F.array_join(F.slice("span", i, F.col("length")), " ").alias("window")
+                ),
+            )
+        ).alias("w"),
+    ).select("doc_id", "key", "length", F.col("w.start").alias("start"), F.col("w.window").alias("window"))
+    return each.join(small(distinct), ["length", "window"]).select("doc_id", "key", "length", "start", "window").distinct()
 
 
 def covered_words(hits: DataFrame) -> DataFrame:
