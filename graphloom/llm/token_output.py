@@ -40,14 +40,14 @@ OPTIONS = {
 SCHEMA = "doc_id long, ordinal long, n_tokens long, ids array<int>"
 
 #: Encoded chunks and parts of chunks that a worker keeps, and the length of the longest.
-CACHE_CHUNKS, CACHE_CHARS = 1_000_000, 48
+CACHE_CHUNKS, CACHE_CHARS = 600_000, 48
 #: A chunk of Latin letters and then these marks (ASCII without the apostrophe) is cut between the two by the pre-tokenizer.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LATIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 #: Parts sent to the tokenizer as one text.
 JOINED = 1024
 
-_encoders: dict[str, "ChunkEncoder"] = {}
+_encoders: dict[tuple[str, int], "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
@@ -59,7 +59,7 @@ class ChunkEncoder:
     new parts go to the tokenizer many to a text, whose ids are cut after each end-of-word id.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache: int = CACHE_CHUNKS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,7 +67,9 @@ class ChunkEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.cache = cache
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(counts, ids): the number of ids of each text, and all ids one after the other."""
@@ -75,15 +77,11 @@ class ChunkEncoder:
         chunks = pc.split_pattern(plain, " ")
         coded = chunks.values.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = list(map(self.known.get, distinct))
+        found = self._lookup(distinct)
         new = [i for i, ids in enumerate(found) if ids is None]
-        if len(self.known) + len(new) > CACHE_CHUNKS:
-            self.known = {"": b""}
-        self._encode_new([distinct[i] for i in new])
+        own = self._encode_new([distinct[i] for i in new])
         for i in new:
-            found[i] = self.known[distinct[i]]
-            if len(distinct[i]) > CACHE_CHARS:
-                del self.known[distinct[i]]
+            found[i] = own[distinct[i]]
         pool = np.frombuffer(b"".join(found), "<u4")
         sizes = np.fromiter(map(len, found), "i8", len(found)) // 4
         at = coded.indices.to_numpy()
@@ -100,7 +98,23 @@ class ChunkEncoder:
         counts, ids = self.encode(pa.array(texts, pa.string()))
         return [part.tobytes() for part in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
 
-    def _encode_new(self, new: list[str]) -> None:
+    def _lookup(self, chunks: list[str]) -> list[bytes | None]:
+        """What the cache has of the chunks.
+
+        It has two halves: a full young one becomes the old one, and what is found there moves back, so
+        frequent chunks stay while the rest is forgotten.
+        """
+        if len(self.young) > self.cache // 2:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        found = list(map(young.get, chunks))
+        if old:
+            for i, ids in enumerate(found):
+                if ids is None and (ids := old.get(chunks[i])) is not None:
+                    found[i] = young[chunks[i]] = ids
+        return found
+
+    def _encode_new(self, new: list[str]) -> dict[str, bytes]:
         parts, cut, whole = set(), [], []
         for c in new:
             letters = c if c.isalpha() else c.rstrip(MARKS)
@@ -113,8 +127,10 @@ class ChunkEncoder:
                 marks = c[len(letters) :]
                 parts.add(marks)
                 cut.append((c, low, marks))
-        known = self.known
-        fresh = list(parts.difference(known))
+        parts.discard("")
+        wanted = list(parts)
+        out = dict(zip(wanted, self._lookup(wanted), strict=True))
+        fresh = [p for p, ids in out.items() if ids is None]
         for i in range(0, len(fresh), JOINED):
             words = fresh[i : i + JOINED]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
@@ -123,31 +139,39 @@ class ChunkEncoder:
                 raise ValueError("the vocabulary does not end every word with an end-of-word id")
             data, start = ids.tobytes(), 0
             for word, end in zip(words, last, strict=True):
-                known[word] = data[4 * start : 4 * end]
+                out[word] = data[4 * start : 4 * end]
                 start = end
+        out[""] = b""
         for c, low, marks in cut:
-            known[c] = known[low] + known[marks]
+            out[c] = out[low] + out[marks]
         for i in range(0, len(whole), JOINED):
             texts = whole[i : i + JOINED]
             for c, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
+                out[c] = np.array(e.ids, "<u4").tobytes()
+        self.young.update((c, ids) for c, ids in out.items() if len(c) <= CACHE_CHARS)
+        return out
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder per worker and vocabulary, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+def encoder(path: str, cache: int = CACHE_CHUNKS) -> ChunkEncoder:
+    """One encoder per worker, vocabulary and cache size, kept between tasks."""
+    if (path, cache) not in _encoders:
+        _encoders[path, cache] = ChunkEncoder(path, cache)
+    return _encoders[path, cache]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Encode every text, append end_id, and write the files in ascending document order."""
+def write_tokens(
+    docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", cache: int = CACHE_CHUNKS
+) -> None:
+    """Encode every text, append end_id, and write the files in ascending document order.
+
+    cache bounds the chunks that a worker remembers, at about 150 bytes each: memory against time.
+    """
     thin = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("tie"))
     ordered = in_ranges(thin, "doc_id", "tie", input_partitions(docs))
     # the partition's number in the upper bits, the row's place in it in the lower 33
     numbered = ordered.select("doc_id", F.monotonically_increasing_id().alias("ordinal"), "text")
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = encoder(tokenizer)
+        chunks = encoder(tokenizer, cache)
         for batch in batches:
             counts, ids = chunks.encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(counts), end_id).astype("i4")
@@ -195,8 +219,8 @@ def digest(tokens: DataFrame) -> DataFrame:
     )
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str, end_id: int, cache: int = CACHE_CHUNKS) -> DataFrame:
     """Write the files to the shared folder and read them back."""
     path = new_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path, tokenizer, end_id)
+    write_tokens(docs, path, tokenizer, end_id, cache=cache)
     return read_tokens(docs.sparkSession, path)

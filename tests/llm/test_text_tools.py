@@ -61,9 +61,8 @@ def test_chunks_encode_like_whole_texts(texts):
     assert encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
-def test_special_tokens_and_cache(monkeypatch):
-    monkeypatch.setattr(token_output, "CACHE_CHUNKS", 5)
-    encode = token_output.ChunkEncoder(tokenizer_file("word_bpe_49k.json"))
+def test_special_tokens_and_cache():
+    encode = token_output.ChunkEncoder(tokenizer_file("word_bpe_49k.json"), cache=5)
     for text in ("a<|endoftext|>b c", "one two three four five six seven", "x" * 100 + " y", None, ""):
         assert encode([text, text]) == [np.array(encode.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()] * 2
 
