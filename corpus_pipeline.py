@@ -17,6 +17,9 @@ from graphloom.llm import decontaminate, jaccard_join, mixing, quality_rules, to
 from graphloom.llm.queries import tokenizer_file
 from graphloom.llm.shared import table, tune
 
+#: Chunks that a worker of the last stage remembers; executors still hold memory of the stages before.
+TOKEN_CACHE = 120_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -47,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each copy, from the written token files."""
     tune(spark)
-    return token_output.digest(token_output.token_table(docs, tokenizer_file("word_bpe_49k.json"), end_id=1))
+    return token_output.digest(token_output.token_table(docs, tokenizer_file("word_bpe_49k.json"), end_id=1, cache=TOKEN_CACHE))
 
 
 STAGES: list[tuple[str, Stage]] = [
