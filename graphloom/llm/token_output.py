@@ -40,7 +40,7 @@ OPTIONS = {
 SCHEMA = "doc_id long, ordinal long, n_tokens long, ids array<int>"
 
 #: Encoded chunks and parts of chunks that a worker keeps, and the length of the longest.
-CACHE_CHUNKS, CACHE_CHARS = 600_000, 48
+CACHE_CHUNKS, CACHE_CHARS = 1_000_000, 48
 #: A chunk of Latin letters and then these marks (ASCII without the apostrophe) is cut between the two by the pre-tokenizer.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LATIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
@@ -68,8 +68,7 @@ class ChunkEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cache = cache
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(counts, ids): the number of ids of each text, and all ids one after the other."""
@@ -77,11 +76,15 @@ class ChunkEncoder:
         chunks = pc.split_pattern(plain, " ")
         coded = chunks.values.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = self._lookup(distinct)
+        found = list(map(self.known.get, distinct))
         new = [i for i, ids in enumerate(found) if ids is None]
-        own = self._encode_new([distinct[i] for i in new])
+        if len(self.known) + len(new) > self.cache:
+            self.known = {"": b""}
+        self._encode_new([distinct[i] for i in new])
         for i in new:
-            found[i] = own[distinct[i]]
+            found[i] = self.known[distinct[i]]
+            if len(distinct[i]) > CACHE_CHARS:
+                del self.known[distinct[i]]
         pool = np.frombuffer(b"".join(found), "<u4")
         sizes = np.fromiter(map(len, found), "i8", len(found)) // 4
         at = coded.indices.to_numpy()
@@ -98,23 +101,7 @@ class ChunkEncoder:
         counts, ids = self.encode(pa.array(texts, pa.string()))
         return [part.tobytes() for part in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
 
-    def _lookup(self, chunks: list[str]) -> list[bytes | None]:
-        """What the cache has of the chunks.
-
-        It has two halves: a full young one becomes the old one, and what is found there moves back, so
-        frequent chunks stay while the rest is forgotten.
-        """
-        if len(self.young) > self.cache // 2:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        found = list(map(young.get, chunks))
-        if old:
-            for i, ids in enumerate(found):
-                if ids is None and (ids := old.get(chunks[i])) is not None:
-                    found[i] = young[chunks[i]] = ids
-        return found
-
-    def _encode_new(self, new: list[str]) -> dict[str, bytes]:
+    def _encode_new(self, new: list[str]) -> None:
         parts, cut, whole = set(), [], []
         for c in new:
             letters = c if c.isalpha() else c.rstrip(MARKS)
@@ -127,10 +114,8 @@ class ChunkEncoder:
                 marks = c[len(letters) :]
                 parts.add(marks)
                 cut.append((c, low, marks))
-        parts.discard("")
-        wanted = list(parts)
-        out = dict(zip(wanted, self._lookup(wanted), strict=True))
-        fresh = [p for p, ids in out.items() if ids is None]
+        known = self.known
+        fresh = list(parts.difference(known))
         for i in range(0, len(fresh), JOINED):
             words = fresh[i : i + JOINED]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
@@ -139,17 +124,14 @@ class ChunkEncoder:
                 raise ValueError("the vocabulary does not end every word with an end-of-word id")
             data, start = ids.tobytes(), 0
             for word, end in zip(words, last, strict=True):
-                out[word] = data[4 * start : 4 * end]
+                known[word] = data[4 * start : 4 * end]
                 start = end
-        out[""] = b""
         for c, low, marks in cut:
-            out[c] = out[low] + out[marks]
+            known[c] = known[low] + known[marks]
         for i in range(0, len(whole), JOINED):
             texts = whole[i : i + JOINED]
             for c, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                out[c] = np.array(e.ids, "<u4").tobytes()
-        self.young.update((c, ids) for c, ids in out.items() if len(c) <= CACHE_CHARS)
-        return out
+                known[c] = np.array(e.ids, "<u4").tobytes()
 
 
 def encoder(path: str, cache: int = CACHE_CHUNKS) -> ChunkEncoder:
