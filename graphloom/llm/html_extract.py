@@ -62,6 +62,12 @@ HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.IGNORECASE)
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
+#: Foreign elements may close themselves; those of the second set are elements, so without an end tag the page goes on after them.
+FOREIGN = frozenset(("svg", "math"))
+UNCLOSED = FOREIGN | {"object", "canvas", "template"}
+_ends = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE | re.ASCII) for t in RAW}
+#: A slash that belongs to an unquoted value closes nothing.
+_bare_value = re.compile(r"=\s*[^\s\"'=]*/\Z")
 _attribute = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _space = re.compile(r"[\s ]+")
 
@@ -93,7 +99,6 @@ def parse(page: str) -> Element:
     root = Element("#root", "")
     stack = [root]
     at = 0
-    lowered: str | None = None
     while True:
         found = _token.search(page, at)
         if found is None:
@@ -124,10 +129,11 @@ def parse(page: str) -> Element:
         element = Element(tag, found[3] or "")
         stack[-1].children.append(element)
         if tag in RAW:
-            lowered = lowered if lowered is not None else page.lower()
-            end = lowered.find(f"</{tag}", at) if len(lowered) == len(page) else page.find(f"</{tag}", at)
-            close = page.find(">", end) if end >= 0 else -1
-            at = close + 1 if close >= 0 else len(page)
+            attributes = found[3] or ""
+            if tag in FOREIGN and attributes.endswith("/") and not _bare_value.search(attributes):
+                continue
+            end = _ends[tag].search(page, at)
+            at = end.end() if end else at if tag in UNCLOSED else len(page)
         elif tag not in VOID and not (found[3] or "").rstrip().endswith("/"):
             stack.append(element)
     if at < len(page):

@@ -218,3 +218,18 @@ def test_shared_paragraphs_of_articles_stay(spark):
     rows = [(i, "http://h.example/x", f"<div class=top>Top</div><article><p>License text</p><p>{i}</p></article>") for i in range(20)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r["text"] for r in html_extract.extract_pages(pages).collect()} == {f"License text\n{i}" for i in range(20)}
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>one <svg class='icon'/> two</p><p>three</p></article>", "one two\nthree"),
+        ("<article><p>a<math/>b</p><svg><text>x</text></svg><p>c</p></article>", "ab\nc"),
+        ("<article><p>\u0130stanbul</p><SCRIPT>x</SCRIPT><p>b</p></article>", "\u0130stanbul\nb"),
+        ("<svg href=a/><text>x</text></svg><p>a</p>", "a"),
+        ("<p>a</p><svg><p>b</p>", "a\nb"),
+        ("<script>x</scripts>y</script ><p>a</p>", "a"),
+    ],
+)
+def test_nothing_is_lost_after_a_raw_element(page, text):
+    assert html_extract.extract(page) == text
