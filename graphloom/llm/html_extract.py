@@ -22,6 +22,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -52,13 +53,23 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-FURNITURE = re.compile(
-    r"""(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|banner|promo|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|footer|"""
-    r"""site-header|page-header|masthead|topbar|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"""
-    r"""comments?|commentlist|respond|disqus|replies|share|sharing|social|related|recommended|widget|pagination|pager|toolbar|search)(?:$|[\s_-]|\d)""",
-    re.IGNORECASE,
+FURNITURE = frozenset(
+    "ad ads advert adverts advertisement adsense sponsor sponsored banner promo nav navbar navigation menu breadcrumb breadcrumbs sidebar side-bar footer "
+    "site-header page-header masthead topbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login "
+    "comment comments commentlist respond disqus replies share sharing social related recommended widget pagination pager toolbar search".split()
 )
-HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.IGNORECASE)
+#: Parts that may stand beside a furniture word in a name; a name with any other part ("has-sidebar", "search-results") marks no furniture.
+NEUTRAL = frozenset(
+    "site main page top bottom left right primary secondary global local inner outer box bar area list item items block section container wrapper wrap "
+    "panel slot unit button buttons btn link links icon icons form field post posts article articles story stories widget widgets sticky fixed desktop mobile "
+    "sub header footer media thread reader user".split()
+)
+#: Names of the main text itself: an element that also has one of them is no furniture.
+CONTENT = frozenset("content main-content page-content article article-body article-content story story-body entry entry-content post post-body post-content".split())
+#: Articles with such a name, or inside an element with one, are not the page's own.
+OTHERS = frozenset("teaser teasers comment comments commentlist respond disqus reply replies related recommended".split())
+#: An article is preferred to the main element around it if it holds this share of its text.
+MAIN_SHARE = 0.5
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
@@ -72,26 +83,59 @@ _attribute = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _space = re.compile(r"[\s ]+")
 
 
+@lru_cache(maxsize=20_000)
+def marked_as(names: str, words: frozenset[str]) -> bool:
+    """Whether one of the names is of words: it is a word, or made of words and neutral parts alone."""
+    tokens = names.lower().split()
+    if not CONTENT.isdisjoint(tokens):
+        return False
+    for token in tokens:
+        if token.strip("-_") in words:
+            return True
+        parts = [p for p in (q.rstrip("0123456789") for q in re.split(r"[-_]+", token)) if p]
+        if any(p in words for p in parts) and all(p in words or p in FURNITURE or p in NEUTRAL for p in parts):
+            return True
+    return False
+
+
+FURNITURE_OUTSIDE = FURNITURE | {"header"}
+
+
 @dataclass(slots=True)
 class Element:
     tag: str
     attributes: str
     children: list = field(default_factory=list)  # elements and strings
 
-    def dropped(self, inside_main: bool) -> bool:
+    def found(self) -> dict[str, str]:
+        if not self.attributes or self.attributes.isspace():
+            return {}
+        return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _attribute.finditer(self.attributes)}
+
+    def kind(self) -> str:
+        """article or main, by tag or role; empty for all other elements."""
+        if self.tag in ("article", "main"):
+            return self.tag
+        role = self.found().get("role", "").lower() if "role" in self.attributes.lower() else ""
+        return role if role in ("article", "main") else ""
+
+    def named(self, words: frozenset[str]) -> bool:
+        found = self.found()
+        return any(marked_as(found[k], words) for k in ("class", "id") if found.get(k))
+
+    def left_out(self, inside_main: bool) -> bool:
+        """Whether the page itself takes it out of the text, by tag, role or style."""
         if self.tag in DROPPED or (self.tag == "header" and not inside_main):
             return True
-        if not self.attributes.strip():
-            return False
-        found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _attribute.finditer(self.attributes)}
+        found = self.found()
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
             return True
-        if re.search(r"display\s*:\s*none", found.get("style", ""), re.IGNORECASE) or found.get("role", "").lower() in FURNITURE_ROLES:
+        return bool(re.search(r"display\s*:\s*none", found.get("style", ""), re.IGNORECASE)) or found.get("role", "").lower() in FURNITURE_ROLES
+
+    def dropped(self, inside_main: bool) -> bool:
+        if self.left_out(inside_main):
             return True
-        if self.tag in ("body", "html", "article", "main"):
-            return False
-        names = [found.get(k, "") for k in ("class", "id")]
-        return any(FURNITURE.search(n) or (not inside_main and HEADER.search(n)) for n in names)
+        return self.tag not in ("body", "html", "main") and self.named(FURNITURE if inside_main else FURNITURE_OUTSIDE)
 
 
 def parse(page: str) -> Element:
@@ -141,21 +185,79 @@ def parse(page: str) -> Element:
     return root
 
 
-def main_content(root: Element) -> list[Element]:
-    """The outermost article elements, or else main ones; empty if there are none."""
+def text_size(top: Element) -> int:
+    """Characters of the text below top, without what its page leaves out."""
+    size, todo = 0, [top]
+    while todo:
+        e = todo.pop()
+        if isinstance(e, str):
+            size += len(_space.sub(" ", e).strip())
+        elif e is top or not e.left_out(True):
+            todo.extend(e.children)
+    return size
+
 
-    def outermost(tags: frozenset[str], top: Element) -> list[Element]:
-        found, todo = [], [top]
-        while todo:
-            e = todo.pop()
-            role = re.search(r"""role\s*=\s*["']?(main|article)\b""", e.attributes) if e.attributes else None
-            if e.tag in tags or (role and role[1] in tags):
-                found.append(e)
-            elif not e.dropped(False):
-                todo.extend(c for c in reversed(e.children) if isinstance(c, Element))
-        return found
+def main_content(root: Element) -> tuple[list[Element], frozenset[int], list[Element]]:
+    """The elements that hold the main text, the ids of elements not to be dropped by their names, and others' articles.
 
-    return outermost(frozenset({"article"}), root) or outermost(frozenset({"main"}), root)
+    Articles and main elements are looked for below any wrapper that is not left out.  Articles of
+    others (teasers, comments) are never chosen; the rest is chosen where it is outside of furniture,
+    or holds more text than all that is.  A main element is read instead of articles, unless one of
+    these holds ``MAIN_SHARE`` of its text.
+    """
+    mains: list[Element] = []
+    plain: list[Element] = []
+    within: list[Element] = []  # inside furniture
+    others: list[Element] = []
+    above: dict[int, list[int]] = {}
+    todo: list[tuple[Element, bool, bool, bool, bool, tuple]] = [(root, False, False, False, False, ())]
+    while todo:
+        e, in_main, in_article, furnished, foreign, path = todo.pop()
+        kind = e.kind()
+        if kind == "main" and not in_main:
+            mains.append(e)
+            in_main = True
+            above[id(e)] = list(_ids(path))
+        if kind == "article" and not in_article:
+            in_article = True
+            if foreign or e.named(OTHERS):
+                others.append(e)
+            else:
+                (within if furnished or e.named(FURNITURE) else plain).append(e)
+                above[id(e)] = [*_ids(path), id(e)]
+        elif e is not root and e.tag not in ("body", "html", "main"):
+            if not in_article:
+                foreign = foreign or e.named(OTHERS)
+                furnished = furnished or e.named(FURNITURE_OUTSIDE)
+        path = (e, path)
+        for c in reversed(e.children):
+            if isinstance(c, Element) and not c.left_out(in_main or in_article):
+                todo.append((c, in_main, in_article, furnished, foreign, path))
+    kept = frozenset(i for ids in above.values() for i in ids)
+    sizes = {id(a): text_size(a) for a in plain + within} if mains or within else {}
+    outside = sum(sizes.get(id(a), 0) for a in plain)
+    chosen = {id(a) for a in plain} | {id(a) for a in within if sizes[id(a)] > outside}
+    articles = [a for a in _in_order(root, chosen)] if within else plain
+    if mains:
+        whole = sum(text_size(m) for m in mains)
+        if whole and not any(sizes[id(a)] >= MAIN_SHARE * whole for a in articles):
+            return mains, kept, others
+    return articles or mains, kept, others
+
+
+def _ids(path: tuple) -> Iterator[int]:
+    while path:
+        yield id(path[0])
+        path = path[1]
+
+
+def _in_order(root: Element, wanted: set[int]) -> Iterator[Element]:
+    todo = [root]
+    while todo:
+        e = todo.pop()
+        if id(e) in wanted:
+            yield e
+        todo.extend(c for c in reversed(e.children) if isinstance(c, Element))
 
 
 def subtree_hashes(root: Element, skip: list[Element]) -> dict[int, int]:
@@ -182,7 +284,7 @@ def subtree_hashes(root: Element, skip: list[Element]) -> dict[int, int]:
     return out
 
 
-def blocks(top: Element, hashes: dict[int, int], template: frozenset[int], inside_main: bool) -> list[str]:
+def blocks(top: Element, hashes: dict[int, int], template: frozenset[int], inside_main: bool, kept: frozenset[int] = frozenset()) -> list[str]:
     """The texts of the blocks below top, in page order, white space and references resolved."""
     out: list[str] = []
     run: list[str] = []
@@ -200,7 +302,7 @@ def blocks(top: Element, hashes: dict[int, int], template: frozenset[int], insid
             flush()
         elif isinstance(e, str):
             run.append(html.unescape(e))  # piece by piece: a reference never spans a tag
-        elif e is not top and (e.dropped(inside_main) or hashes.get(id(e)) in template):
+        elif e is not top and ((e.left_out(inside_main) if id(e) in kept else e.dropped(inside_main)) or hashes.get(id(e)) in template):
             if e.tag in BLOCKS:
                 flush()
         elif e.tag in ("br", "wbr"):
@@ -219,10 +321,11 @@ def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
     if not page:
         return ""
     root = parse(page)
-    content = main_content(root)
+    content, kept, others = main_content(root)
     if content:
-        return "\n".join(b for e in content for b in blocks(e, {}, frozenset(), True))
-    return "\n".join(blocks(root, subtree_hashes(root, []) if template else {}, template, False))
+        return "\n".join(b for e in content for b in blocks(e, {}, frozenset(), True, kept))
+    found = blocks(root, subtree_hashes(root, []) if template else {}, template, False)
+    return "\n".join(found or [b for e in others for b in blocks(e, {}, frozenset(), True)])
 
 
 def page_hashes(page: str | None) -> list[int]:
@@ -230,7 +333,7 @@ def page_hashes(page: str | None) -> list[int]:
     if not page:
         return []
     root = parse(page)
-    return sorted(set(subtree_hashes(root, main_content(root)).values()))
+    return sorted(set(subtree_hashes(root, main_content(root)[0]).values()))
 
 
 def host_of(url: str):

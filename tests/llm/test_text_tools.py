@@ -233,3 +233,25 @@ def test_shared_paragraphs_of_articles_stay(spark):
 )
 def test_nothing_is_lost_after_a_raw_element(page, text):
     assert html_extract.extract(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='content has-sidebar'><article><p>story</p></article></div>", "story"),
+        ("<div class='no-sidebar'><p>story</p></div><div class='layout-with-menu'>more</div>", "story\nmore"),
+        ("<div id='search-results'><main><p>hits</p></main></div>", "hits"),
+        ("<div class='widget'><article><p>story</p></article></div>", "story"),
+        ("<main><div class='widget'><article>part</article></div><p>a story of many more words</p></main>", "part\na story of many more words"),
+        ("<div class='sidebar'><article>read this</article></div><article><p>the story itself</p></article>", "the story itself"),
+        ("<main><p>the story</p><article class='teaser'>next</article></main>", "the story\nnext"),
+        ("<main><p>a story of some length</p><section id='comments'><article>first!</article><article>second</article></section></main>", "a story of some length"),
+        ("<main><p>a story of some length</p><article>x</article><article>y</article></main>", "a story of some length\nx\ny"),
+        ("<main><h1>t</h1><article><p>the story itself</p></article></main>", "the story itself"),
+        ("<p>story</p><article class='comment'>first!</article>", "story"),
+        ("<article class='teaser'>only this</article>", "only this"),
+        ("<div class='cookie-notice'>c</div><div class='site-footer'>f</div><div class='ad-1'>a</div><p>x</p>", "x"),
+    ],
+)
+def test_main_text_below_any_wrapper(page, text):
+    assert html_extract.extract(page) == text
