@@ -1,14 +1,15 @@
 """Main text of web pages, with site templates removed.
 
 A page becomes a small tree: the spans of its elements, with the tags HTML lets authors leave
-open closed where they end.  Every element that holds text outside the main content is hashed
-with all below it; Spark counts on how many pages of a host each hash occurs, and subtrees that
-recur on many of them are the host's template and are deleted.  What a page marks as menu,
+open closed where they end.  Every element that holds text is hashed with all below it; Spark
+counts on how many pages of a host each hash occurs, and subtrees that recur on many of them are
+the host's template and are deleted before the main text is chosen.  What a page marks as menu,
 header, footer, sidebar, notice, advert, form, comments, script or style goes as well.  The
 rest is read as blocks.
 
-A page with an ``article`` or ``main`` element is read inside it; recurring subtrees are only
-deleted outside of it, so paragraphs that pages share stay.
+Inside ``article`` and ``main`` only containers (``CONTAINERS``) are deleted as templates, so
+single paragraphs that pages share stay.  An article or main that itself recurs is deleted only if
+the rest of the page holds more text; else the page is a copy of others and is read whole inside it.
 
 Defined cases: null or empty html gives an empty text; text without any element is one block;
 unclosed elements end with their parent; a null or odd url is a host of its own; repeated
@@ -42,6 +43,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that may be templates inside an article or main.
+CONTAINERS = frozenset("address center details dir div dl fieldset figure hgroup ol section table ul".split())
 DROPPED = frozenset("head nav footer aside form button select menu dialog".split()) | RAW
 #: Opening the first ends an open one of the second, inside the nearest of the third.
 CLOSES = {
@@ -260,31 +263,70 @@ def _in_order(root: Element, wanted: set[int]) -> Iterator[Element]:
         todo.extend(c for c in reversed(e.children) if isinstance(c, Element))
 
 
-def subtree_hashes(root: Element, skip: list[Element]) -> dict[int, int]:
-    """id(element) -> hash, for every element outside of skip that holds text; the hash covers tag, words and everything below."""
-    skipped = {id(e) for e in skip}
+def subtree_hashes(root: Element) -> dict[int, int]:
+    """id(element) -> hash, for every element that may be a template; the hash covers tag, words and everything below.
+
+    Outside of article and main that is any element with text that holds neither of them.
+    """
+    hashed: dict[int, int] = {}
     out: dict[int, int] = {}
-    order, todo = [], [root]
+    holds: set[int] = set()
+    order: list[tuple[Element, bool, str]] = []
+    todo = [(root, False)]
     while todo:
-        e = todo.pop()
-        order.append(e)
-        todo.extend(c for c in e.children if isinstance(c, Element) and id(c) not in skipped)
-    for e in reversed(order):
+        e, inside = todo.pop()
+        kind = e.kind()
+        order.append((e, inside, kind))
+        todo.extend((c, inside or bool(kind)) for c in e.children if isinstance(c, Element))
+    for e, inside, kind in reversed(order):
         parts = [e.tag]
         for c in e.children:
             if isinstance(c, Element):
-                if id(c) in out:
-                    parts.append(f"<{out[id(c)]}>")
+                if id(c) in holds:
+                    holds.add(id(e))
+                if id(c) in hashed:
+                    parts.append(f"<{hashed[id(c)]}>")
             else:
                 words = _space.sub(" ", c).strip()
                 if words:
                     parts.append(words)
         if len(parts) > 1 and e.tag not in ("#root", "html", "body", "head"):
-            out[id(e)] = xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+            hashed[id(e)] = xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+            if kind or (id(e) not in holds and (not inside or e.tag in CONTAINERS)):
+                out[id(e)] = hashed[id(e)]
+        if kind:
+            holds.add(id(e))
     return out
 
 
-def blocks(top: Element, hashes: dict[int, int], template: frozenset[int], inside_main: bool, kept: frozenset[int] = frozenset()) -> list[str]:
+def without_templates(root: Element, template: frozenset[int]) -> Element:
+    """The tree with its templates emptied; the tree itself is changed."""
+    hashes = subtree_hashes(root)
+    if template.isdisjoint(hashes.values()):
+        return root
+
+    def emptied(e: Element) -> Element:
+        return Element("div" if e.tag in BLOCKS else "span", "")  # where it stood, a block still ends
+
+    again: list[tuple[Element, int]] = []  # recurring articles and main elements: parent and place
+    todo = [root]
+    while todo:
+        e = todo.pop()
+        for k, c in enumerate(e.children):
+            if isinstance(c, Element):
+                if hashes.get(id(c)) not in template:
+                    todo.append(c)
+                elif c.kind():
+                    again.append((e, k))
+                else:
+                    e.children[k] = emptied(c)
+    if again and 2 * sum(text_size(e.children[k]) for e, k in again) < text_size(root):
+        for e, k in again:
+            e.children[k] = emptied(e.children[k])
+    return root
+
+
+def blocks(top: Element, inside_main: bool, kept: frozenset[int] = frozenset()) -> list[str]:
     """The texts of the blocks below top, in page order, white space and references resolved."""
     out: list[str] = []
     run: list[str] = []
@@ -302,7 +344,7 @@ def blocks(top: Element, hashes: dict[int, int], template: frozenset[int], insid
             flush()
         elif isinstance(e, str):
             run.append(html.unescape(e))  # piece by piece: a reference never spans a tag
-        elif e is not top and ((e.left_out(inside_main) if id(e) in kept else e.dropped(inside_main)) or hashes.get(id(e)) in template):
+        elif e is not top and (e.left_out(inside_main) if id(e) in kept else e.dropped(inside_main)):
             if e.tag in BLOCKS:
                 flush()
         elif e.tag in ("br", "wbr"):
@@ -321,19 +363,17 @@ def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
     if not page:
         return ""
     root = parse(page)
+    if template:
+        root = without_templates(root, template)
     content, kept, others = main_content(root)
     if content:
-        return "\n".join(b for e in content for b in blocks(e, {}, frozenset(), True, kept))
-    found = blocks(root, subtree_hashes(root, []) if template else {}, template, False)
-    return "\n".join(found or [b for e in others for b in blocks(e, {}, frozenset(), True)])
+        return "\n".join(b for e in content for b in blocks(e, True, kept))
+    return "\n".join(blocks(root, False) or [b for e in others for b in blocks(e, True)])
 
 
 def page_hashes(page: str | None) -> list[int]:
-    """The distinct subtree hashes of a page that is read outside a marked article."""
-    if not page:
-        return []
-    root = parse(page)
-    return sorted(set(subtree_hashes(root, main_content(root)[0]).values()))
+    """The distinct hashes of a page's subtrees that may be templates."""
+    return sorted(set(subtree_hashes(parse(page)).values())) if page else []
 
 
 def host_of(url: str):

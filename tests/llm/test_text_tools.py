@@ -255,3 +255,24 @@ def test_nothing_is_lost_after_a_raw_element(page, text):
 )
 def test_main_text_below_any_wrapper(page, text):
     assert html_extract.extract(page) == text
+
+
+def _texts(spark, html_of, n=20):
+    rows = [(i, "http://h.example/x", html_of(i)) for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_extract.extract_pages(pages).collect()}
+
+
+def test_templates_inside_articles(spark):
+    out = _texts(spark, lambda i: f"<article><p>story {i}</p><p>shared</p><div class=bio><p>By Ann, who <b>writes</b>.</p></div><ul><li>read also</ul></article>")
+    assert out == {i: f"story {i}\nshared" for i in range(20)}
+
+
+def test_templates_go_before_the_main_text_is_chosen(spark):
+    out = _texts(spark, lambda i: f"<div><p>story {i} {sentence(i, 12)}</p></div><div class=x><article>Our offer</article></div>")
+    assert out == {i: f"story {i} {sentence(i, 12)}" for i in range(20)}
+
+
+def test_copies_of_a_page_are_no_templates(spark):
+    out = _texts(spark, lambda i: f"<div>Top</div><article><h1>t</h1><section><p>a story</p></section><div>more of it</div></article><p>{i}</p>")
+    assert set(out.values()) == {"t\na story\nmore of it"}
