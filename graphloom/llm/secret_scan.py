@@ -7,6 +7,11 @@ repeats, keyboard walks, sequences and brute-force spans, and the value is repor
 span of kind ``guess`` if that many guesses, in powers of ten, reach a threshold.  Base
 spans stay whatever their cost; the cost of each credential-context value is kept as well.
 
+Words are ranked by the number of documents they stand in, outside of credential contexts, so
+that no secret makes itself a word; at most ``WORDS`` of them, each in ``WORD_DOCS`` documents or
+more, are broadcast after that count.  Words of one count share a rank, and ranks follow those of
+the fixed words.
+
 Defined cases: a null or empty text has no spans; overlapping kinds are all reported; ties
 between segmentations have one cost, the least; repeated rows are scanned alike; an empty
 table gives no rows; long texts are scanned whole, values longer than ``LONGEST`` are costed
@@ -18,12 +23,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from types import MappingProxyType
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.shared import table
+
 # Fixed values of the contract.
 ASSIGN = re.compile(
     r"""(?a:(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
@@ -46,8 +54,12 @@ CONTEXTS = (
 HINT = r"(?i)pass|pwd|pin|secret|credential|key|token|bearer|://|akia|[0-9a-f]{32}"
 
 #: Guesses, as a power of ten, from which a value counts as a secret.
-SECRET_GUESSES = 9.0
+SECRET_GUESSES = 8.0
 LONGEST = 128
+#: Most words ranked by the documents, the fewest documents that make a word, and the lengths of words.
+WORDS = 50_000
+WORD_DOCS = 3
+WORD_LETTERS = (3, 24)
 #: Guesses of a brute-forced character.
 BRUTE = 10.0
 
@@ -57,26 +69,28 @@ COMMON_WORDS = (
     "shadow superman batman trustno1 hello freedom whatever secret access test guest root user default changeme example sample "
     "summer winter spring autumn love money baby angel michael jordan charlie thomas robert daniel george hunter ranger buster "
     "soccer hockey baseball killer pepper cookie cheese coffee orange banana purple silver golden diamond computer internet server "
-    "system network database private public token apikey key the and for you are with this that none null true false value string"
+    "system network database private public token apikey key the and for you are with this that none null true false value string "
+    "wonderful beautiful important different available following something everything personal required optional undefined unknown "
+    "protected encrypted confidential necessary possible incorrect expired forgotten temporary permanent redacted placeholder"
 ).split()
 KEYBOARD_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "azertyuiop")
 YEAR = 2026
 LEET = str.maketrans("4@31!05$7", "aaeiioost")
 
 _ranks = {w: i for i, w in reversed(list(enumerate(COMMON_WORDS, 1)))}
-_longest_word = max(map(len, COMMON_WORDS))
 _beside = {(a, b) for row in KEYBOARD_ROWS for a, b in zip(row, row[1:], strict=False)}
 _beside |= {(b, a) for a, b in _beside}
 _date = re.compile(r"(?:(\d{4})([-/._]?)(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/._]?)(\d{1,2})\6(\d{4}|\d{2}))")
 
 
-def _word_guesses(part: str) -> float | None:
+def _word_guesses(part: str, words: Mapping[str, int] = MappingProxyType({})) -> float | None:
+    """Guesses of a word of the fixed list or of words (lower case, with their ranks); None for what is none."""
     low = part.lower()
     plain = low.translate(LEET)
-    rank = _ranks.get(low)
+    rank = _ranks.get(low) or words.get(low)
     leet = 1.0
-    if rank is None and plain != low:
-        rank, leet = _ranks.get(plain), 2.0 ** sum(a != b for a, b in zip(low, plain, strict=True))
+    if rank is None and plain != low and len(plain) == len(low):
+        rank, leet = _ranks.get(plain) or words.get(plain), 2.0 ** sum(a != b for a, b in zip(low, plain, strict=True))
     if rank is None:
         return None
     upper = sum(c.isupper() for c in part)
@@ -96,10 +110,10 @@ def _date_guesses(part: str) -> float | None:
     return 365.0 * max(abs(year - YEAR), 20) * (4 if found[2] or found[6] else 1)
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: Mapping[str, int] = MappingProxyType({})) -> float:
     """log10 of the guesses that the cheapest segmentation of value needs."""
     if len(value) > LONGEST:
-        return sum(guess_cost(value[i : i + LONGEST]) for i in range(0, len(value), LONGEST))
+        return sum(guess_cost(value[i : i + LONGEST], words) for i in range(0, len(value), LONGEST))
     n = len(value)
     brute = math.log10(BRUTE)
     low = value.lower()
@@ -128,8 +142,8 @@ def guess_cost(value: str) -> float:
             cost = here + math.log10(20.0 * length) + 0.3
             if cost < best[i + length]:
                 best[i + length] = cost
-        for length in range(3, min(_longest_word, n - i) + 1):
-            guesses = _word_guesses(value[i : i + length])
+        for length in range(3, min(WORD_LETTERS[1], n - i) + 1):
+            guesses = _word_guesses(value[i : i + length], words)
             if guesses is not None and here + math.log10(guesses) + 0.3 < best[i + length]:
                 best[i + length] = here + math.log10(guesses) + 0.3
         if value[i].isdigit():
@@ -159,22 +173,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _long_hex = re.compile(r"[0-9a-f]{32}")
 
 
-def credential_values(text: str) -> list[tuple[int, int, float]]:
+def credential_values(text: str, words: Mapping[str, int] = MappingProxyType({})) -> list[tuple[int, int, float]]:
     """(start, end, cost) of every value in credential context, in order."""
     spans = {m.span(1) for m in ASSIGN.finditer(text)}
     spans |= {m.span(1) for c in CONTEXTS for m in c.finditer(text)}
-    return [(a, b, guess_cost(text[a:b])) for a, b in sorted(spans)]
+    return [(a, b, guess_cost(text[a:b], words)) for a, b in sorted(spans)]
 
 
-def _mixed(value: str) -> bool:
-    """Not a plain word: a digit stands in it, or a mark before its end."""
-    return any(c.isdigit() for c in value) or not value.rstrip(".,:;!?)").replace("-", "").isalpha()
+def all_spans(
+    text: str, base: list[tuple[int, int, int]], least: float = SECRET_GUESSES, words: Mapping[str, int] = MappingProxyType({})
+) -> list[tuple[int, int, int]]:
+    """The base spans and a guess span for each strong value that none of them holds."""
+    return _with_guesses(base, credential_values(text, words), least)
 
 
-def all_spans(text: str, base: list[tuple[int, int, int]], least: float = SECRET_GUESSES) -> list[tuple[int, int, int]]:
-    """The base spans and a guess span for each strong value that none of them holds."""
+def _with_guesses(base: list[tuple[int, int, int]], values: list[tuple[int, int, float]], least: float = SECRET_GUESSES) -> list[tuple[int, int, int]]:
     held = [(a, b) for a, _, b in base]
-    more = [(a, 3, b) for a, b, cost in credential_values(text) if cost >= least and _mixed(text[a:b]) and not any(x <= a and b <= y for x, y in held)]
+    more = [(a, 3, b) for a, b, cost in values if cost >= least and not any(x <= a and b <= y for x, y in held)]
     return sorted(base + more)
 
 
@@ -182,22 +197,46 @@ def _say(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def ranked_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """word and rank of the words that most documents hold, at most ``WORDS``: the rank follows all words of more documents."""
+    plain = F.col(text)
+    for context in (ASSIGN, *CONTEXTS):  # a value in credential context makes no word
+        plain = F.regexp_replace(plain, context.pattern.replace("(?a:", "(?:"), " ")
+    outside = F.lower(F.when(F.col(text).rlike(HINT), plain).otherwise(F.col(text)))
+    least, most = WORD_LETTERS
+    words = F.array_distinct(F.split(outside, r"[^\p{L}]+"))
+    found = docs.select(F.explode(F.filter(words, lambda w: F.length(w).between(least, most))).alias("word"))
+    counted = table(found.groupBy("word").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= WORD_DOCS), "secret-words")
+    # as many counts as there are different ones; words of one count enter together or not at all
+    ranks, above = [], 0
+    for r in counted.groupBy("docs").count().orderBy(F.desc("docs")).limit(WORDS).toLocalIterator():
+        if above + r["count"] > WORDS:
+            break
+        ranks.append((r["docs"], len(COMMON_WORDS) + above + 1))
+        above += r["count"]
+    of_counts = docs.sparkSession.createDataFrame(ranks, "docs long, rank long")
+    return counted.join(F.broadcast(of_counts), "docs").select("word", "rank")
+
+
 def scan_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess and strongest (log10 guesses) of each row of docs.
 
     Texts without any context or pattern never leave the JVM's filter as text.
     """
+    known = docs.sparkSession.sparkContext.broadcast({r["word"]: r["rank"] for r in ranked_words(docs, text).collect()})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = known.value
         for batch in batches:
             counts, hashes, said, strongest = [], [], [], []
             for t in batch.column("text").to_pylist():
                 base = base_spans(t) if t else []
-                spans = all_spans(t, base) if t else []
+                values = credential_values(t, words) if t else []
+                spans = _with_guesses(base, values)
                 counts.append([sum(k == kind for _, k, _ in spans) for kind in range(4)])
                 hashes.append(hashlib.sha256(_say(base).encode()).hexdigest())
                 said.append(_say(spans))
-                strongest.append(max((c for _, _, c in credential_values(t)), default=None) if t else None)
+                strongest.append(max((c for _, _, c in values), default=None))
             columns = list(zip(*counts, strict=True)) if counts else [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c, "int64") for c in columns), pa.array(hashes, pa.string()), pa.array(said, pa.string()), pa.array(strongest, "float64")],

@@ -147,6 +147,23 @@ def test_scan_documents(spark):
     assert secret_scan.scan_documents(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("value", ["x7#Qp9!z", "QzXvbWtRkLmNpHs", "correct-horse-battery-staple"])
+def test_the_cost_alone_decides(value):
+    text = f"my passphrase is {value}"
+    assert secret_scan.all_spans(text, []) == [(17, 3, 17 + len(value))]
+
+
+def test_words_of_the_documents_are_cheap(spark):
+    rows = [(i, f"of marvellous things, marvellous and plenty {sentence(i, 5)}", "en", "a", 1) for i in range(6)]
+    rows += [(i, "the password is marvellous and pwd is QzXvbWtRkLmNpHs", "en", "a", 1) for i in range(10, 20)]
+    ranks = {r["word"]: r["rank"] for r in secret_scan.ranked_words(documents(spark, rows)).collect()}
+    assert "marvellous" in ranks and "qzxvbwtrklmnphs" not in ranks
+    assert ranks["and"] < ranks["marvellous"] <= len(secret_scan.COMMON_WORDS) + secret_scan.WORDS
+    out = {r["doc_id"]: r for r in secret_scan.scan_documents(documents(spark, rows)).collect()}
+    assert out[10]["n_guess"] == 1 and out[10]["spans"] == "guess:38:53"
+    assert out[0]["n_guess"] == 0
+
+
 # ---- classifier
 
 
