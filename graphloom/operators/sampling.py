@@ -31,15 +31,19 @@ def split_hashed(df: DataFrame, key: str, group: Sequence[str], fraction: float,
     return placed.withColumn("is_test", F.col("_r") <= F.floor(F.col("_n") * F.lit(fraction))).drop("_r", "_n")
 
 
-def weighted_sample(df: DataFrame, key: str, weight: str, fraction: float, least: int, seed: int = 42) -> DataFrame:
-    """max(floor(n * fraction), least) rows without replacement, with chances by weight.
+def weighted_sample(df: DataFrame, key: str, weight: str, fraction: float, least: int, seed: int = 42, group: Sequence[str] = ()) -> DataFrame:
+    """max(floor(n * fraction), least) rows without replacement, with chances by weight; of each group, if there are groups.
 
     Each row draws an exponential number of rate weight from its hash, and the least numbers win;
-    rows without a positive weight are never drawn.  Top-k, so only k rows of each task travel.
+    rows without a positive weight are never drawn.  Top-k without groups, so only k rows of each task travel.
     """
+    drawn = df.where(F.col(weight) > 0).withColumn("draw", -F.ln(uniform(seed, F.col(key))) / F.col(weight))
+    if group:
+        counts = df.groupBy(*group).agg(F.greatest(F.floor(F.count(F.lit(1)) * F.lit(fraction)), F.lit(least)).alias("_most"))
+        w = Window.partitionBy(*group).orderBy("draw", key)
+        return drawn.join(counts, list(group)).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("_most")).drop("_r", "_most")
     n = df.count()
     amount = max(int(n * fraction), least)
-    drawn = df.where(F.col(weight) > 0).withColumn("draw", -F.ln(uniform(seed, F.col(key))) / F.col(weight))
     return drawn.orderBy("draw", key).limit(amount)
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.errors import ModelMismatch
 from graphloom.functions.scalar import argmax, softmax
 
 WEIGHTS = "map<string,array<float>>"
@@ -19,9 +20,9 @@ WEIGHTS = "map<string,array<float>>"
 class Learner(Protocol):
     """What a learning algorithm offers to the rounds."""
 
-    def train(self, data: DataFrame, weights: dict[str, list[float]] | None, round_no: int) -> DataFrame: ...
+    def train(self, data: DataFrame, weights: dict[str, list[float]] | DataFrame | None, round_no: int) -> DataFrame: ...
 
-    def predict(self, data: DataFrame, weights: dict[str, list[float]]) -> DataFrame: ...
+    def predict(self, data: DataFrame, weights: dict[str, list[float]] | DataFrame) -> DataFrame: ...
 
 
 @dataclass(frozen=True)
@@ -32,12 +33,15 @@ class SoftmaxRegression:
     epochs: int = 50
     rate: float = 0.1
 
-    def train(self, data: DataFrame, weights: dict[str, list[float]] | None, round_no: int) -> DataFrame:
-        """node, weights and round; a node's rows are trained on together, rows of unknown categories are left out."""
+    def train(self, data: DataFrame, weights: dict[str, list[float]] | DataFrame | None, round_no: int) -> DataFrame:
+        """node, weights and round; a node's rows are trained on together, rows of unknown categories are left out.
+
+        Weights are one model for all nodes or a table of node and weights; nodes that it lacks start from none.
+        """
         place = {c: i for i, c in enumerate(self.categories)}
         epochs, rate, k = self.epochs, self.rate, len(self.categories)
 
-        def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        def fit(rows: pd.DataFrame, weights: dict[str, list[float]] | None) -> pd.DataFrame:
             x = np.stack(rows["features"].to_numpy()).astype("f8")
             y = np.eye(k)[rows["category"].map(place).to_numpy()]
             w = np.zeros((x.shape[1], k)) if weights is None else np.array(weights["weight"], "f8").reshape(-1, k)
@@ -53,7 +57,17 @@ class SoftmaxRegression:
 
         node = dict(data.dtypes)["node"]
         known = data.where(F.col("category").isin(list(self.categories)) & F.col("features").isNotNull())
-        return known.select("node", "features", "category").groupBy("node").applyInPandas(fit, f"node {node}, weights {WEIGHTS}, round bigint")
+        rows, schema = known.select("node", "features", "category").groupBy("node"), f"node {node}, weights {WEIGHTS}, round bigint"
+        if not isinstance(weights, DataFrame):
+            return rows.applyInPandas(lambda rows: fit(rows, weights), schema)
+
+        def fit_own(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            if rows.empty:
+                return pd.DataFrame({"node": [], "weights": [], "round": []})
+            return fit(rows, None if own.empty else dict(zip(own["layer"], own["values"], strict=True)))
+
+        layers = weights.select("node", F.explode("weights").alias("layer", "values"))
+        return rows.cogroup(layers.groupBy("node")).applyInPandas(fit_own, schema)
 
     def logits(self, features: Column, weights: dict[str, list[float]]) -> Column:
         """The classes' logits as expressions: one dot product each, so scoring stays in the JVM."""
@@ -66,13 +80,27 @@ class SoftmaxRegression:
 
         return F.array(*[dot(w[:, i], weights["bias"][i]) for i in range(k)])
 
-    def predict(self, data: DataFrame, weights: dict[str, list[float]]) -> DataFrame:
-        """data with predicted and prob, where any class has a probability above 0."""
-        scored = data.withColumn("_p", softmax(self.logits(F.col("features"), weights)))
+    def own_logits(self, features: Column, weights: Column) -> Column:
+        """The classes' logits by the weights of each row."""
+        k, w = len(self.categories), weights["weight"]
+
+        def dot(i: int) -> Column:
+            pairs = F.transform(features, lambda a, j: a.cast("double") * F.get(w, j * k + i))
+            return F.aggregate(pairs, F.get(weights["bias"], F.lit(i)).cast("double"), lambda acc, v: acc + v)
+
+        return F.array(*[dot(i) for i in range(k)])
+
+    def predict(self, data: DataFrame, weights: dict[str, list[float]] | DataFrame) -> DataFrame:
+        """data with predicted and prob, where any class has a probability above 0; by one model, or by a table of node and weights."""
+        if isinstance(weights, DataFrame):
+            joined = data.join(weights.select("node", F.col("weights").alias("_w")), "node")
+            scored = joined.withColumn("_p", softmax(self.own_logits(F.col("features"), F.col("_w"))))
+        else:
+            scored = data.withColumn("_p", softmax(self.logits(F.col("features"), weights)))
         named = F.get(F.lit(list(self.categories)), argmax(F.col("_p")).cast("int"))
         return scored.select(*data.columns, named.alias("predicted"), F.array_max("_p").alias("prob")).where("prob > 0")
 
-    def evaluate(self, data: DataFrame, weights: dict[str, list[float]]) -> DataFrame:
+    def evaluate(self, data: DataFrame, weights: dict[str, list[float]] | DataFrame) -> DataFrame:
         """node, value (accuracy) and size of each node's data."""
         return self.predict(data, weights).groupBy("node").agg(
             F.avg((F.col("predicted") == F.col("category")).cast("double")).alias("value"), F.count(F.lit(1)).alias("size")
@@ -83,7 +111,9 @@ LEARNERS: dict[str, Callable[..., Learner]] = {"softmax": SoftmaxRegression}
 
 
 def as_layers(weights: DataFrame) -> dict[str, list[float]]:
-    """The one model of a table; a model is a few layers, so it may come to the driver."""
+    """The one model of a table, an error if its models differ; a model is a few layers, so it may come to the driver."""
+    if weights.select(F.to_json("weights")).distinct().limit(2).count() > 1:
+        raise ModelMismatch("more than one model")
     return {k: list(v) for k, v in weights.select("weights").first()["weights"].items()}
 
 

@@ -32,7 +32,7 @@ class Algorithm(ABC):
 
     @abstractmethod
     def select_train(self, clients: DataFrame, sizes: DataFrame) -> DataFrame:
-        """The clients (node) that train in this round."""
+        """The clients (node) that train in this round, from aggregator and node of all."""
 
     @abstractmethod
     def aggregate_train(self, updates: DataFrame) -> DataFrame:
@@ -95,10 +95,15 @@ class FedAvg(Algorithm):
         return assigned
 
     def select_train(self, clients: DataFrame, sizes: DataFrame) -> DataFrame:
-        """A sample weighted by dataset size; clients without a size are never drawn."""
+        """A sample of each aggregator's clients, weighted by dataset size; clients without a size are never drawn.
+
+        Clients without an aggregator column are drawn from as one.
+        """
         latest = sizes.groupBy("node").agg(F.max("value").alias("value"))
-        known = clients.join(latest, "node", "left").select("node", F.coalesce("value", F.lit(0)).alias("value"))
-        return weighted_sample(known, "node", "value", self.client_fraction, self.min_clients, self.seed).select("node")
+        group = [c for c in clients.columns if c == "aggregator"]
+        known = clients.join(latest, "node", "left").select("node", *group, F.coalesce("value", F.lit(0)).alias("value"))
+        least = self.min_clients_per_aggregator if group else self.min_clients
+        return weighted_sample(known, "node", "value", self.client_fraction, least, self.seed, group).select("node")
 
     def aggregate_train(self, updates: DataFrame) -> DataFrame:
         return federated_average(updates, "weights", "size", ["group"])
@@ -166,6 +171,8 @@ class TaskResult:
     message: str | None
     weights: DataFrame | None
     history: list[tuple[int, float | None]]
+    #: group, weights, size and fresh (trained since the last global average) of the aggregators.
+    models: DataFrame | None = None
 
 
 Listener = Callable[[str, int, Mapping[str, object]], None]
@@ -176,15 +183,28 @@ def run_task(
 ) -> TaskResult:
     """All rounds: train, average at each aggregator, average globally, evaluate.
 
+    Each aggregator keeps its average as its own weights until a global average takes their place.
+
     Each step is told to the listeners: its name, the round, and what there is to say.
     train(clients, weights, round) gives node, weights and round; rows of another round are stale and dropped.
     evaluate(clients, weights) gives node, value and size.
+    The weights they are given are node and weights: those of each client's aggregator (no row where it has
+    none yet), or None before there are any.
     """
     weights: DataFrame | None = None
+    models: DataFrame | None = None
     history: list[tuple[int, float | None]] = []
-    clients = mapping.select(F.col("client").alias("node"))
+    members = mapping.select("aggregator", F.col("client").alias("node"))
+    clients = members.select("node")
     round_no = 0
 
+    def own(some: DataFrame) -> DataFrame | None:
+        """node and weights of some clients: those of their aggregators."""
+        if models is None:
+            return None
+        of_groups = models.select(F.col("group").alias("aggregator"), "weights")
+        return members.join(some.select("node"), "node", "left_semi").join(of_groups, "aggregator").select("node", "weights")
+
     def tell(step: str, **about: object) -> None:
         for listener in listeners:
             listener(step, round_no, about)
@@ -192,21 +212,28 @@ def run_task(
     try:
         while not algorithm.should_stop(round_no):
             tell("train")
-            chosen = table(algorithm.select_train(clients, sizes), "round-clients")
-            answers = train(chosen, weights, round_no).where(F.col("round") == round_no)
+            chosen = table(algorithm.select_train(members, sizes), "round-clients")
+            answers = train(chosen, own(chosen), round_no).where(F.col("round") == round_no)
             updates = answers.join(sizes.select("node", F.col("value").alias("size")), "node").join(
                 mapping.select(F.col("aggregator").alias("group"), F.col("client").alias("node")), "node"
             )
             local = table(algorithm.aggregate_train(table(updates, "round-updates")).select("group", "weights", "size"), "round-local")
             tell("local aggregation", weights=local)
+            current = local.withColumn("fresh", F.lit(True))
+            if models is not None:
+                current = current.unionByName(models.join(local, "group", "left_anti"))
             if algorithm.should_aggregate_globally(round_no):
                 # every aggregator's average takes part, also that of the node that averages
-                weights = table(federated_average(local, "weights", "size"), "round-global")
+                weights = table(federated_average(current.where("fresh").drop("fresh"), "weights", "size"), "round-global")
                 tell("global aggregation", weights=weights)
-            scores = evaluate(algorithm.select_eval(clients), weights if weights is not None else local)
+                groups = members.select(F.col("aggregator").alias("group")).distinct()
+                current = groups.crossJoin(F.broadcast(weights.select("weights", "size"))).withColumn("fresh", F.lit(False))
+            models = table(current, "round-models")
+            judges = algorithm.select_eval(clients)
+            scores = evaluate(judges, own(judges))
             history.append((round_no, algorithm.aggregate_eval(scores).first()["accuracy"]))
             tell("evaluation", accuracy=history[-1][1])
             round_no += 1
     except (NotEnough, MissingContext) as fault:
-        return TaskResult(task, "Error", str(fault), weights, history)
-    return TaskResult(task, "Ok", None, weights, history)
+        return TaskResult(task, "Error", str(fault), weights, history, models)
+    return TaskResult(task, "Ok", None, weights, history, models)

@@ -121,6 +121,51 @@ def test_task_ends_with_its_error(spark, scenario):
     assert result.status == "Error" and "answers" in result.message
 
 
+def test_aggregators_train_on_from_their_own_weights(spark):
+    mapping = spark.createDataFrame([("f1", "a"), ("f1", "b"), ("f2", "c")], "aggregator string, client string")
+    sizes = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "node string, value bigint")
+    step = F.when(F.col("node") == "c", 10.0).otherwise(1.0)
+    before, seen = {}, []
+
+    def train(clients, weights, round_no):
+        started = clients.withColumn("weights", F.lit(None).cast(WEIGHTS)) if weights is None else clients.join(weights, "node", "left")
+        before[round_no] = {r["node"]: r["weights"] and r["weights"]["w"][0] for r in started.collect()}
+        value = F.coalesce(F.get(F.col("weights")["w"], F.lit(0)).cast("double"), F.lit(0.0)) + step
+        return started.select("node", F.create_map(F.lit("w"), F.array(value.cast("float"))).alias("weights"), F.lit(round_no).cast("bigint").alias("round"))
+
+    def evaluate(clients, weights):
+        out = weights.select("node", F.get(F.col("weights")["w"], F.lit(0)).cast("double").alias("value"), F.lit(1).alias("size"))
+        seen.append({r["node"]: r["value"] for r in out.collect()})
+        return out
+
+    result = rounds.run_task("t", rounds.FedAvg(rounds=3, global_period=2), mapping, sizes, train, evaluate)
+    assert (result.status, result.message) == ("Ok", None)
+    assert before == {0: {"a": None, "b": None, "c": None}, 1: {"a": 1.0, "b": 1.0, "c": 10.0}, 2: {"a": 11.0, "b": 11.0, "c": 11.0}}
+    assert seen == [{"a": 1.0, "b": 1.0, "c": 10.0}, {"a": 11.0, "b": 11.0, "c": 11.0}, {"a": 12.0, "b": 12.0, "c": 21.0}]
+    assert {r["group"]: r["weights"]["w"] for r in result.models.collect()} == {"f1": [12.0], "f2": [21.0]}
+
+
+def test_every_aggregator_draws(spark):
+    rows = [(f"f{i % 5}", f"c{i}") for i in range(50)]
+    clients = spark.createDataFrame(rows, "aggregator string, node string")
+    sizes = clients.select("node", F.when(F.col("aggregator") == "f0", 10**6).otherwise(1).cast("bigint").alias("value"))
+    drawn = rounds.FedAvg(client_fraction=0.2).select_train(clients, sizes)
+    assert {r["aggregator"]: r["count"] for r in clients.join(drawn, "node").groupBy("aggregator").count().collect()} == {f"f{i}": 2 for i in range(5)}
+
+
+def test_a_learner_takes_each_node_with_its_own_weights(spark, scenario):
+    data, mapping, sizes = scenario
+    learner = learning.SoftmaxRegression(["glass", "paper", "metal"], epochs=5)
+    own = learner.train(data, None, 0).select("node", "weights").cache()
+    one = learning.as_layers(own.where("node = 'e1'"))
+    again = learner.train(data, own, 1).where("node = 'e1'").first()["weights"]
+    assert again == learner.train(data.where("node = 'e1'"), one, 1).first()["weights"]
+    key = ["node", "value", "size"]
+    assert learner.evaluate(data, own).where("node = 'e1'").select(key).collect() == learner.evaluate(data.where("node = 'e1'"), one).select(key).collect()
+    with pytest.raises(ModelMismatch):
+        learning.as_layers(own)
+
+
 # ---- sampling
 
 
