@@ -159,31 +159,36 @@ def subject_hash(cls: str, *parts: Column) -> Column:
     return F.concat(F.lit("_:"), F.substring(F.sha2(text, 256), 1, 32))
 
 
-def decode_lists(cells: DataFrame, first: str = "first", rest: str = "rest", nil: str = "nil", max_length: int = 10_000) -> DataFrame:
-    """head and items of linked lists given as triples.
+def decode_lists(cells: DataFrame, first: str = "first", rest: str = "rest", nil: str = "nil") -> DataFrame:
+    """head and items of linked lists given as triples, whatever their length; lists may share their ends.
 
-    All lists advance by one cell a round.  A cell without a rest is dropped and ends its list, and
-    a list that is longer than max_length (or runs in a circle) ends there.
+    Each round doubles the distance that a cell sees ahead, so there are about log2 of the longest
+    list rounds.  A cell without a rest is dropped and ends its list; cells in a circle are an error.
     """
     from graphloom.plans.storage import table
 
     value = cells.where(F.col("p") == first).groupBy("s").agg(F.min("o").alias("item"))
     link = cells.where(F.col("p") == rest).groupBy("s").agg(F.min("o").alias("next"))
     cell = table(value.join(link, "s"), "list-cells")
-    heads = cell.join(link.select(F.col("next").alias("s")), "s", "left_anti").select("s")
-    front = table(heads.select(F.col("s").alias("head"), F.col("s").alias("at"), F.lit(0).alias("pos")), "list-front")
-    out = None
-    for pos in range(max_length):
-        here = front.join(cell, F.col("at") == F.col("s")).select("head", F.lit(pos).alias("pos"), "item", "next")
-        here = table(here, "list-round")
-        if here.isEmpty():
+    n = cell.count()
+    jump = cell.where(F.col("next") != nil).join(cell.select(F.col("s").alias("next")), "next", "left_semi").select("s", "next")
+    jumps: list[DataFrame] = []  # of 1, 2, 4, ... cells
+    while True:
+        jump = table(jump, "list-jumps")
+        last = jump.agg(F.min("next")).first()[0]
+        if last is None:
             break
-        out = here.select("head", "pos", "item") if out is None else out.unionByName(here.select("head", "pos", "item"))
-        front = here.where(F.col("next") != nil).select("head", F.col("next").alias("at"))
-    if out is None:
-        return heads.select(F.col("s").alias("head"), F.array().cast("array<string>").alias("items"))
+        if 1 << len(jumps) >= n:  # so many cells ahead only a circle has one
+            raise DecodeError(f"{last}: {rest}: the list runs in a circle")
+        jumps.append(jump)
+        jump = jump.join(jump.select(F.col("s").alias("next"), F.col("next").alias("_far")), "next").select("s", F.col("_far").alias("next"))
+    heads = cell.join(link.select(F.col("next").alias("s")), "s", "left_anti")
+    out = table(heads.select(F.col("s").alias("head"), F.lit(0).cast("long").alias("pos"), F.col("s").alias("at")), "list-places")
+    for k, jump in enumerate(jumps):
+        ahead = out.join(jump.select(F.col("s").alias("at"), "next"), "at").select("head", (F.col("pos") + (1 << k)).alias("pos"), F.col("next").alias("at"))
+        out = out.unionByName(table(ahead, "list-places"))
     pairs = F.array_sort(F.collect_list(F.struct("pos", "item")))
-    return out.groupBy("head").agg(F.transform(pairs, lambda p: p["item"]).alias("items"))
+    return out.join(cell.select(F.col("s").alias("at"), "item"), "at").groupBy("head").agg(F.transform(pairs, lambda p: p["item"]).alias("items"))
 
 
 def decode_containers(triples: DataFrame, kinds: Sequence[str] = ("Seq", "Alt", "Bag"), kind: str | None = None, type_predicate: str = "a") -> DataFrame:

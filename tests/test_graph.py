@@ -264,6 +264,19 @@ def test_lists_and_containers(spark):
     assert decode_containers(seq, kind="Seq").count() == 1
 
 
+def test_long_lists_shared_ends_and_circles(spark):
+    n = 10_500
+    rows = [(f"c{i}", "first", str(i)) for i in range(n)] + [(f"c{i}", "rest", f"c{i + 1}" if i + 1 < n else "nil") for i in range(n)]
+    rows += [("b", "first", "b"), ("b", "rest", f"c{n - 2}")]
+    out = {r["head"]: r["items"] for r in decode_lists(triples(spark, rows)).collect()}
+    assert out == {"c0": [str(i) for i in range(n)], "b": ["b", str(n - 2), str(n - 1)]}
+    for links in ([("a", "b"), ("b", "c"), ("c", "b")], [("a", "b"), ("b", "a")], [("a", "a")]):
+        circle = [(s, "first", s) for s in "abc"] + [(s, "rest", o) for s, o in links]
+        with pytest.raises(DecodeError, match="circle"):
+            decode_lists(triples(spark, circle))
+    assert decode_lists(triples(spark, [])).collect() == []
+
+
 def test_lookup_and_subjects(spark):
     g = triples(spark, [("a", "p", "2"), ("a", "p", "1"), ("b", "q", "3")])
     assert lookup(g, g.select("s"), "p").collect() == [("a", "1")] and lookup(g, g.select("s"), "p", many=True).first()["value"] == ["1", "2"]
