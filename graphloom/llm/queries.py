@@ -144,9 +144,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal shares for all sources;"""
+    """Equal shares for all sources."""
     out = mixing.replicate(_read(spark, sf_dir, "documents"))
-    return out.select("row.doc_id", "row.source", F.round("rate", 6).alias("rate"), F.col("copy").cast("long").alias("copy"), "order_key", "row.text")
+    return out.select(
+        "row.doc_id", "row.source", F.round("rate", 6).alias("rate"), "nth", "part", F.col("copy").cast("long").alias("copy"), "order_key", "row.text"
+    )
 
 
 OP8_SQL = """
@@ -154,19 +156,25 @@ WITH RECURSIVE s AS (
   SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source
 ), r AS (
   SELECT source, (1.0 / (SELECT count(*) FROM s)) * (SELECT sum(n) FROM s) / n AS rate FROM s
-), p(source, rate, k, term, cum) AS (
-  SELECT source, rate, 0, exp(-rate), exp(-rate) FROM r
+), q AS (
+  SELECT source, rate, greatest(1, ceil(rate / 256.0))::INT AS parts, rate / greatest(1, ceil(rate / 256.0)) AS own FROM r
+), p(source, own, k, term, cum) AS (
+  SELECT source, own, 0, exp(-own), exp(-own) FROM q
   UNION ALL
-  SELECT source, rate, k + 1, term * rate / (k + 1), cum + term * rate / (k + 1) FROM p WHERE k < rate + 12 * sqrt(rate) + 24
+  SELECT source, own, k + 1, term * own / (k + 1), cum + term * own / (k + 1) FROM p WHERE k < own + 12 * sqrt(own) + 24
+), d AS (
+  SELECT doc_id, source, text, coalesce(doc_id::VARCHAR, '-') || ':' || coalesce(md5(text), '-') AS name,
+         row_number() OVER (PARTITION BY doc_id, source, text ORDER BY doc_id) - 1 AS nth FROM documents
 ), u AS (
-  SELECT doc_id, source, text, ('0x' || substr(md5('42:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents
+  SELECT d.*, part, ('0x' || substr(md5('42:' || name || ':' || nth || ':' || part), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source, LATERAL (SELECT unnest(range(0, parts)) AS part)
 ), n AS (
-  SELECT u.doc_id, u.source, any_value(u.text) AS text, any_value(p.rate) AS rate, count(*) AS n
-  FROM u JOIN p ON u.source = p.source AND p.cum <= u.u GROUP BY u.doc_id, u.source
+  SELECT u.doc_id, u.source, u.name, nth, part, any_value(u.text) AS text, count(*) AS n
+  FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source AND p.cum <= u.u GROUP BY u.doc_id, u.source, u.name, nth, part
 )
-SELECT doc_id, source, round(rate, 6) AS rate, copy::BIGINT AS copy,
-       ('0x' || substr(md5('42:order:' || doc_id || ':' || copy), 1, 13))::BIGINT / 4503599627370496.0 AS order_key, text
-FROM (SELECT *, unnest(range(0, n)) AS copy FROM n)
+SELECT doc_id, n.source, round(rate, 6) AS rate, nth, part::INT AS part, copy::BIGINT AS copy,
+       ('0x' || substr(md5('42:order:' || name || ':' || nth || ':' || part || ':' || copy), 1, 13))::BIGINT / 4503599627370496.0 AS order_key, text
+FROM (SELECT *, unnest(range(0, n)) AS copy FROM n) n JOIN q ON n.source IS NOT DISTINCT FROM q.source
 """
 
 

@@ -17,12 +17,17 @@ from graphloom.llm.queries import tokenizer_file
 from .helpers import contamination, documents, jaccard_classes, odd_documents, rule_counts, sentence
 
 
-def uniform(doc_id):
-    return int(hashlib.md5(f"42:{'-' if doc_id is None else doc_id}".encode()).hexdigest()[:13], 16) / 16**13
+def uniform(*parts):
+    """The number in [0, 1) of a row: id, text, number among equal rows, part (and "order" before, copy after)."""
+    return int(hashlib.md5(":".join(["42", *("-" if p is None else str(p) for p in parts)]).encode()).hexdigest()[:13], 16) / 16**13
 
 
-def copies(doc_id, rate):
-    u, k, cumulative = uniform(doc_id), 0, math.exp(-rate)
+def named(doc_id, text):
+    return doc_id, None if text is None else hashlib.md5(text.encode()).hexdigest()
+
+
+def copies(doc_id, text, rate, nth=0, part=0):
+    u, k, cumulative = uniform(*named(doc_id, text), nth, part), 0, math.exp(-rate)
     term = cumulative
     while cumulative <= u:
         k += 1
@@ -40,7 +45,7 @@ def test_copies_follow_the_poisson_distribution(spark):
     counts = {r["doc_id"]: 0 for r in out}
     for r in out:
         counts[r["doc_id"]] += 1
-    assert all(counts.get(i, 0) == copies(i, 2 / 3 if i % 4 else 2.0) for i in range(8000))
+    assert all(counts.get(i, 0) == copies(i, f"t{i}", 2 / 3 if i % 4 else 2.0) for i in range(8000))
 
 
 def test_weights(spark):
@@ -50,11 +55,41 @@ def test_weights(spark):
     assert "s2" not in n and n["s0"] / n["s1"] == pytest.approx(3.0, rel=0.15)
 
 
-def test_large_rates(spark):
-    steps = spark.range(1).select(mixing.poisson_steps(F.lit(900.0)).alias("s")).first()["s"]
+def test_steps_of_the_largest_part(spark):
+    steps = spark.range(1).select(mixing.poisson_steps(F.lit(mixing.PART)).alias("s")).first()["s"]
     assert steps[-1] == pytest.approx(1.0, abs=1e-9) and all(a <= b for a, b in zip(steps, steps[1:], strict=False))
 
 
+def test_rates_far_above_a_part(spark):
+    """A single document of a source with a rate near 10^6: its copies are made by parts, in all tasks."""
+    rows = spark.range(400_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") < 1, "rare").otherwise("big").alias("source"))
+    out = mixing.replicate(rows)
+    seen = out.select("row.source", "part", F.spark_partition_id().alias("task")).groupBy("source")
+    n = {r["source"]: (r["n"], r["parts"], r["tasks"]) for r in seen.agg(F.count("*").alias("n"), F.countDistinct("part").alias("parts"), F.countDistinct("task").alias("tasks")).collect()}
+    assert abs(n["rare"][0] - 200_000) < 4 * math.sqrt(200_000) and n["rare"][1] == math.ceil(200_000 / mixing.PART)
+    assert n["rare"][2] == 4
+
+
+def test_rows_that_share_an_id_keep_the_mean(spark):
+    rows = [(None, "x", "en", "a", 1)] * 200 + [(None, "x", "en", "b", 1)] * 200 + [(7, f"t{i}", "en", "c", 1) for i in range(1600)]
+    out = mixing.replicate(documents(spark, rows), weights={"a": 1.0, "b": 3.0, "c": 4.0}).cache()
+    n = {r["source"]: r["count"] for r in out.groupBy("row.source").count().collect()}
+    for source, mean in (("a", 250), ("b", 750), ("c", 1000)):
+        assert abs(n[source] - mean) < 4 * math.sqrt(mean)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * sum(sizes) / 4
+    drawn = {(r["nth"], r["copy"]) for r in out.where("row.source = 'a'").select("nth", "copy").collect()}
+    assert drawn == {(i, c) for i in range(200) for c in range(copies(None, "x", 1.25, i))}
+
+
+def test_odd_weights(spark):
+    assert mixing.mix(documents(spark), weights={}).count() == 0
+    assert mixing.mix(documents(spark), weights={"a": 0.0}).count() == 0
+    for bad in (-1.0, float("inf"), float("nan")):
+        with pytest.raises(ValueError):
+            mixing.mix(documents(spark), weights={"a": bad})
+
+
 def test_mix_odd_documents(spark):
     out = mixing.mix(documents(spark))
     assert out.columns == documents(spark).columns
