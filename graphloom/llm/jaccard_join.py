@@ -2,18 +2,27 @@
 
 A text's set is its distinct n-grams of words (all its words as one gram if it has fewer).
 Texts with equal sets are one member, with a count of copies.  Each member's MinHash
-signature is cut into bands; members that share a band's hash may be similar.  Each member
-is tied to the least member of its bands' buckets, never to all of them, and the components
-of these ties are candidate clusters.  Within a cluster every pair is verified on the
-full sets: the cluster is cut into blocks of bounded size, a task holds two blocks, and only
-counts and one link per member leave it, so a large group costs work but no rows.
+signature is cut into bands; members that share a band's hash, a bucket, may be similar.  Pairs
+are verified on the full sets, in three steps, none of which puts out pairs.
+
+1. Each member meets the least member, the head, of each of its buckets.  Verified ties make
+   clusters, so members that merely share a bucket by chance never chain clusters together.
+2. In buckets where members besides the head belong to two or more clusters, those of
+   different clusters meet; a pair is counted in the first bucket it shares.  What links here joins
+   the clusters to classes.
+3. Within a cluster every pair is verified, shared bucket or not.
+
+Members meet in blocks of bounded size, two blocks to a task; only counts and one link per member
+leave it, so a large group costs work but no rows.  A hub, a full bucket and a head of many members are
+split over tasks.
 
 With the default bands and rows a pair of similarity 0.8 is missed with probability 0.0006
 (less, since clusters hold more pairs than the buckets), and one of 0.3 is tried with 0.0026.
 
 Defined cases: a text without words, or null, has no set and no links; texts with equal sets
 are linked; repeated rows are copies; null ids are never a class's id unless all its ids are;
-an empty table gives no rows; long texts are taken whole; other columns are not read.
+an empty table gives no rows; long texts are taken whole; other columns are not read.  Ids are
+whole numbers (or text that casts to them).
 """
 
 from __future__ import annotations
@@ -23,11 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import connected_components
-from graphloom.llm.shared import row_key, small, table
+from graphloom.llm.shared import join_per_key, row_key, small, table
 from graphloom.llm.wordhash import hash_words, shingles, split_words
 
 GRAM = 5
@@ -89,11 +98,18 @@ def sketch(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> Da
     return table(rows_in.mapInArrow(run, "rid long, doc_id long, key long, n long, set_key binary, bands array<long>"), "jaccard-sketch")
 
 
-def _ties(members: DataFrame) -> DataFrame:
+def _buckets(members: DataFrame) -> DataFrame:
+    """bucket, n, head and last (the least and greatest sid) of the buckets of two members or more."""
+    entries = members.select("sid", F.explode("bands").alias("bucket"))
+    grouped = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("head"), F.max("sid").alias("last"))
+    return grouped.where("head < last")
+
+
+def _ties(members: DataFrame, buckets: DataFrame) -> DataFrame:
     """sid and head: each member with the least member of each of its buckets."""
-    buckets = members.select("sid", F.explode("bands").alias("bucket"))
-    heads = buckets.groupBy("bucket").agg(F.min("sid").alias("head"), F.max("sid").alias("last")).where("head < last").select("bucket", "head")
-    return buckets.join(heads, "bucket").where("sid != head").select("sid", "head").distinct()
+    entries = members.select("sid", F.explode("bands").alias("bucket"))
+    met = join_per_key(entries, buckets.select("bucket", "n", "head"), "bucket", "n")
+    return met.where("sid != head").select("sid", "head").distinct()
 
 
 def intersections(codes: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
@@ -118,14 +134,11 @@ def intersections(codes: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
     return shared
 
 
-def verify_blocks(block: pa.Table) -> pa.Table:
-    """sid, root and links of the members of two blocks: linked copies of other members, and one tie to the least linked member."""
-    first = int(block.column("i")[0].as_py())
-    second = int(block.column("j")[0].as_py())
+def similar(block: pa.Table) -> tuple[np.ndarray, pa.Table]:
+    """(m x m matrix of linked pairs, the block's rows): rows that come more than once are taken once."""
     sid = block.column("sid").to_numpy()
-    _, keep = np.unique(sid, return_index=True)  # repeated rows bring a member's set more than once
-    block, sid = block.take(pa.array(keep)), sid[keep]
-    own, copies = block.column("b").to_numpy(), block.column("copies").to_numpy()
+    _, keep = np.unique(sid, return_index=True)
+    block = block.take(pa.array(keep))
     sets = [np.frombuffer(g, "u8") for g in block.column("grams").to_pylist()]
     n = np.array([len(s) for s in sets], "f8")
     m = len(sets)
@@ -133,50 +146,129 @@ def verify_blocks(block: pa.Table) -> pa.Table:
     above, below = THRESHOLD
     linked = below * shared >= above * (n[:, None] + n[None, :] - shared)
     np.fill_diagonal(linked, False)
+    return linked, block
+
+
+def verify_ties(block: pa.Table) -> pa.Table:
+    """sid and head of the verified ties of one head."""
+    head = block.column("head")[0].as_py()
+    sid = block.column("sid").to_numpy()
+    above, below = THRESHOLD
+    sets = [np.frombuffer(g, "u8") for g in block.column("grams").to_pylist()]
+    own = sets[int(np.flatnonzero(sid == head)[0])]
+    n = np.array([len(s) for s in sets])
+    shared = np.add.reduceat(np.isin(np.concatenate(sets), own), np.r_[0, np.cumsum(n)[:-1]], dtype="i8")
+    keep = (sid != head) & (below * shared >= above * (len(own) + n - shared))
+    return pa.table({"sid": sid[keep], "head": np.full(int(keep.sum()), head, "i8")})
+
+
+def count_within(block: pa.Table) -> pa.Table:
+    """sid and links of the members of two blocks of a cluster: linked copies of other members."""
+    first, second = (int(block.column(c)[0].as_py()) for c in ("i", "j"))
+    linked, block = similar(block)
     if first != second:
+        own = block.column("b").to_numpy()
         linked &= own[:, None] != own[None, :]
-    root = np.arange(m)
-    while True:
-        near = np.minimum(root, np.where(linked, root[None, :], m).min(axis=1, initial=m))
-        near = near[near]
-        if (near == root).all():
-            break
-        root = near
     has = linked.any(axis=1)
-    return pa.table({"sid": sid[has], "root": sid[root[has]], "links": (linked @ copies).astype("i8")[has]})
+    return pa.table({"sid": block.column("sid").to_numpy()[has], "links": (linked @ block.column("copies").to_numpy()).astype("i8")[has]})
 
 
-def _verify(members: DataFrame, clusters: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """sid, root and links of each member with a link, by block pairs of each cluster."""
-    placed = members.join(clusters, F.col("sid") == F.col("node")).select("sid", "doc_id", "key", "n", "copies", F.col("root").alias("cluster"))
-    sizes = placed.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)).cast("int").alias("blocks")
+def count_across(block: pa.Table) -> pa.Table:
+    """sid, links, cluster and other (the least linked cluster) of members of two blocks of a bucket.
+
+    Only pairs of different clusters count, and only in the first bucket that they share.
+    """
+    first, second = (int(block.column(c)[0].as_py()) for c in ("i", "j"))
+    bucket = block.column("bucket")[0].as_py()
+    linked, block = similar(block)
+    cluster, own, bands = block.column("cluster").to_numpy(), block.column("b").to_numpy(), block.column("bands").combine_chunks()
+    linked &= cluster[:, None] != cluster[None, :]
+    if first != second:
+        linked &= own[:, None] != own[None, :]
+    cut = bands.values.to_numpy().reshape(len(own), -1)
+    for band in range(int(np.flatnonzero(cut[0] == bucket)[0])):
+        linked &= cut[:, band][:, None] != cut[:, band][None, :]
+    has = linked.any(axis=1)
+    least = np.where(linked, cluster[None, :], np.iinfo("i8").max).min(axis=1, initial=np.iinfo("i8").max)
+    return pa.table(
+        {
+            "sid": block.column("sid").to_numpy()[has],
+            "links": (linked @ block.column("copies").to_numpy()).astype("i8")[has],
+            "cluster": cluster[has],
+            "other": least[has],
+        }
     )
-    wanted = table(
-        placed.join(sizes, "cluster").select("*", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("b")), "jaccard-members"
-    ).select("sid", F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "copies", "cluster", "blocks", "b")
+
+
+def gram_sets(members: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """sid and grams (the full set) of the given members (sid, doc_id, key), as a written table; texts are read where they lie."""
+    wanted = members.select("sid", F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
-    found = texts.join(small(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    found = texts.join(small(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("sid", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # rows with equal ids and texts bring a member more than once
         for batch in batches:
-            sets = [shingles(hash_words(split_words(t)), GRAM).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("sid", "copies", "cluster", "blocks", "b")), pa.array(sets, pa.binary())],
-                ["sid", "copies", "cluster", "blocks", "b", "grams"],
-            )
+            sid, sets = [], []
+            for i, t in zip(batch.column("sid").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if i not in done:
+                    done.add(i)
+                    sid.append(i)
+                    sets.append(shingles(hash_words(split_words(t)), GRAM).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(sid, "int64"), pa.array(sets, pa.binary())], ["sid", "grams"])
+
+    return table(found.mapInArrow(grams, "sid long, grams binary").dropDuplicates(["sid"]), "jaccard-grams")
+
+
+def _n_blocks() -> Column:
+    """How many blocks a group of members needs, from their number and the size of their sets."""
+    return F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)).cast("int").alias("blocks")
 
-    sets = found.select("sid", "copies", "cluster", "blocks", "b", "text").mapInArrow(
-        grams, "sid long, copies long, cluster long, blocks int, b int, grams binary"
-    )
-    pairs = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "cluster", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "b", "sid", "copies", "grams"
-    )
-    return pairs.groupBy("cluster", "i", "j").applyInArrow(verify_blocks, "sid long, root long, links long")
+
+def _in_blocks(placed: DataFrame) -> DataFrame:
+    """placed with the block pairs (i, j) of its group that each row's own block b belongs to."""
+    own = placed.withColumn("b", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    spread = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_other"))
+    return spread.select("*", F.least("b", "_other").alias("i"), F.greatest("b", "_other").alias("j")).drop("_other", "blocks")
+
+
+def _verified_ties(ties: DataFrame, members: DataFrame, grams: DataFrame) -> DataFrame:
+    """The ties whose pairs are similar; a head comes to every block of its members."""
+    sizes = ties.join(members.select("sid", "n"), "sid").groupBy("head").agg(_n_blocks(), F.count(F.lit(1)).alias("tied"))
+    sizes = table(sizes, "jaccard-heads")
+    dealt = join_per_key(ties, sizes, "head", "tied").select("head", "sid", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("b"))
+    heads = sizes.select("head", F.col("head").alias("sid"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    met = dealt.unionByName(heads).join(grams, "sid")
+    return met.select("head", "sid", "b", "grams").groupBy("head", "b").applyInArrow(verify_ties, "sid long, head long")
+
+
+def _cross_links(members: DataFrame, buckets: DataFrame, clusters: DataFrame, grams: DataFrame) -> DataFrame:
+    """sid, links, cluster and other: links between clusters, from the buckets in which they meet besides the head."""
+    placed = members.join(clusters, F.col("sid") == F.col("node"), "left").select("sid", "n", "copies", "bands", F.coalesce("root", "sid").alias("cluster"))
+    placed = table(placed, "jaccard-placed")
+    entries = placed.select("sid", "n", "copies", "cluster", F.explode("bands").alias("bucket"))
+    crowded = buckets.where("n > 2").select("bucket", F.col("n").alias("size"), "head")
+    rest = table(join_per_key(entries, crowded, "bucket", "size").where("sid != head").select("bucket", "sid", "n", "copies", "cluster"), "jaccard-rest")
+    mixed = rest.groupBy("bucket").agg(_n_blocks(), F.count(F.lit(1)).alias("size"), F.min("cluster").alias("one"), F.max("cluster").alias("two"))
+    mixed = mixed.where("one < two").select("bucket", "blocks", "size")
+    meeting = table(_in_blocks(join_per_key(rest, mixed, "bucket", "size")).select("bucket", "i", "j", "b", "sid", "copies", "cluster"), "jaccard-meeting")
+    sets = grams.join(placed.select("sid", "bands"), "sid").join(meeting.select("sid").distinct(), "sid", "left_semi")
+    met = meeting.join(sets, "sid").select("bucket", "i", "j", "b", "sid", "copies", "cluster", "bands", "grams")
+    return met.groupBy("bucket", "i", "j").applyInArrow(count_across, "sid long, links long, cluster long, other long")
+
+
+def _links_within(members: DataFrame, clusters: DataFrame, grams: DataFrame) -> DataFrame:
+    """sid and links of each member of a cluster, by its block pairs."""
+    placed = members.join(clusters, F.col("sid") == F.col("node")).select("sid", "n", "copies", F.col("root").alias("cluster"))
+    placed = table(placed, "jaccard-members")
+    sizes = placed.groupBy("cluster").agg(_n_blocks(), F.count(F.lit(1)).alias("size"))
+    own = join_per_key(placed, sizes, "cluster", "size").select("sid", "copies", "cluster", "blocks")
+    met = _in_blocks(own.join(grams, "sid")).select("cluster", "i", "j", "b", "sid", "copies", "grams")
+    return met.groupBy("cluster", "i", "j").applyInArrow(count_within, "sid long, links long")
 
 
 def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """rid, doc_id, key, class_id, class_size and n_links of each row of docs.
+    """rid, doc_id, key, root, class_id, class_size and n_links of each row of docs.
 
     A class is a component of the links; its id is its least doc_id.  n_links counts the other
     rows whose set is similar enough, copies included.
@@ -187,26 +279,37 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     sets = table(sets, "jaccard-sets")
     members = drawn.join(sets.select("sid", "copies"), F.col("rid") == F.col("sid")).select("sid", "doc_id", "key", "n", "copies", "bands")
-    clusters = connected_components(_ties(members), "sid", "head")
-    verified = table(_verify(members.drop("bands"), clusters, docs, doc_id, text), "jaccard-links")
-    roots = connected_components(verified, "sid", "root")
-    links = verified.groupBy("sid").agg(F.sum("links").alias("links"))
+    buckets = table(_buckets(members), "jaccard-buckets")
+    ties = table(_ties(members, buckets), "jaccard-ties")
+    tied = ties.select("sid").unionByName(ties.select(F.col("head").alias("sid"))).distinct()
+    members = table(members.join(small(tied), "sid"), "jaccard-tied")
+    grams = gram_sets(members, docs, doc_id, text)
+    verified = table(_verified_ties(ties, members, grams), "jaccard-verified")
+    clusters = table(connected_components(verified, "sid", "head"), "jaccard-clusters")
+    across = table(_cross_links(members, buckets, clusters, grams), "jaccard-across")
+    within = table(_links_within(members, clusters, grams), "jaccard-within")
+    links = within.unionByName(across.select("sid", "links")).groupBy("sid").agg(F.sum("links").alias("links"))
+    joined = connected_components(across, "cluster", "other").select(F.col("node").alias("_cluster"), F.col("root").alias("_class"))
+    own = F.coalesce("root", "sid")
+    placed = sets.join(clusters.withColumnRenamed("node", "sid"), "sid", "left").withColumn("own", own)
     placed = (
-        sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+        placed.join(small(joined), F.col("own") == F.col("_cluster"), "left")
         .join(links, "sid", "left")
-        .select("set_key", F.coalesce("root", "sid").alias("root"), "least_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("set_key", F.coalesce("_class", "own").alias("root"), "least_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    placed = table(placed, "jaccard-placed")
-    classes = placed.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = placed.join(classes, "root").select(F.col("set_key").alias("_set"), "class_id", "class_size", "n_links", "root")
-    return drawn.drop("bands", "n").join(named, F.col("set_key") == F.col("_set"), "left").select(
-        "rid",
-        "doc_id",
-        "key",
-        F.coalesce("root", "rid").alias("root"),
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    placed = table(placed, "jaccard-classes")
+    classes = placed.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("sets"))
+    named = join_per_key(placed, classes, "root", "sets").select(F.col("set_key").alias("_set"), "class_id", "class_size", "n_links", "root", "copies")
+    found = join_per_key(
+        drawn.where(F.col("set_key").isNotNull()).select("rid", "doc_id", "key", F.col("set_key").alias("_set")), named, "_set", "copies"
+    )
+    alone = drawn.where(F.col("set_key").isNull())
+    return found.select(
+        "rid", "doc_id", "key", "root", "class_id", F.col("class_size").cast("long").alias("class_size"), F.col("n_links").cast("long").alias("n_links")
+    ).unionByName(
+        alone.select(
+            "rid", "doc_id", "key", F.col("rid").alias("root"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links")
+        )
     )
 
 
@@ -217,8 +320,9 @@ def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     found = table(join_documents(docs, doc_id, text), "jaccard-classes")
     large = found.where("class_size > 1")
-    keepers = large.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "rid")).alias("keep"))
-    rest = large.join(keepers, "root").where("rid != keep.rid")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "rid"))
+    keepers = large.groupBy("root").agg(first.alias("keep"), F.count(F.lit(1)).alias("held"))
+    rest = join_per_key(large, keepers, "root", "held").where("rid != keep.rid")
     same = (F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))) & (F.col("key") == F.col("keep.key"))
     gone = rest.where(~same).select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct()
     twins = rest.where(same).select(F.col("doc_id").alias("_twin_id"), F.col("key").alias("_twin_key")).distinct()

@@ -95,6 +95,40 @@ def test_join_in_many_blocks(spark, monkeypatch):
     _check_join(spark, _near_copies(seed=2))
 
 
+def _loosely_alike(n=60, seed=4):
+    """Documents that share a frame of a third of their n-grams, some with a close copy, so that buckets hold strangers."""
+    rng = random.Random(seed)
+    frame = [f"frame{i}" for i in range(40)]
+    rows = []
+    for d in range(n):
+        own = [f"d{d % 40}w{i}" for i in range(40)]
+        if d >= 40:
+            own[rng.randrange(40)] = f"edit{d}"
+        rows.append((d, " ".join(frame + own), "en", "a", 1))
+    return rows
+
+
+def test_strangers_in_a_bucket_chain_nothing(spark, monkeypatch):
+    """With bands of one row, documents of similarity 1/3 share buckets all over; no tie between them outlives verification."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 9)
+    rows = _loosely_alike()
+    joined = jaccard_join.join_documents(documents(spark, rows), bands=40, rows=1)
+    links, members = jaccard_classes([(r[0], r[1]) for r in rows])
+    assert {r["doc_id"]: (r["n_links"], r["class_id"], r["class_size"]) for r in joined.collect()} == {
+        i: (links[i], min(m), len(m)) for i, m in enumerate(members)
+    }
+    assert max(len(m) for m in members) <= 2 and sum(links) == 40
+
+
+def test_links_between_strangers_of_a_head(spark):
+    """Two members are alike, but neither is like the head of the bucket they share."""
+    frame = [f"frame{i}" for i in range(40)]
+    pair = frame + [f"pair{i}" for i in range(40)]
+    rows = [(0, " ".join(frame + [f"x{i}" for i in range(40)]), "en", "a", 1), (1, " ".join(pair), "en", "a", 1), (2, " ".join(pair[:-1] + ["end"]), "en", "a", 1)]
+    joined = jaccard_join.join_documents(documents(spark, rows), bands=20, rows=1)
+    assert {r["doc_id"]: (r["n_links"], r["class_id"]) for r in joined.collect()} == {0: (0, 0), 1: (1, 1), 2: (1, 1)}
+
+
 def test_join_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "small", lambda df, rows=0: df)
     _check_join(spark, odd_documents())
