@@ -260,7 +260,6 @@ def _cross_links(members: DataFrame, buckets: DataFrame, clusters: DataFrame, gr
 def _links_within(members: DataFrame, clusters: DataFrame, grams: DataFrame) -> DataFrame:
     """sid and links of each member of a cluster, by its block pairs."""
     placed = members.join(clusters, F.col("sid") == F.col("node")).select("sid", "n", "copies", F.col("root").alias("cluster"))
-    placed = table(placed, "jaccard-members")
     sizes = placed.groupBy("cluster").agg(_n_blocks(), F.count(F.lit(1)).alias("size"))
     own = join_per_key(placed, sizes, "cluster", "size").select("sid", "copies", "cluster", "blocks")
     met = _in_blocks(own.join(grams, "sid")).select("cluster", "i", "j", "b", "sid", "copies", "grams")
@@ -285,7 +284,7 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = table(members.join(small(tied), "sid"), "jaccard-tied")
     grams = gram_sets(members, docs, doc_id, text)
     verified = table(_verified_ties(ties, members, grams), "jaccard-verified")
-    clusters = table(connected_components(verified, "sid", "head"), "jaccard-clusters")
+    clusters = connected_components(verified, "sid", "head")
     across = table(_cross_links(members, buckets, clusters, grams), "jaccard-across")
     within = table(_links_within(members, clusters, grams), "jaccard-within")
     links = within.unionByName(across.select("sid", "links")).groupBy("sid").agg(F.sum("links").alias("links"))
