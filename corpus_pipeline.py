@@ -2,9 +2,16 @@
 
 Quality rules reject documents, near copies leave one document of each class,
 contaminated documents go, sources are mixed to equal shares, and what is left is
-encoded and written as token lists.  Each stage takes (spark, docs, sf_dir) and
-returns a DataFrame; ``run`` writes each result as Parquet in the shared folder and
-hands the next stage what it reads back.
+encoded and written as token lists, in the global random order of the mix.  Each stage takes
+(spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet in the shared
+folder and hands the next stage what it reads back.
+
+Defined cases: a document with null or empty text has no words and goes in the first stage; a null id
+or source is carried as it is, and a null source is a source of its own; repeated rows are copies, of
+which the second stage leaves one; among documents of one class the least id stays, a null id only
+where all are null; copies that the fourth stage makes are equal rows, each encoded; empty tables give
+empty tables; texts are taken whole; further columns are carried up to the last stage.  The last stage
+reads the order in which its documents were written, so it wants a table of files.
 """
 
 from __future__ import annotations
@@ -48,9 +55,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each copy, from the written token files."""
+    """doc_id, start, n_tokens and ids_crc32 of each copy, from the token files, written in the order of docs' files."""
     tune(spark)
-    return token_output.digest(token_output.token_table(docs, tokenizer_file("word_bpe_49k.json"), end_id=1, cache=TOKEN_CACHE))
+    tokens = token_output.token_table(docs, tokenizer_file("word_bpe_49k.json"), end_id=1, cache=TOKEN_CACHE, order=token_output.written_order())
+    return token_output.digest(tokens)
 
 
 STAGES: list[tuple[str, Stage]] = [

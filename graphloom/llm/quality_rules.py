@@ -1,13 +1,16 @@
 """Quality rules with host-level verdicts, in DataFrame functions only.
 
-Each document gets rule counts from its whole text.  Hosts (the ``source``
-column) collect how many of their documents fail a rule; the rate is shrunk
-towards an empirical beta prior fitted to all hosts, and a host whose shrunk
-rate is above a threshold takes its documents with it.
+Each document gets rule counts from its whole text.  Hosts (the ``source`` column)
+collect how many of their documents fail a rule.  A beta prior is fitted to all hosts: its mean is
+the rate of all documents, its spread what the hosts' rates vary beyond the chance of
+their sample.  A host's rate is shrunk towards it, and the host takes its documents with it if the
+rate is, with a margin for what its number of documents leaves open, above the limit.
+The limit is relative to the prior: odds of failure ``MAX_ODDS_RATIO`` times those of all documents.
 
 Defined cases: a null text has no words and fails; a null host is a host of its
-own; repeated rows each count and each get a result; ties do not arise; an empty
-table gives an empty result; columns other than those named are ignored, so
+own; repeated rows each count and each get a result; a rate exactly at the limit passes; where all
+documents fail or none does, no host is worse than the others; an empty
+table gives an empty result; long texts are measured whole; columns other than those named are ignored, so
 clashing names do no harm (``filter_documents`` carries them through untouched).
 """
 
@@ -28,8 +31,9 @@ MAX_REPEAT_PERCENT = 30
 # Parameters of the further rules and of the host verdict.
 MAX_SYMBOL_PERCENT = 10
 MAX_DUP_LINE_PERCENT = 30
-MAX_HOST_RATE = 0.5
-DEFAULT_STRENGTH = 50.0
+MAX_ODDS_RATIO = 3.0
+#: Standard deviations of the shrunk rate that it must be above the limit.
+MARGIN = 2.0
 MIN_STRENGTH, MAX_STRENGTH = 2.0, 10_000.0
 
 
@@ -137,10 +141,8 @@ def _counted(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
     )
 
 
-def base_failed(n_words: Column | None = None, n_repeat_words: Column | None = None) -> Column:
-    n = F.col("n_words") if n_words is None else n_words
-    repeated = F.col("n_repeat_words") if n_repeat_words is None else n_repeat_words
-    return (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
 def rule_failed() -> Column:
@@ -158,39 +160,44 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
     return out.select("*", base_failed().alias("base_failed"), rule_failed().alias("rule_failed"))
 
 
-def host_verdicts(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """host, n_docs, n_failed, shrunk_rate, host_ok.
+def host_verdicts(measured: DataFrame, max_odds_ratio: float = MAX_ODDS_RATIO) -> DataFrame:
+    """host, n_docs, n_failed, shrunk_rate, deviation, max_rate, host_ok.
 
-    The beta prior is fitted by the moments of the hosts' rates: its mean is the rate of all
-    documents, its strength follows from the variance between hosts (a default where there is none).
+    The prior's variance is that between hosts, weighted by their documents, less what rates of samples
+    of their size vary by chance; its strength (documents that it counts for) follows from it, the
+    greatest one where nothing is left.
     """
     hosts = measured.groupBy("host").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("rule_failed").cast("long")).alias("n_failed")
     )
-    prior = hosts.agg(
-        (F.sum("n_failed") / F.sum("n_docs")).alias("mean"),
-        F.var_pop(F.col("n_failed") / F.col("n_docs")).alias("var"),
-    ).select(
-        "mean",
-        F.when(F.col("var") > 0, F.col("mean") * (1 - F.col("mean")) / F.col("var") - 1)
-        .otherwise(DEFAULT_STRENGTH)
-        .alias("strength"),
+    n, f = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    sums = hosts.agg(
+        F.count(F.lit(1)).cast("double").alias("hosts"), F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(n * n).alias("nn"), F.sum(f * f / n).alias("ff")
     )
-    strength = F.greatest(F.lit(MIN_STRENGTH), F.least(F.lit(MAX_STRENGTH), F.col("strength")))
-    rate = (F.col("n_failed") + F.col("mean") * strength) / (F.col("n_docs") + strength)
-    # the prior is one row by construction
-    return hosts.crossJoin(F.broadcast(prior)).select(
-        "host", "n_docs", "n_failed", rate.alias("shrunk_rate"), (rate <= max_rate).alias("host_ok")
+    mean, chance = F.col("f") / F.col("n"), F.col("f") / F.col("n") * (1 - F.col("f") / F.col("n"))
+    between = F.col("ff") - F.col("f") * F.col("f") / F.col("n") - (F.col("hosts") - 1) * chance
+    room = F.col("n") - F.col("nn") / F.col("n")
+    strength = F.when((between > 0) & (room > 0), chance * room / between - 1).otherwise(MAX_STRENGTH)
+    prior = sums.select(
+        mean.alias("mean"),
+        F.greatest(F.lit(MIN_STRENGTH), F.least(F.lit(MAX_STRENGTH), strength)).alias("strength"),
+        (max_odds_ratio * mean / (1 + (max_odds_ratio - 1) * mean)).alias("max_rate"),
     )
+    weight = F.col("n_docs") + F.col("strength")
+    # the prior is one row by construction
+    shrunk = hosts.crossJoin(F.broadcast(prior)).withColumn("shrunk_rate", (F.col("n_failed") + F.col("mean") * F.col("strength")) / weight)
+    judged = shrunk.withColumn("deviation", F.sqrt(F.col("shrunk_rate") * (1 - F.col("shrunk_rate")) / (weight + 1)))
+    ok = F.col("shrunk_rate") - MARGIN * F.col("deviation") <= F.col("max_rate")
+    return judged.select("host", "n_docs", "n_failed", "shrunk_rate", "deviation", "max_rate", ok.alias("host_ok"))
 
 
-def judge(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def judge(measured: DataFrame, max_odds_ratio: float = MAX_ODDS_RATIO) -> DataFrame:
     """measured with shrunk_rate of its host and kept: not base_failed, and its host passes.
 
     measured is read twice; pass a written table.  Hosts are broadcast up to a checked number and
     otherwise joined by a shuffle of these short rows, where a hot host is split as a skewed key.
     """
-    verdicts = small(host_verdicts(measured, max_rate).select(F.col("host").alias("_host"), "shrunk_rate", "host_ok"))
+    verdicts = small(host_verdicts(measured, max_odds_ratio).select(F.col("host").alias("_host"), "shrunk_rate", "host_ok"))
     joined = measured.join(verdicts, measured["host"].eqNullSafe(verdicts["_host"]), "left")
     return joined.select(*measured.columns, "shrunk_rate", (~F.col("base_failed") & F.col("host_ok")).alias("kept"))
 
@@ -200,15 +207,16 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return judge(table(measure(docs, doc_id, text, host), "quality-rules"))
 
 
-def filter_documents(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def filter_documents(docs: DataFrame, text: str = "text", host: str = "source", max_odds_ratio: float = MAX_ODDS_RATIO) -> DataFrame:
     """The rows of docs that are kept, all their columns unchanged.
 
-    Only short rows are written or shuffled for the verdicts; texts stay where they are read.
+    Texts are measured once, as the rows that pass the base rules are written; hosts are judged by the short
+    columns of that table, and its rows are read again without those of bad hosts.
     """
-    thin = table(measure(docs.withColumn("doc_id", F.lit(None).cast("long")), "doc_id", text, host).select("host", "rule_failed"), "quality-hosts")
-    bad = small(host_verdicts(thin, max_rate).where(~F.col("host_ok")).select(F.col("host").alias("_host")))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    carried = row.select("row", F.col(f"row.`{text}`").alias("text"), F.col(f"row.`{host}`").cast("string").alias("host"))
-    failed = F.transform(F.array(_counts(F.col("text"))["words"]), lambda w: base_failed(w["n_words"], w["n_repeat_words"]))
-    passed = carried.where(~F.get(failed, 0)).select("row", "host")
+    counted = _counted(row, f"row.`{text}`", [F.col("row"), F.col(f"row.`{host}`").cast("string").alias("host")])
+    ruled = counted.select("host", rule_failed().alias("rule_failed"), F.when(~base_failed(), F.col("row")).alias("row"))
+    ruled = table(ruled, "quality-ruled")
+    bad = small(host_verdicts(ruled, max_odds_ratio).where(~F.col("host_ok")).select(F.col("host").alias("_host")))
+    passed = ruled.where(F.col("row").isNotNull())
     return passed.join(bad, passed["host"].eqNullSafe(bad["_host"]), "left_anti").select("row.*")

@@ -128,17 +128,23 @@ WITH d AS (
   FROM m
 ), h AS (
   SELECT source, count(*)::DOUBLE AS n, sum(rule_failed::INT)::DOUBLE AS f FROM r GROUP BY source
-), p AS (
-  SELECT sum(f) / sum(n) AS mean,
-         greatest(2.0, least(10000.0, CASE WHEN var_pop(f / n) > 0
-           THEN (sum(f) / sum(n)) * (1 - sum(f) / sum(n)) / var_pop(f / n) - 1 ELSE 50.0 END)) AS strength
+), m1 AS (
+  SELECT sum(f) / sum(n) AS mean, (sum(f) / sum(n)) * (1 - sum(f) / sum(n)) AS chance, sum(n) - sum(n * n) / sum(n) AS room,
+         sum(f * f / n) - sum(f) * sum(f) / sum(n) - (count(*) - 1) * ((sum(f) / sum(n)) * (1 - sum(f) / sum(n))) AS between_hosts
   FROM h
+), p AS (
+  SELECT mean, 3 * mean / (1 + 2 * mean) AS max_rate,
+         greatest(2.0, least(10000.0, CASE WHEN between_hosts > 0 AND room > 0 THEN chance * room / between_hosts - 1 ELSE 10000.0 END)) AS strength
+  FROM m1
+), v AS (
+  SELECT source, max_rate, n + strength AS weight, (f + mean * strength) / (n + strength) AS rate FROM h, p
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (f + mean * strength) / (n + strength) <= 0.5 AS kept
-FROM r JOIN h ON r.source IS NOT DISTINCT FROM h.source, p
+       NOT base_failed AND rate - 2 * sqrt(rate * (1 - rate) / (weight + 1)) <= max_rate AS kept
+FROM r JOIN v ON r.source IS NOT DISTINCT FROM v.source
 """
 
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 

@@ -1,14 +1,15 @@
-"""Token-ID output: Parquet files of token lists, in document order, for selective reads.
+"""Token-ID output: Parquet files of token lists, in document order or one given, for selective reads.
 
-Texts are range-partitioned by document id before they are encoded, so only texts
-are shuffled and each file holds one range of ids in ascending order.  ``ids`` is a
+Texts are range-partitioned by document id, or by an order column such as that of a global shuffle,
+before they are encoded, so only texts are shuffled and each file holds one range in ascending order.  ``ids`` is a
 list column with dictionary encoding; ``doc_id``, ``ordinal`` and ``n_tokens`` are delta
 encoded.  Row groups are small and pages carry indexes, so a reader that filters on ids or
 asks for the metadata columns only touches little of a file.
 
-Defined cases: a null text is empty and gives the end id alone; null ids come first;
+Defined cases: a null text is empty and gives the end id alone; null ids come first, dealt over tasks;
 rows with equal ids are ordered by a hash of their text, equal rows anyhow; an empty
-table gives no rows; other columns are not read.
+table gives no rows; long texts are encoded whole; other columns are not read.  Ids are whole numbers
+(or text that casts to them).
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import in_ranges, input_partitions, new_path, row_key
+from graphloom.llm.shared import in_ranges, input_partitions, new_path, row_key, small
 
 #: Parquet settings of the files.
 ROW_GROUP_BYTES = 16 << 20
@@ -142,14 +143,23 @@ def encoder(path: str, cache: int = CACHE_CHUNKS) -> ChunkEncoder:
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", cache: int = CACHE_CHUNKS
+    docs: DataFrame,
+    path: str,
+    tokenizer: str,
+    end_id: int,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    cache: int = CACHE_CHUNKS,
+    order: Column | None = None,
 ) -> None:
-    """Encode every text, append end_id, and write the files in ascending document order.
+    """Encode every text, append end_id, and write the files in ascending order of documents, or of a long column of docs.
 
     cache bounds the chunks that a worker remembers, at about 150 bytes each: memory against time.
     """
-    thin = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("tie"))
-    ordered = in_ranges(thin, "doc_id", "tie", input_partitions(docs))
+    own = F.col(doc_id).cast("long")
+    place = own if order is None else order.cast("long")
+    thin = docs.select(own.alias("doc_id"), F.col(text).alias("text"), place.alias("place"), row_key(doc_id, text).alias("tie"))
+    ordered = in_ranges(thin, "place", "tie", input_partitions(docs))
     # the partition's number in the upper bits, the row's place in it in the lower 33
     numbered = ordered.select("doc_id", F.monotonically_increasing_id().alias("ordinal"), "text")
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,13 +206,22 @@ def digest(tokens: DataFrame) -> DataFrame:
     bases = totals.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("file").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     started = rows.select("*", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("inside"))
-    return started.join(F.broadcast(bases), "file").select(
+    return started.join(small(bases), "file").select(
         "doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"
     )
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int, cache: int = CACHE_CHUNKS) -> DataFrame:
+def written_order() -> Column:
+    """The place of a row in the Parquet table it is read from: by number of the part file, then by row.
+
+    Spark deals files to tasks by size, so neither tasks nor row ids tell in which order a table was written.
+    """
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).cast("long")
+    return F.shiftleft(part, 40) + F.col("_metadata.row_index")
+
+
+def token_table(docs: DataFrame, tokenizer: str, end_id: int, cache: int = CACHE_CHUNKS, order: Column | None = None) -> DataFrame:
     """Write the files to the shared folder and read them back."""
     path = new_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path, tokenizer, end_id, cache=cache)
+    write_tokens(docs, path, tokenizer, end_id, cache=cache, order=order)
     return read_tokens(docs.sparkSession, path)

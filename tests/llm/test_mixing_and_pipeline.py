@@ -13,6 +13,7 @@ import corpus_pipeline
 from graphloom.llm import mixing
 from graphloom.llm import queries as llm_queries
 from graphloom.llm.queries import tokenizer_file
+from graphloom.llm.shared import table
 
 from .helpers import contamination, documents, jaccard_classes, odd_documents, rule_counts, sentence
 
@@ -103,6 +104,22 @@ def test_order_is_global(spark):
     assert keys == sorted(keys)
 
 
+def good_hosts(hosts):
+    """Whether each host (its documents' failures) passes, by sums over hosts and documents one by one."""
+    failed = [f for h in hosts.values() for f in h]
+    mean = sum(failed) / len(failed)
+    by_chance = mean * (1 - mean)
+    between = sum(len(h) * (sum(h) / len(h) - mean) ** 2 for h in hosts.values()) - (len(hosts) - 1) * by_chance
+    room = len(failed) - sum(len(h) ** 2 for h in hosts.values()) / len(failed)
+    strength = min(10000.0, max(2.0, by_chance * room / between - 1 if between > 0 and room > 0 else 10000.0))
+    limit = 3 * mean / (1 + 2 * mean)
+    out = {}
+    for name, h in hosts.items():
+        rate = (sum(h) + mean * strength) / (len(h) + strength)
+        out[name] = rate - 2 * math.sqrt(rate * (1 - rate) / (len(h) + strength + 1)) <= limit
+    return out
+
+
 def brute_pipeline(docs, items, tokenizer):
     """(doc_id, n_tokens, crc) of every copy, in the order of the files."""
     hosts = {}
@@ -113,11 +130,7 @@ def brute_pipeline(docs, items, tokenizer):
         soft = bad or 100 * m["n_symbols"] > 10 * m["word_chars"] or 100 * m["n_dup_lines"] > 30 * m["n_lines"]
         measured.append((bad, soft))
         hosts.setdefault(s, []).append(soft)
-    rates = [sum(h) / len(h) for h in hosts.values()]
-    mean = sum(map(sum, hosts.values())) / len(docs)
-    var = float(np.var(rates))
-    strength = max(2.0, min(10000.0, mean * (1 - mean) / var - 1 if var > 0 else 50.0))
-    ok = {s: (sum(h) + mean * strength) / (len(h) + strength) <= 0.5 for s, h in hosts.items()}
+    ok = good_hosts(hosts)
     docs = [r for r, (bad, _) in zip(docs, measured, strict=True) if not bad and ok[r[3]]]
     _, members = jaccard_classes([(r[0], r[1]) for r in docs])
     first = {min(m, key=lambda i: docs[i][0]) for m in members}
@@ -129,9 +142,10 @@ def brute_pipeline(docs, items, tokenizer):
         n[r[3]] = n.get(r[3], 0) + 1
     out = []
     for r in docs:
-        out += [r] * copies(r[0], len(docs) / len(n) / n[r[3]])
+        k = copies(r[0], r[1], len(docs) / len(n) / n[r[3]])
+        out += [(uniform("order", *named(r[0], r[1]), 0, 0, c), r) for c in range(k)]
     start, rows = 0, []
-    for r in sorted(out, key=lambda r: r[0]):
+    for _, r in sorted(out, key=lambda x: x[0]):
         ids = tokenizer.encode(r[1], add_special_tokens=False).ids + [1]
         rows.append((r[0], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -155,7 +169,7 @@ def test_stages_take_odd_documents(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, path)
             assert out.columns == docs.columns, name
-            docs = out
+            docs = table(out, "stage")
         assert set(corpus_pipeline.STAGES[-1][1](spark, docs, path).columns) == {"doc_id", "start", "n_tokens", "ids_crc32"}
 
 

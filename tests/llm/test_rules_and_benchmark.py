@@ -39,6 +39,42 @@ def test_prior_shrinks_small_hosts(spark):
     assert out["tiny"]["n_failed"] == 1 and 0 < out["tiny"]["shrunk_rate"] < 1
 
 
+def test_equal_hosts_are_shrunk_to_the_mean(spark):
+    """Rates that differ by chance alone say nothing of a host."""
+    rows = [(h * 100 + i, "short" if i % 10 == 0 else sentence(i * 50, 40, f"h{h}x"), "en", f"h{h}", 1) for h in range(20) for i in range(30)]
+    for r in quality_rules.host_verdicts(quality_rules.measure(documents(spark, rows))).collect():
+        assert r["host_ok"] and abs(r["shrunk_rate"] - 0.1) < 0.01
+
+
+def _planted(n_good=20, n_bad=2):
+    """Hosts with one failure in ten, and bad ones whose documents mostly fail; small hosts with a failure are let off."""
+    rows = []
+    for h in range(n_good):
+        rows += [(h * 1000 + i, "short" if i % 10 == 0 else sentence(i * 50, 40, f"h{h}x"), "en", f"h{h}", 1) for i in range(50)]
+    for h in range(n_bad):
+        rows += [(90_000 + h * 1000 + i, "short" if i % 3 else sentence(i * 50, 40, f"b{h}x"), "en", f"bad{h}", 1) for i in range(60)]
+    return [*rows, (99_000, "short", "en", "tiny", 1), (99_001, sentence(0, 40, "t"), "en", "tiny", 1), (99_002, None, None, None, None)]
+
+
+def test_planted_hosts_match_sql(spark, tmp_path):
+    """On planted hosts the verdict is more than the base rules, and SQL gives the same rows."""
+    import duckdb
+
+    from graphloom.llm import queries
+
+    path = f"file://{tmp_path}/sf"
+    documents(spark, _planted()).select("doc_id", "text", "lang", "source", "n_chars").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    got = queries.QUERIES["op2_quality_rules"](spark, path)
+    columns = sorted(got.columns)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/sf/documents.parquet/*.parquet'")
+    expected = c.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES['op2_quality_rules']})").fetchall()
+    rows = got.select(*columns).collect()
+    assert sorted(map(repr, (tuple(r) for r in rows))) == sorted(map(repr, expected))
+    gone = {r["doc_id"] for r in rows if not r["base_failed"] and not r["kept"]}
+    assert gone == {d for d, t, _, s, _ in _planted() if s and s.startswith("bad") and t != "short"}
+
+
 def test_rules_on_nothing(spark):
     assert quality_rules.score_documents(documents(spark, [])).count() == 0
     assert quality_rules.filter_documents(documents(spark, [])).count() == 0
