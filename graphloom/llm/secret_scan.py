@@ -12,10 +12,13 @@ that no secret makes itself a word; at most ``WORDS`` of them, each in ``WORD_DO
 more, are broadcast after that count.  Words of one count share a rank, and ranks follow those of
 the fixed words.
 
+Costs are exact up to ``CERTAIN`` powers of ten, twice the threshold, and reported as at most that: no
+verdict hangs on what lies beyond, so blocks of more characters than that need not be tried.
+
 Defined cases: a null or empty text has no spans; overlapping kinds are all reported; ties
 between segmentations have one cost, the least; repeated rows are scanned alike; an empty
-table gives no rows; long texts are scanned whole, values longer than ``LONGEST`` are costed
-in blocks of that length and the costs added; other columns are not read.
+table gives no rows; long texts and long values are taken whole; other columns are not read.  Ids are
+whole numbers (or text that casts to them).
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import re
 from collections.abc import Iterator, Mapping
 from types import MappingProxyType
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,14 +52,14 @@ CONTEXTS = (
         r"""(?:\x20+(?:is|was|ist|est|es)\x20+|\x20*[:=]\x20*)["']?)([^\s"'<>,;]{8,}))"""
     ),
     re.compile(r"""(?a:(?i:\bbearer)\x20+([A-Za-z0-9+/_.=~-]{8,}))"""),
-    re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/@]{8,})@"""),
+    re.compile(r"""(?a:(?<=[A-Za-z0-9+.-])://[^\s/:@]*:([^\s/@]{8,})@)"""),
 )
 #: Any context holds one of these, whatever its case; texts without are passed over.
 HINT = r"(?i)pass|pwd|pin|secret|credential|key|token|bearer|://|akia|[0-9a-f]{32}"
 
 #: Guesses, as a power of ten, from which a value counts as a secret.
 SECRET_GUESSES = 8.0
-LONGEST = 128
+CERTAIN = 16.0
 #: Most words ranked by the documents, the fewest documents that make a word, and the lengths of words.
 WORDS = 50_000
 WORD_DOCS = 3
@@ -110,56 +114,71 @@ def _date_guesses(part: str) -> float | None:
     return 365.0 * max(abs(year - YEAR), 20) * (4 if found[2] or found[6] else 1)
 
 
+def _reaches(low: str) -> dict[str, list[int]]:
+    """For each kind of run, how far one that begins at each position reaches; any part of a run is a run."""
+    n = len(low)
+    out = {}
+    for kind in ("same", "walk", "step"):
+        reach = [1] * n
+        for i in range(n - 2, -1, -1):
+            a, b = low[i], low[i + 1]
+            step = ord(b) - ord(a)
+            if kind == "same":
+                goes = a == b
+            elif kind == "walk":
+                goes = (a, b) in _beside
+            else:
+                goes = abs(step) == 1
+            if goes:
+                on = kind != "step" or reach[i + 1] == 1 or ord(low[i + 2]) - ord(b) == step
+                reach[i] = reach[i + 1] + 1 if on else 2
+        out[kind] = reach
+    return out
+
+
 def guess_cost(value: str, words: Mapping[str, int] = MappingProxyType({})) -> float:
-    """log10 of the guesses that the cheapest segmentation of value needs."""
-    if len(value) > LONGEST:
-        return sum(guess_cost(value[i : i + LONGEST], words) for i in range(0, len(value), LONGEST))
+    """log10 of the guesses that the cheapest segmentation of value needs, or ``CERTAIN`` if it needs more."""
     n = len(value)
     brute = math.log10(BRUTE)
-    low = value.lower()
-    best = [0.0] + [math.inf] * n
-    run_of = [0] * n  # how far a walk, a repeat or a sequence that begins here reaches
-    for kind in ("same", "walk", "step"):
-        reach = n
-        for i in range(n - 1, -1, -1):
-            if i + 1 < n:
-                a, b = low[i], low[i + 1]
-                if kind == "same":
-                    goes = a == b
-                elif kind == "walk":
-                    goes = (a, b) in _beside
-                else:
-                    goes = abs(ord(a) - ord(b)) == 1 and (i + 2 >= n or reach == i + 2 or ord(low[i + 2]) - ord(b) == ord(b) - ord(a))
-                reach = (reach if goes and reach > i + 1 else i + 2) if goes else i + 1
-            else:
-                reach = n
-            run_of[i] = max(run_of[i], reach - i)
+    runs = _reaches(value.lower())
+    best = np.full(n + 1, math.inf)
+    best[0] = 0.0
+    last = ["start"] + [""] * n  # the kind of the last span of the best segmentation up to here
     for i in range(n):
-        here = best[i]
-        if here + brute < best[i + 1]:
-            best[i + 1] = here + brute
-        for length in range(3, run_of[i] + 1):  # any prefix of a run is a run
-            cost = here + math.log10(20.0 * length) + 0.3
-            if cost < best[i + length]:
-                best[i + length] = cost
+        here = float(best[i])
+        if here >= CERTAIN:
+            continue
+
+        def reach(end: int, cost: float, kind: str, here: float = here) -> None:
+            if here + cost < best[end]:
+                best[end], last[end] = here + cost, kind
+
+        reach(i + 1, brute, "brute")
+        for kind, far in runs.items():
+            length = far[i]
+            # where the run begins earlier and was left for a character or a part of itself, one longer run is cheaper
+            if length < 3 or (i and far[i - 1] == length + 1 and last[i] in ("brute", kind)):
+                continue
+            costs = here + np.log10(20.0 * np.arange(3, length + 1)) + 0.3
+            ends = best[i + 3 : i + length + 1]
+            for k in np.flatnonzero(costs < ends).tolist():
+                last[i + 3 + k] = kind
+            np.minimum(ends, costs, out=ends)
         for length in range(3, min(WORD_LETTERS[1], n - i) + 1):
             guesses = _word_guesses(value[i : i + length], words)
-            if guesses is not None and here + math.log10(guesses) + 0.3 < best[i + length]:
-                best[i + length] = here + math.log10(guesses) + 0.3
+            if guesses is not None:
+                reach(i + length, math.log10(guesses) + 0.3, "word")
         if value[i].isdigit():
             for length in range(6, min(10, n - i) + 1):
                 guesses = _date_guesses(value[i : i + length])
-                if guesses is not None and here + math.log10(guesses) + 0.3 < best[i + length]:
-                    best[i + length] = here + math.log10(guesses) + 0.3
-        for size in range(2, min(16, (n - i) // 2) + 1):  # a block that comes again and again
+                if guesses is not None:
+                    reach(i + length, math.log10(guesses) + 0.3, "date")
+        for size in range(2, min(int(CERTAIN), (n - i) // 2) + 1):  # a block that comes again and again
             block, times = value[i : i + size], 1
             while value.startswith(block, i + size * times):
                 times += 1
-            if times > 1:
-                cost = here + size * brute + math.log10(times) + 0.3
-                if cost < best[i + size * times]:
-                    best[i + size * times] = cost
-    return best[n]
+                reach(i + size * times, size * brute + math.log10(times) + 0.3, "block")
+    return min(float(best[n]), CERTAIN)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
