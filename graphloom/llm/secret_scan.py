@@ -136,48 +136,69 @@ def _reaches(low: str) -> dict[str, list[int]]:
     return out
 
 
+def _periods(value: str) -> dict[int, list[int]]:
+    """For each length of a block, how far the text that begins at each position goes on repeating it."""
+    codes = np.array([ord(c) for c in value], dtype=np.int32)
+    out = {}
+    for size in range(1, min(int(CERTAIN), len(value)) if len(value) > 1 else 0):
+        same = codes[:-size] == codes[size:]
+        here = np.arange(len(same), dtype=np.int32)
+        ends = np.minimum.accumulate(np.where(same, len(same), here)[::-1])[::-1]
+        out[size] = (ends - here).tolist()
+    return out
+
+
 def guess_cost(value: str, words: Mapping[str, int] = MappingProxyType({})) -> float:
-    """log10 of the guesses that the cheapest segmentation of value needs, or ``CERTAIN`` if it needs more."""
+    """log10 of the guesses that the cheapest segmentation of value needs, or ``CERTAIN`` if it needs more.
+
+    A run, or a row of blocks, is not tried where an earlier start in the same one reaches every end at no
+    higher cost, so a long one is tried few times.
+    """
     n = len(value)
     brute = math.log10(BRUTE)
     runs = _reaches(value.lower())
+    periods = _periods(value)
+    begun: dict[str | int, int] = {}  # where the run of a kind, or the row of blocks of a length, began that goes through here
     best = np.full(n + 1, math.inf)
     best[0] = 0.0
-    last = ["start"] + [""] * n  # the kind of the last span of the best segmentation up to here
+
+    def one(end: int, cost: float) -> None:
+        if cost < best[end]:
+            best[end] = cost
+
     for i in range(n):
+        for kind, far in (*runs.items(), *periods.items()):
+            if i < len(far) and (not i or far[i - 1] != far[i] + 1):
+                begun[kind] = i
         here = float(best[i])
         if here >= CERTAIN:
             continue
-
-        def reach(end: int, cost: float, kind: str, here: float = here) -> None:
-            if here + cost < best[end]:
-                best[end], last[end] = here + cost, kind
-
-        reach(i + 1, brute, "brute")
+        one(i + 1, here + brute)
         for kind, far in runs.items():
-            length = far[i]
-            # where the run begins earlier and was left for a character or a part of itself, one longer run is cheaper
-            if length < 3 or (i and far[i - 1] == length + 1 and last[i] in ("brute", kind)):
-                continue
-            costs = here + np.log10(20.0 * np.arange(3, length + 1)) + 0.3
-            ends = best[i + 3 : i + length + 1]
-            for k in np.flatnonzero(costs < ends).tolist():
-                last[i + 3 + k] = kind
-            np.minimum(ends, costs, out=ends)
+            length, start = far[i], begun[kind]
+            if length >= 3 and (start == i or best[start] + math.log10((3 + i - start) / 3) > here):
+                ends = best[i + 3 : i + length + 1]
+                np.minimum(ends, here + np.log10(20.0 * np.arange(3, length + 1)) + 0.3, out=ends)
         for length in range(3, min(WORD_LETTERS[1], n - i) + 1):
             guesses = _word_guesses(value[i : i + length], words)
             if guesses is not None:
-                reach(i + length, math.log10(guesses) + 0.3, "word")
+                one(i + length, here + math.log10(guesses) + 0.3)
         if value[i].isdigit():
             for length in range(6, min(10, n - i) + 1):
                 guesses = _date_guesses(value[i : i + length])
                 if guesses is not None:
-                    reach(i + length, math.log10(guesses) + 0.3, "date")
-        for size in range(2, min(int(CERTAIN), (n - i) // 2) + 1):  # a block that comes again and again
-            block, times = value[i : i + size], 1
-            while value.startswith(block, i + size * times):
-                times += 1
-                reach(i + size * times, size * brute + math.log10(times) + 0.3, "block")
+                    one(i + length, here + math.log10(guesses) + 0.3)
+        for size, far in periods.items():  # a block that comes again and again
+            if size < 2 or i >= len(far) or far[i] < size:
+                continue
+            # a block that itself repeats a shorter one is dearer than that
+            if any(size % d == 0 and periods[d][i] >= size - d for d in range(1, size // 2 + 1)):
+                continue
+            before = (i - begun[size]) // size
+            if not before or best[i - before * size] + math.log10((2 + before) / 2) > here:
+                times = 1 + far[i] // size
+                ends = best[i + 2 * size : i + times * size + 1 : size]
+                np.minimum(ends, here + size * brute + np.log10(np.arange(2, times + 1)) + 0.3, out=ends)
     return min(float(best[n]), CERTAIN)
 
 
