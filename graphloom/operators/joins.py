@@ -11,12 +11,18 @@ from graphloom.errors import MissingContext, QueryError
 from graphloom.plans.storage import small, table
 
 
-def division(have: DataFrame, subject: str, item: str, required: Sequence) -> DataFrame:
-    """The subjects that have every required item (all subjects, if none is required)."""
-    wanted = list(dict.fromkeys(required))
-    if not wanted:
+def division(have: DataFrame, subject: str, item: str, required: Sequence | DataFrame) -> DataFrame:
+    """The subjects that have every required item (all subjects, if none is required); required may be a table with item."""
+    if isinstance(required, DataFrame):
+        items = required.select(item).where(F.col(item).isNotNull()).distinct()
+        n = items.count()
+        kept = have.join(small(items), item, "left_semi")
+    else:
+        wanted = list(dict.fromkeys(required))
+        n, kept = len(wanted), have.where(F.col(item).isin(wanted))
+    if not n:
         return have.select(subject).distinct()
-    return have.where(F.col(item).isin(wanted)).groupBy(subject).agg(F.countDistinct(item).alias("_n")).where(F.col("_n") == len(wanted)).select(subject)
+    return kept.groupBy(subject).agg(F.countDistinct(item).alias("_n")).where(F.col("_n") == n).select(subject)
 
 
 def latest(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
@@ -101,20 +107,28 @@ def nearest(points: DataFrame, point_id: str, at: Sequence[str], centers: DataFr
     return settled.select(F.col("_p").alias(point_id), F.col("_c").alias(center_id), F.col("_d").alias("distance2"))
 
 
-def convert_units(df: DataFrame, value: str, unit: str, to: str, units: DataFrame, hops: int = 4) -> DataFrame:
+def convert_units(df: DataFrame, value: str, unit: str, to: str, units: DataFrame) -> DataFrame:
     """df with ``converted``: value in the unit ``to``; null where the units have no common root.
 
-    units holds unit, reference_unit and factor; factors are followed over several hops to the root.
+    units holds unit, reference_unit and factor, and a unit without a reference is a root.  Each round
+    doubles the hops that factors are followed over, up to the roots; units in a circle are an error.
     The unit table is broadcast after a count of its rows.
     """
-    own = units.select(F.col("unit").alias("_u"), F.col("reference_unit").alias("_root"), F.col("factor").cast("double").alias("_f"))
-    step = own.select(F.col("_u").alias("_next"), F.col("_root").alias("_up"), F.col("_f").alias("_g"))
-    for _ in range(hops):
-        own = own.join(step, F.col("_root") == F.col("_next"), "left").select(
-            "_u", F.coalesce("_up", "_root", "_u").alias("_root"), (F.col("_f") * F.coalesce("_g", F.lit(1.0))).alias("_f")
-        )
-    roots = small(own.select("_u", F.coalesce("_root", "_u").alias("_root"), "_f"))
-    target = small(own.where(F.col("_u") == to).select(F.coalesce("_root", "_u").alias("_root"), F.col("_f").alias("_tf")))
+    up = F.col("reference_unit")
+    own = units.select(
+        F.col("unit").alias("_u"), F.coalesce(up, "unit").alias("_root"), F.when(up.isNotNull(), F.col("factor").cast("double")).otherwise(1.0).alias("_f")
+    )
+    own = table(own, "units")
+    onward = own.where("_root <> _u").select(F.col("_u").alias("_root"))
+    rounds, n = 0, own.count()
+    while not own.join(onward, "_root", "left_semi").isEmpty():
+        if 1 << rounds > n:  # so many hops only a circle has
+            raise QueryError("units refer to each other in a circle")
+        step = own.select(F.col("_u").alias("_root"), F.col("_root").alias("_up"), F.col("_f").alias("_g"))
+        far = own.join(step, "_root", "left")
+        own = table(far.select("_u", F.coalesce("_up", "_root").alias("_root"), (F.col("_f") * F.coalesce("_g", F.lit(1.0))).alias("_f")), "units")
+        rounds += 1
+    roots, target = small(own), small(own.where(F.col("_u") == to).select("_root", F.col("_f").alias("_tf")))
     joined = df.join(roots, df[unit] == F.col("_u"), "left").join(target, "_root", "left")
     return joined.select(*[df[c] for c in df.columns], (F.col(value) * F.col("_f") / F.col("_tf")).alias("converted"))
 

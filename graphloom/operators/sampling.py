@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import bucket, uniform
 
+#: Rows among which one task looks for the last that wins.
+NARROW = 100_000
+
 
 def split_ordered(df: DataFrame, group: Sequence[str], order: Sequence[str], fraction: float) -> DataFrame:
     """df with is_test: the last floor(n * fraction) rows of each group in order."""
@@ -35,16 +38,31 @@ def weighted_sample(df: DataFrame, key: str, weight: str, fraction: float, least
     """max(floor(n * fraction), least) rows without replacement, with chances by weight; of each group, if there are groups.
 
     Each row draws an exponential number of rate weight from its hash, and the least numbers win;
-    rows without a positive weight are never drawn.  Top-k without groups, so only k rows of each task travel.
+    rows without a positive weight are never drawn.  Without groups the greatest number that wins is found first, in
+    a band narrowed by quantiles until it has few rows, and then all rows up to it stay where they are; rows
+    of one key and weight win together.
     """
     drawn = df.where(F.col(weight) > 0).withColumn("draw", -F.ln(uniform(seed, F.col(key))) / F.col(weight))
     if group:
         counts = df.groupBy(*group).agg(F.greatest(F.floor(F.count(F.lit(1)) * F.lit(fraction)), F.lit(least)).alias("_most"))
         w = Window.partitionBy(*group).orderBy("draw", key)
         return drawn.join(counts, list(group)).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("_most")).drop("_r", "_most")
-    n = df.count()
-    amount = max(int(n * fraction), least)
-    return drawn.orderBy("draw", key).limit(amount)
+    drawn = drawn.withColumn("_at", F.struct("draw", key))
+    rows = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(weight) > 0).alias("m")).first()
+    amount = max(int(rows["n"] * fraction), least)
+    if rows["m"] <= amount:
+        return drawn.drop("_at")
+    band, before, size = drawn, 0, rows["m"]  # the last row that wins is in band, after so many others
+    while size > NARROW:
+        share = (amount - before) / size
+        ends = band.agg(F.percentile_approx("draw", [max(0.0, share - 0.001), min(1.0, share + 0.001)], 10_000).alias("e")).first()["e"]
+        inner = band.where(F.col("draw").between(*ends))
+        seen = band.agg(F.count_if(F.col("draw") < ends[0]).alias("below"), F.count_if(F.col("draw").between(*ends)).alias("inside")).first()
+        if not (seen["below"] < amount - before <= seen["below"] + seen["inside"]) or seen["inside"] >= size:
+            break
+        band, before, size = inner, before + seen["below"], seen["inside"]
+    cut = band.select("_at").orderBy("_at").limit(amount - before).agg(F.max("_at").alias("_cut"))  # one row
+    return drawn.join(F.broadcast(cut), F.col("_at") <= F.col("_cut")).drop("_at", "_cut")
 
 
 def per_class_limit(df: DataFrame, cls: str, order: Sequence[str], total: int, n_classes: int | None = None) -> DataFrame:

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import classify_prefix, floor_bin, seconds_since
-
-# The forms of log lines.
-BYTES_LINE = r"(?i)^\[[^\]]*\]\[([^\]]+?)(?: UTC)?\].*\[peer=([0-9.]+):\d+\]\s*(sent|received) bytes:\s*(\d+)"
-LATENCY_LINE = r"(?i)^\[[^\]]*\]\[([^\]]+?)(?: UTC)?\].*\[peer=([0-9.]+):\d+\]\s*latency \(s\):\s*([0-9.eE+-]+)"
-ACCURACY_LINE = r"(?i)^\[[^\]]*\]\[([^\]]+?)(?: UTC)?\].*round #(\d+) global accuracy:\s*([0-9.eE+-]+)"
+from graphloom.plans.storage import small
+
+# The forms of log lines, found anywhere in a line: time, writer, what it says.
+TIME = r"\[([-:.\d ]+) UTC\]\s*"
+PEER = r"\[metrics/Connection\]\[peer=([\d.]+):\d+\]\s*"
+BYTES_LINE = f"(?i){TIME}{PEER}(sent|received) bytes:\\s*(\\d+)"
+LATENCY_LINE = f"(?i){TIME}{PEER}latency \\(s\\):\\s*([\\d.]+)"
+ACCURACY_LINE = f"(?i){TIME}\\[FlAlgorithm\\]\\s*round #(\\d+) global accuracy:\\s*([\\d.]+)"
 START_LINE = "[EdgeApp] start"
 EPOCH = "2026-01-01 00:00:00"
 
@@ -47,9 +50,9 @@ def parse_logs(lines: DataFrame, epoch: str = EPOCH) -> DataFrame:
 
 
 def with_run_size(lines: DataFrame) -> DataFrame:
-    """lines with n_edges, the number of start lines in the run, on every row (one number, by construction)."""
-    starts = lines.agg(F.sum(F.when(F.col("value").contains(START_LINE), 1).otherwise(0)).alias("n_edges"))
-    return lines.crossJoin(F.broadcast(starts))
+    """lines with n_edges, the number of start lines in their log file (path), on every row."""
+    starts = lines.groupBy("path").agg(F.count_if(F.col("value").contains(START_LINE)).alias("n_edges"))
+    return lines.join(small(starts), "path", "left")
 
 
 def bin_mean(df: DataFrame, at: str, value: str, width: float, by: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalar
@@ -142,8 +142,7 @@ def exists_distinct(spark, sf_dir):
 )
 def division_all_types(spark, sf_dir):
     events = t(spark, sf_dir, "events")
-    kinds = [r[0] for r in events.select("event_type").distinct().collect()]  # the required items are the query's parameter
-    return joins.division(events, "user_id", "event_type", kinds)
+    return joins.division(events, "user_id", "event_type", events)
 
 
 @query(
@@ -467,11 +466,13 @@ def decode_enum(spark, sf_dir):
 )
 def decode_nested(spark, sf_dir):
     g = mapped_graph(spark, sf_dir, "orders", "customer", "nation")
-    nation = bgp(g, ("?n", "nation.n_name", "?n_name")).df.select(F.col("n").alias("_n"), F.struct("n_name").alias("nation"))
-    customer = bgp(g, ("?c", "customer.c_name", "?c_name"), ("?c", "customer.c_nationkey", "?n")).df.join(nation, F.col("n") == F.col("_n"))
-    packed = customer.select("c", F.struct("c_name", "nation").alias("customer"))
-    out = bgp(g, ("?o", "orders.o_custkey", "?c")).df.join(packed, "c")
-    return out.select(F.col("o").alias("o_orderkey"), "customer.c_name", "customer.nation.n_name")
+    wanted = ["a", "orders.o_custkey", "customer.c_name", "customer.c_nationkey", "nation.n_name"]
+    triples = g.triples(predicates=wanted)
+    nation = RecordSpec("nation", [Field("n_name", "nation.n_name")])
+    customer = RecordSpec("customer", [Field("c_name", "customer.c_name"), Field("nation", "customer.c_nationkey", nested=nation)])
+    records, _ = decode(triples, RecordSpec("orders", [Field("customer", "orders.o_custkey", nested=customer)]))
+    key = F.regexp_extract("subject", r"(\d+)$", 1).cast("bigint")
+    return records.select(key.alias("o_orderkey"), "customer.c_name", "customer.nation.n_name")
 
 
 @query("pattern_by_object", "SELECT c_custkey AS c FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -491,11 +492,15 @@ def multi_value_flat(spark, sf_dir):
     "SELECT event_id, TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE) IS NOT NULL AS is_number, TRY_CAST(event_type AS BIGINT) IS NULL AS not_integer, (event_type = 'true') AS flag FROM events",
 )
 def cast_lexical(spark, sf_dir):
+    def cast(kind: str, text: Column) -> Column:
+        return Field("x", "x", kind).cast(text)
+
+    kind = F.col("event_type")
     return t(spark, sf_dir, "events").select(
         "event_id",
-        F.col("value").cast("string").try_cast("double").isNotNull().alias("is_number"),
-        F.col("event_type").try_cast("bigint").isNull().alias("not_integer"),
-        (F.col("event_type") == "true").alias("flag"),
+        cast("double", F.col("value").cast("string")).isNotNull().alias("is_number"),
+        cast("bigint", kind).isNull().alias("not_integer"),
+        F.when(kind.isNotNull(), F.coalesce(cast("boolean", kind), F.lit(False))).alias("flag"),
     )
 
 
@@ -516,7 +521,8 @@ def bind_in_optional(spark, sf_dir):
 @query("positional_rows", "SELECT n_nationkey AS c0, n_name AS c1, n_regionkey AS c2 FROM nation")
 def positional_rows(spark, sf_dir):
     found = bgp(mapped_graph(spark, sf_dir, "nation"), ("?n", "nation.n_name", "?name"), ("?n", "nation.n_regionkey", "?r"))
-    return found.project("n", "name", "r").df.toDF("c0", "c1", "c2")
+    rows = list(found.project("n", "name", "r").tuples())  # nations are few by definition
+    return spark.createDataFrame(rows, t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").toDF("c0", "c1", "c2").schema)
 
 
 @query("anonymous_star", "SELECT user_id AS u, event_type AS c, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
@@ -626,8 +632,7 @@ def set_intersect_distinct(spark, sf_dir):
 
 @query("set_union_keys", "SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
 def set_union_keys(spark, sf_dir):
-    a, b = (t(spark, sf_dir, n).agg(F.collect_set(c).alias(n)) for n, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey")))
-    return a.crossJoin(F.broadcast(b)).select(F.explode(F.array_union("customer", "supplier")).alias("nation"))  # two rows of nation keys
+    return t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).union(t(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
 
 
 @query("concat_frames", "SELECT upper(substr(c_name, 1, 1)) || substr(c_name, 2) AS name, c_acctbal AS balance, 'customer' AS kind FROM customer UNION ALL SELECT upper(substr(s_name, 1, 1)) || substr(s_name, 2), s_acctbal, 'supplier' FROM supplier")

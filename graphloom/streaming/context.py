@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from graphloom.functions.scalar import floor_bin
 from graphloom.operators.joins import unmatched
 from graphloom.operators.records import subject_hash
-from graphloom.plans.storage import small
+from graphloom.plans.storage import delete, exists, small
 
 INTERNAL, EXTERNAL = "internal", "external"
 EDGE, FOG, CLOUD = "edge", "fog", "cloud"
@@ -76,16 +76,23 @@ def sessions(events: DataFrame, at: str, gap: str, by: Sequence[str], watermark:
 def acquire(
     stream: DataFrame, schema: DataFrame, node: str, write: Callable[[DataFrame, str, int], None], checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Stamps and routes each micro-batch and hands every target its rows.
+    """Stamps and routes each micro-batch once, in a written table, and hands every target its rows of it.
 
-    write(df, target, batch) must take the same batch twice without harm; with the checkpoint that makes
-    delivery exactly once.
+    A batch that comes again is read from that table, so all copies of a record keep one stamp; tables of
+    earlier batches are deleted.  write(df, target, batch) must take the same batch twice without harm;
+    with the checkpoint that makes delivery exactly once.
     """
+    base = f"{checkpoint.rstrip('/')}-routed"
 
     def flush(batch: DataFrame, batch_id: int) -> None:
+        spark, path = batch.sparkSession, f"{base}/batch={batch_id}"
         routed = route(stamp(batch, F.lit(node)), schema)
+        if not exists(spark, f"{path}/_SUCCESS"):
+            routed.write.mode("overwrite").partitionBy("target").parquet(path)
+        kept = spark.read.schema(routed.schema).parquet(path)
         for target in (INTERNAL, EXTERNAL):
-            write(routed.where(F.col("target") == target).drop("target"), target, batch_id)
+            write(kept.where(F.col("target") == target).drop("target"), target, batch_id)
+        delete(spark, f"{base}/batch={batch_id - 1}")  # its end is in the checkpoint
 
     start = stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
     return start.trigger(**(trigger or {"availableNow": True})).start()

@@ -178,6 +178,13 @@ def test_weighted_sample_follows_the_weights(spark):
     assert sampling.weighted_sample(df.limit(3), "id", "w", 0.1, 2).count() == 2
 
 
+def test_weighted_sample_narrows_the_band(spark, monkeypatch):
+    df = spark.range(4000).select("id", F.lit(1.0).alias("w"))
+    whole = {r["id"] for r in sampling.weighted_sample(df, "id", "w", 0.25, 5).collect()}
+    monkeypatch.setattr(sampling, "NARROW", 50)
+    assert {r["id"] for r in sampling.weighted_sample(df, "id", "w", 0.25, 5).collect()} == whole and len(whole) == 1000
+
+
 def test_splits(spark):
     df = spark.createDataFrame([("a", i) for i in range(10)] + [("b", i) for i in range(3)], "g string, i int")
     ordered = sampling.split_ordered(df, ["g"], ["i"], 0.35)
@@ -209,11 +216,11 @@ def test_schema():
 
 
 LINES = [
-    "[edge1][2026-01-01 00:00:03.5 UTC] [metrics/Connection][peer=10.42.0.1:5683] sent bytes: 1500",
-    "[edge1][2026-01-01 00:00:04 UTC] [metrics/Connection][peer=7.0.0.2:5683] RECEIVED bytes: 500",
-    "[edge1][2026-01-01 00:00:07 UTC] [metrics/Connection][peer=192.168.0.2:5683] latency (s): 0.25",
-    "[cloud][2026-01-01 00:00:09 UTC] round #3 global accuracy: 0.875",
-    "[edge1][2026-01-01 00:00:00 UTC] [EdgeApp] start",
+    "[2026-01-01 00:00:03.5 UTC] [metrics/Connection][peer=10.42.0.1:5683] sent bytes: 1500",
+    "[2026-01-01 00:00:04 UTC] [metrics/Connection][peer=7.0.0.2:5683] RECEIVED bytes: 500",
+    "node 3: [2026-01-01 00:00:07 UTC] [metrics/Connection][peer=192.168.0.2:5683] latency (s): 0.25",
+    "[2026-01-01 00:00:09 UTC] [FlAlgorithm] round #3 global accuracy: 0.875",
+    "[2026-01-01 00:00:00 UTC] [EdgeApp] start",
     "noise",
 ]
 
@@ -227,7 +234,9 @@ def test_logs(spark, tmp_path):
     assert (rows["bytes", 3.5]["layer"], rows["bytes", 3.5]["bytes"], rows["bytes", 3.5]["direction"]) == ("cloud", 1500, "sent")
     assert rows["bytes", 4.0]["layer"] == "edge" and rows["latency", 7.0]["layer"] == "other" and rows["latency", 7.0]["latency"] == 0.25
     assert (rows["accuracy", 9.0]["round"], rows["accuracy", 9.0]["accuracy"]) == (3, 0.875)
-    assert {r["n_edges"] for r in telemetry.with_run_size(lines).collect()} == {1}
+    (tmp_path / "x" / "other.log").write_text("\n".join([LINES[4], LINES[4]]))
+    sized = telemetry.with_run_size(telemetry.read_logs(spark, str(tmp_path)))
+    assert {(r["path"].rsplit("/", 1)[1], r["n_edges"]) for r in sized.collect()} == {("run.log", 1), ("other.log", 2)}
     rate = telemetry.bin_rate(telemetry.parse_logs(lines).where("kind = 'bytes'"), "t", "bytes", 5, ["direction"])
     assert {(r["bin"], r["direction"], r["amount"]) for r in rate.collect()} == {(0, "sent", 1.5), (0, "received", 0.5)}
 
