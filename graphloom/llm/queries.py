@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, html_extract, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_count, token_output
+from graphloom.llm import decontaminate, filter_audit, html_extract, importance, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_count, token_output
 from graphloom.llm.shared import tune
 
 
@@ -219,6 +219,94 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digest(tokens)
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: SQL has no crc32, so it is written out over the hexadecimal bytes of each distinct feature.
+OP12_SQL = r"""
+WITH RECURSIVE steps(n, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM steps WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY n) AS t FROM steps WHERE k = 8
+), w AS (
+  SELECT 'd' AS corpus, row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', 0, NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), f AS (
+  SELECT corpus, r, unnest(w) AS f FROM w
+  UNION ALL
+  SELECT corpus, r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w WHERE len(w) > 1
+), n AS (
+  SELECT corpus, r, f, count(*) AS n FROM f GROUP BY corpus, r, f
+), h AS (
+  SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM n)
+), b AS (
+  SELECT f, xor(list_reduce(list_transform(range(1, length(x) + 1, 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT),
+                            lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295), 4294967295) % 10000 AS b FROM h, crc
+), p AS (
+  SELECT corpus, r, b, sum(n) AS n FROM n JOIN b USING (f) GROUP BY corpus, r, b
+), s AS (
+  SELECT b, sum(n) FILTER (corpus = 'd') AS s, sum(n) FILTER (corpus = 'b') AS t FROM p GROUP BY b
+), g AS (
+  SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE
+         / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM s) + 10000)::DOUBLE))) AS gain FROM s
+), d AS (
+  SELECT r, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM p JOIN g USING (b) WHERE corpus = 'd' GROUP BY r
+), x AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM w LEFT JOIN d USING (r) WHERE corpus = 'd'
+), y AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x
+), z AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place FROM y
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_words >= 20 AND place <= 25 * (SELECT count(*) FROM y WHERE n_words >= 20) // 100 THEN place END::BIGINT AS rank FROM z
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), m AS (
+  SELECT doc_id, part, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+         + 16 * coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)::INT AS mask FROM d
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask
+), f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit
+), o AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31
+), s AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM o, (SELECT unnest(range(1, 6)) AS step)
+), r AS (
+  SELECT part, filter_order, step, bit,
+         sum(n) FILTER ((mask & (before | bit)) = 0) AS kept, sum(n) FILTER ((mask & before) = 0 AND (mask & bit) > 0) AS removed,
+         sum(n) FILTER ((mask & before) > 0 AND (mask & bit) > 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+         sum(good) FILTER ((mask & before) = 0 AND (mask & bit) > 0) AS good_lost, sum(toxic) FILTER ((mask & before) = 0 AND (mask & bit) > 0) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, bit, before
+)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM r
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality_rules": op2_quality_rules,
@@ -230,6 +318,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_output": op10_token_output,
+    "op12_importance": op12_importance,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -238,4 +328,6 @@ ORACLES: dict[str, str] = {
     "op3_substring_dedup": OP3_SQL,
     "op8_mixing": OP8_SQL,
     "op9_jaccard_join": OP9_SQL,
+    "op12_importance": OP12_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
