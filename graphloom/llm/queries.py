@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, filter_audit, html_extract, importance, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_count, token_output
+from graphloom.llm import decontaminate, filter_audit, html_extract, importance, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_count, token_output
 from graphloom.llm.shared import tune
 
 
@@ -219,6 +219,11 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digest(tokens)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_documents(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
@@ -318,6 +323,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_output": op10_token_output,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_importance": op12_importance,
     "op13_filter_audit": op13_filter_audit,
 }
