@@ -23,16 +23,19 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.shared import input_partitions, small, table
+from graphloom.operators.ranking import ranked
 
 SEED = 42
 #: Values of the hash: 52 bits are exact in a double.
 HASH_DIGITS = 13
 #: Largest rate that one draw inverts; its distribution has fewer than 500 steps.
 PART = 256.0
+#: Sources up to which the rates are broadcast: a source's steps are fewer than 500 doubles, so 40 MB.
+RATE_ROWS = 10_000
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -78,8 +81,8 @@ def source_rates(docs: DataFrame, source: str = "source", weights: Mapping[str,
 def _numbered(rows: DataFrame) -> DataFrame:
     """rows with a number among those of one id, text and source; 0 for all others.
 
-    Only short rows are counted to find what repeats.  A group is numbered within each partition of
-    the input and from there on by the counts of the partitions before, so none is ever gathered.
+    Only short rows are counted to find what repeats.  The rows that do are written once, with a place,
+    and numbered from that table by ranges, so no group is ever gathered and no second evaluation of the input has to agree with the first.
     """
     same = ["_id", "_text", "_own"]
     again = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -90,15 +93,9 @@ def _numbered(rows: DataFrame) -> DataFrame:
     held = F.lit(True)
     for c in same:
         held = held & F.col(c).eqNullSafe(F.col(f"{c}2"))
-    placed = rows.withColumn("_at", F.spark_partition_id())
-    repeated = placed.join(again, held, "left_semi")
-    inside = Window.partitionBy(*same, "_at").orderBy(F.lit(1))
-    counts = repeated.groupBy(*same, "_at").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(*same).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(*[F.col(c).alias(f"{c}2") for c in same], F.col("_at").alias("_at2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    numbered = repeated.withColumn("_in", F.row_number().over(inside)).join(small(bases), held & (F.col("_at") == F.col("_at2")))
-    alone = placed.join(again, held, "left_anti").select(*rows.columns, F.lit(0).cast("long").alias("_nth"))
-    return alone.unionByName(numbered.select(*rows.columns, (F.col("_base") + F.col("_in") - 1).cast("long").alias("_nth")))
+    repeated = table(rows.join(again, held, "left_semi").withColumn("_place", F.monotonically_increasing_id()), "mixing-equal-rows")
+    numbered = ranked(repeated, same, ["_place"], tie=()).select(*rows.columns, (F.col("rank") - 1).alias("_nth"))
+    return rows.join(again, held, "left_anti").select(*rows.columns, F.lit(0).cast("long").alias("_nth")).unionByName(numbered)
 
 
 def replicate(
@@ -116,7 +113,7 @@ def replicate(
         F.md5(F.col(text).cast("string").cast("binary")).alias("_text"),
         F.col(source).cast("string").alias("_own"),
     )
-    rated = _numbered(rows).join(small(known), F.col("_own").eqNullSafe(F.col("_source")))
+    rated = _numbered(rows).join(small(known, RATE_ROWS), F.col("_own").eqNullSafe(F.col("_source")))
     parted = rated.where("parts = 1").withColumn("_part", F.lit(0))
     if not known.where("parts > 1").isEmpty():
         many = rated.where("parts > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_part"))
