@@ -113,6 +113,12 @@ def strips(text: bytes, known: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(least[a : a + 1].view("i8")[0]), a, b - 1 + WINDOW
 
 
+def begins_anew(strip: bytes) -> bool:
+    """Whether two windows of a strip begin alike, in as many bytes as a trigger has."""
+    begins = rolling(strip)[: len(strip) - WINDOW + 1]
+    return len(np.unique(begins)) < len(begins)
+
+
 def repeated(texts: list[bytes]) -> list[np.ndarray]:
     """For distinct strips: which of each one's windows stand at another place too, in it or another.
 
@@ -125,18 +131,23 @@ def repeated(texts: list[bytes]) -> list[np.ndarray]:
     cuts = np.flatnonzero(hashes < _LIMIT)
     cuts = cuts[cuts + TRIGGER <= owner_end[cuts]]
     at = np.concatenate([np.arange(a, b - WINDOW + 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-    # phrases: from each text's start or a trigger to the next trigger's end or the text's end
-    begin = np.union1d(bounds[:-1], cuts)
-    following = np.searchsorted(cuts, begin, side="right")
-    end = np.where(following < len(cuts), np.append(cuts, 0)[np.minimum(following, len(cuts))] + TRIGGER, len(whole))
-    end = np.minimum(end, owner_end[begin])
+    # phrases: from each text's start to the end of its first trigger, and from each trigger to the next one's end or the text's end
+    begin = np.r_[bounds[:-1], cuts]
+    following = np.r_[np.searchsorted(cuts, bounds[:-1], side="left"), np.arange(1, len(cuts) + 1)]
+    end = np.minimum(np.append(cuts + TRIGGER, len(whole))[following], owner_end[begin])
+    stand = np.argsort(begin, kind="stable")
+    begin, end = begin[stand], end[stand]
     contents = [whole[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
     phrases = sorted(set(contents))
     rank = {p: i for i, p in enumerate(phrases)}
     parse = np.array([rank[p] for p in contents], ">u4")
-    # the dictionary's suffixes, cut at a window's length
-    sizes = np.array([len(p) for p in phrases])
-    suffixes = [p[i : i + WINDOW] for p in phrases for i in range(len(p))]
+    # a position lies in the phrase that begins before it, or at its text's start
+    own = np.searchsorted(begin, at, side="left") - ~np.isin(at, bounds[:-1])
+    # the dictionary's suffixes, of phrases in which windows start, cut at a window's length
+    used = np.unique(parse[own]).astype("i8")
+    sizes = np.zeros(len(phrases), "i8")
+    sizes[used] = [len(phrases[i]) for i in used.tolist()]
+    suffixes = [p[i : i + WINDOW] for p in map(phrases.__getitem__, used.tolist()) for i in range(len(p))]
     places = {s: i for i, s in enumerate(sorted(set(suffixes)))}
     suffix_rank = np.fromiter(map(places.__getitem__, suffixes), "i8", len(suffixes))
     offsets = np.cumsum(np.r_[0, sizes])
@@ -145,16 +156,15 @@ def repeated(texts: list[bytes]) -> list[np.ndarray]:
     tails = [packed[4 * i : 4 * j] for i, j in enumerate(until.tolist())]
     order = {s: i for i, s in enumerate(sorted(set(tails)))}
     tail_rank = np.fromiter(map(order.__getitem__, tails), "i8", len(tails))
-    # a position lies in the phrase that begins before it, or at its text's start
-    own = np.searchsorted(begin, at, side="left") - 1
-    starts = np.isin(at, bounds[:-1])
-    own = np.where(starts, own + 1, own)
     head = suffix_rank[offsets[parse[own]] + at - begin[own]]
-    short = end[own] - at < WINDOW
-    after = np.where(short, tail_rank[np.minimum(own + 1, len(begin) - 1)] + 1, 0)
-    ordered = at[np.lexsort((after, head))]
-    places_in_order = ordered.tolist()
-    same = np.fromiter((whole[a : a + WINDOW] == whole[b : b + WINDOW] for a, b in zip(places_in_order, places_in_order[1:])), bool, max(len(ordered) - 1, 0))
+    after = np.where(end[own] - at < WINDOW, tail_rank[np.minimum(own + 1, len(begin) - 1)] + 1, 0)
+    by = np.lexsort((after, head))
+    ordered, head, after = at[by], head[by], after[by]
+    # neighbours with one suffix and one tail are equal, with one suffix and two tails they may be
+    same = head[1:] == head[:-1]
+    near = np.flatnonzero(same & (after[1:] != after[:-1]))
+    pairs = zip(ordered[near].tolist(), ordered[near + 1].tolist(), strict=True)
+    same[near] = np.fromiter((whole[a : a + WINDOW] == whole[b : b + WINDOW] for a, b in pairs), bool, len(near))
     hit = np.zeros(len(whole) + 1, bool)
     hit[ordered[1:][same]] = True
     hit[ordered[:-1][same]] = True
@@ -178,18 +188,21 @@ def _gathered(light: DataFrame, partitions: int) -> DataFrame:
     """The spans of strips that meet under one hash; strips of several hashes are put in order together, as none of their windows are equal."""
     dealt = light.repartition(partitions, "at").sortWithinPartitions("at")
 
-    def settle(held: dict[bytes, list[tuple[int, int]]]) -> list[tuple[int, int, int]]:
-        alone = list(held)
+    def settle(held: dict[int, dict[bytes, list[tuple[int, int]]]]) -> list[tuple[int, int, int]]:
+        """A strip that is alone under its hash needs no order: its copies repeat it whole, and in itself it repeats only if it begins anew."""
+        alone = {body: np.full(len(body) - WINDOW + 1, len(places) > 1) for group in held.values() if len(group) == 1 for body, places in group.items()}
+        hits = {body: hit for body, hit in alone.items() if hit[0] or not begins_anew(body)}
+        ordered = [body for group in held.values() for body in group if body not in hits]
+        hits |= dict(zip(ordered, repeated(ordered) if ordered else (), strict=True))
         out = []
-        for body, hit in zip(alone, repeated(alone), strict=True):
-            places = held[body]
-            if len(places) > 1:
-                hit = np.ones(len(hit), bool)
-            out += [(row, a, b) for row, start in places for a, b in stretches(hit, start)]
+        for group in held.values():
+            for body, places in group.items():
+                hit = hits[body] if len(places) == 1 else np.ones(len(hits[body]), bool)
+                out += [(row, a, b) for row, start in places for a, b in stretches(hit, start)]
         return out
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list[tuple[int, int]]] = {}
+        held: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
         size, last = 0, None
         for batch in batches:
             done = []
@@ -198,9 +211,10 @@ def _gathered(light: DataFrame, partitions: int) -> DataFrame:
                     done += settle(held)
                     held, size = {}, 0
                 last = at
-                if body not in held:
+                group = held.setdefault(at, {})
+                if body not in group:
                     size += len(body)
-                held.setdefault(body, []).append((row, start))
+                group.setdefault(body, []).append((row, start))
             yield _spans(done)
         if held:
             yield _spans(settle(held))

@@ -76,9 +76,13 @@ def test_suffix_dedup_spreads_heavy_hashes(spark, monkeypatch):
     ]
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(12))
 def test_corpus_order_finds_all_repeats(seed):
-    texts = list(dict.fromkeys(t.encode() for t in byte_texts(seed) if t and len(t.encode()) >= 400))
+    r = random.Random(seed)
+    pieces = [bytes(r.choices(b"ab" if seed % 2 else b"abcdefgh ij", k=r.randint(1, 900))) for _ in range(5)]
+    mixed = [b"".join(r.choices(pieces, k=r.randint(1, 4)))[r.choice((0, 0, 17)) :] for _ in range(12)]  # some begin in the middle, some with a trigger
+    texts = list(dict.fromkeys([t.encode() for t in byte_texts(seed) if t] + mixed))
+    texts = [t for t in texts if len(t) >= 400]
     seen = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
     for t, hit in zip(texts, suffix_dedup.repeated(texts), strict=True):
         assert hit.tolist() == [seen[t[i : i + 400]] > 1 for i in range(len(t) - 399)]
