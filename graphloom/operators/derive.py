@@ -104,6 +104,12 @@ _call = re.compile(r"\s*([A-Z]+)\s*\(\s*(?:'(\w+)'\s*,\s*)?\??(\w+)\s*\)\s*")
 _name = re.compile(r"\s*\??([A-Za-z_]\w*)\s*")
 
 
+def call_of(text: str) -> tuple[str, str] | None:
+    """(aggregate, name) of an expression that aggregates, else None."""
+    call = _call.fullmatch(text)
+    return (call[1], call[3]) if call and call[1] in AGGREGATES and call[2] is None else None
+
+
 def compile_expression(text: str, columns: Mapping[str, Column]) -> tuple[Column, bool]:
     """(column, whether it aggregates) of ``AVG(?x)``, ``TIMESLOT('HOUR', ?t)`` or ``?x``."""
     call = _call.fullmatch(text)
@@ -122,7 +128,7 @@ def compile_expression(text: str, columns: Mapping[str, Column]) -> tuple[Column
 
 
 def derive(schema: Schema, name: str, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """The records of a class whose attributes are derived from one other class.
+    """The records of a class whose attributes are derived from one other class; ``derivation`` has those of several.
 
     Key attributes group the source's records when any attribute aggregates.
     """

@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import bucket, uniform
+from graphloom.operators.ranking import ranked
 
 #: Rows among which one task looks for the last that wins.
 NARROW = 100_000
+#: Rows of a group up to which Spark limits a ranking before its shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+PARTIAL = 1000
 
 
 def split_ordered(df: DataFrame, group: Sequence[str], order: Sequence[str], fraction: float) -> DataFrame:
     """df with is_test: the last floor(n * fraction) rows of each group in order."""
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*group).orderBy(*order)
-    placed = df.withColumn("_r", F.row_number().over(w)).join(counts, list(group))
+    placed = ranked(df, group, order, "_r", "_n")
     return placed.withColumn("is_test", F.col("_r") > F.col("_n") - F.floor(F.col("_n") * F.lit(fraction))).drop("_r", "_n")
 
 
@@ -28,9 +29,7 @@ def shuffle_key(key: Column, seed: int = 42) -> Column:
 
 def split_hashed(df: DataFrame, key: str, group: Sequence[str], fraction: float, seed: int = 42) -> DataFrame:
     """df with is_test: the first floor(n * fraction) rows of each group in hash order."""
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*group).orderBy(shuffle_key(F.col(key), seed), key)
-    placed = df.withColumn("_r", F.row_number().over(w)).join(counts, list(group))
+    placed = ranked(df, group, [shuffle_key(F.col(key), seed), F.col(key)], "_r", "_n")
     return placed.withColumn("is_test", F.col("_r") <= F.floor(F.col("_n") * F.lit(fraction))).drop("_r", "_n")
 
 
@@ -42,11 +41,12 @@ def weighted_sample(df: DataFrame, key: str, weight: str, fraction: float, least
     a band narrowed by quantiles until it has few rows, and then all rows up to it stay where they are; rows
     of one key and weight win together.
     """
-    drawn = df.where(F.col(weight) > 0).withColumn("draw", -F.ln(uniform(seed, F.col(key))) / F.col(weight))
+    lot = -F.ln(uniform(seed, F.col(key))) / F.col(weight)
     if group:
-        counts = df.groupBy(*group).agg(F.greatest(F.floor(F.count(F.lit(1)) * F.lit(fraction)), F.lit(least)).alias("_most"))
-        w = Window.partitionBy(*group).orderBy("draw", key)
-        return drawn.join(counts, list(group)).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("_most")).drop("_r", "_most")
+        placed = ranked(df.withColumn("draw", F.when(F.col(weight) > 0, lot)), group, [F.asc_nulls_last("draw"), F.col(key)], "_r", "_n")
+        most = F.greatest(F.floor(F.col("_n") * F.lit(fraction)), F.lit(least))
+        return placed.where(F.col("draw").isNotNull() & (F.col("_r") <= most)).drop("_r", "_n")
+    drawn = df.where(F.col(weight) > 0).withColumn("draw", lot)
     drawn = drawn.withColumn("_at", F.struct("draw", key))
     rows = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(weight) > 0).alias("m")).first()
     amount = max(int(rows["n"] * fraction), least)
@@ -66,8 +66,13 @@ def weighted_sample(df: DataFrame, key: str, weight: str, fraction: float, least
 
 
 def per_class_limit(df: DataFrame, cls: str, order: Sequence[str], total: int, n_classes: int | None = None) -> DataFrame:
-    """The first total // n_classes rows of each class."""
+    """The first total // n_classes rows of each class.
+
+    Up to ``PARTIAL`` a class, Spark keeps that many of each partition before it shuffles; more are ranked by ranges.
+    """
     k = total // (n_classes or df.select(cls).distinct().count() or 1)
+    if k > PARTIAL:
+        return ranked(df, [cls], order, "_r", "_n").where(F.col("_r") <= k).drop("_r", "_n")
     w = Window.partitionBy(cls).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 

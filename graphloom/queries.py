@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom import queries_context  # noqa: F401  registers its queries
 from graphloom.functions import scalar
 from graphloom.functions.terms import PrefixMap, compact_space, file_stem, fragment, local_name
 from graphloom.operators import derive, infer, joins, sampling, update, vectors
@@ -16,37 +15,16 @@ from graphloom.operators.telemetry import accuracy_by, bin_mean
 from graphloom.plans.pattern import bgp, path, semi_join, values
 from graphloom.plans.rounds import in_time, node_counts
 from graphloom.plans.storage import new_path, small
-from graphloom.sources.mapping import mapped_graph, read_table
+from graphloom.registry import ORACLES, QUERIES, query, t
+from graphloom.sources.mapping import mapped_graph
 from graphloom.streaming import context
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
 PREFIXES = PrefixMap(
     {"en": "http://m.ththth.example.net/en/", "net": "http://m.ththth.example.net/", "s": "https://", "h": "http://"}
 )
 EVENT_TYPES = ("click", "view", "purchase", "login", "logout")
 
 
-def query(name: str, sql: str | None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return f(spark, sf_dir)
-
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLES[name] = sql
-        return run
-
-    return register
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, sf_dir, name)
-
-
 # ---- patterns and joins
 
 
