@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import QueryError
 from graphloom.operators.closure import path_closure
+from graphloom.operators.compatible import compatible_join
 from graphloom.plans.storage import small
 
 TYPE = "a"
@@ -46,9 +47,14 @@ class Pattern:
 
 @dataclass(frozen=True)
 class Solutions:
-    """A bag of solutions and the algebra on them."""
+    """A bag of solutions and the algebra on them.
+
+    maybe names the variables that some solutions may leave unbound: those of optional parts, of one branch of a
+    union, of expressions.  Where such variables are shared, solutions meet if they are compatible.
+    """
 
     df: DataFrame
+    maybe: frozenset[str] = frozenset()
 
     @property
     def variables(self) -> list[str]:
@@ -60,55 +66,66 @@ class Solutions:
             raise QueryError(f"no shared variable between {self.variables} and {other.variables}")
         return shared
 
+    def _meet(self, other: Solutions, how: str, disjoint: bool = True) -> DataFrame:
+        on = self._shared(other)
+        right = other.df.select(*on) if how in ("left_semi", "left_anti") else other.df
+        if not set(on) & (self.maybe | other.maybe):
+            return self.df.join(right, on, how)
+        return compatible_join(self.df, right, on, how, [v for v in on if v in self.maybe], [v for v in on if v in other.maybe], disjoint)
+
     def join(self, other: Solutions) -> Solutions:
-        return Solutions(self.df.join(other.df, self._shared(other)))
+        both = set(self.variables) & set(other.variables)
+        maybe = {v for v in self.maybe | other.maybe if v not in both or v in self.maybe & other.maybe}
+        return Solutions(self._meet(other, "inner"), frozenset(maybe))
 
     def optional(self, other: Solutions) -> Solutions:
-        """Left join; for well-designed patterns, whose shared variables are bound on the left."""
-        return Solutions(self.df.join(other.df, self._shared(other), "left"))
+        """Left join of compatible solutions; what only the optional part binds may be unbound."""
+        return Solutions(self._meet(other, "left"), self.maybe | (set(other.variables) - set(self.variables)))
 
     def union(self, other: Solutions) -> Solutions:
-        return Solutions(self.df.unionByName(other.df, allowMissingColumns=True))
+        one = set(self.variables) ^ set(other.variables)
+        return Solutions(self.df.unionByName(other.df, allowMissingColumns=True), self.maybe | other.maybe | one)
 
     def exists(self, other: Solutions) -> Solutions:
-        on = self._shared(other)
-        return Solutions(self.df.join(other.df.select(*on), on, "left_semi"))
+        return Solutions(self._meet(other, "left_semi"), self.maybe)
 
     def not_exists(self, other: Solutions) -> Solutions:
-        on = self._shared(other)
-        return Solutions(self.df.join(other.df.select(*on), on, "left_anti"))
+        return Solutions(self._meet(other, "left_anti"), self.maybe)
 
     def minus(self, other: Solutions) -> Solutions:
-        """As not_exists; without a shared variable nothing is taken away."""
-        return self.not_exists(other) if set(self.variables) & set(other.variables) else self
+        """As not_exists, but solutions that bind no variable in common take nothing away."""
+        on = [v for v in self.variables if v in other.variables]
+        return Solutions(self._meet(other, "left_anti", disjoint=False), self.maybe) if on else self
 
     def filter(self, condition: Column | str) -> Solutions:
-        return Solutions(self.df.where(condition))
+        return Solutions(self.df.where(condition), self.maybe)
 
     def bind(self, name: str, value: Column) -> Solutions:
         if name in self.variables:
             raise QueryError(f"{name} is bound already")
-        return Solutions(self.df.withColumn(name, value))
+        df = self.df.withColumn(name, value)
+        return Solutions(df, self.maybe | ({name} if df.schema[name].nullable else set()))
 
     def values(self, name: str, values: Sequence[Any]) -> Solutions:
         """Keeps the solutions whose variable has one of the values (a list given in the query)."""
-        return Solutions(self.df.where(F.col(name).isin(list(values))))
+        return Solutions(self.df.where(F.col(name).isin(list(values))), self.maybe - {name})
 
     def project(self, *columns: str | Column) -> Solutions:
-        return Solutions(self.df.select(*columns))
+        df = self.df.select(*columns)
+        return Solutions(df, frozenset(c for c in df.columns if c in self.maybe or (c not in self.variables and df.schema[c].nullable)))
 
     def distinct(self) -> Solutions:
-        return Solutions(self.df.distinct())
+        return Solutions(self.df.distinct(), self.maybe)
 
     def group(self, keys: Sequence[str], **aggregates: Column) -> Solutions:
-        columns = [c.alias(n) for n, c in aggregates.items()]
-        return Solutions(self.df.groupBy(*keys).agg(*columns))
+        df = self.df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
+        return Solutions(df, (self.maybe & set(keys)) | {n for n in aggregates if df.schema[n].nullable})
 
     def order(self, *columns: str | Column) -> Solutions:
-        return Solutions(self.df.orderBy(*columns))
+        return Solutions(self.df.orderBy(*columns), self.maybe)
 
     def limit(self, n: int, offset: int = 0) -> Solutions:
-        return Solutions((self.df.offset(offset) if offset else self.df).limit(n))
+        return Solutions((self.df.offset(offset) if offset else self.df).limit(n), self.maybe)
 
     def ask(self) -> bool:
         return not self.df.isEmpty()
