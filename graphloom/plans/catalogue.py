@@ -110,6 +110,97 @@ def fetch_schemas(graph: TripleGraph, classes: Sequence[str], algorithms: Sequen
     return out
 
 
+def _derivations(graph: TripleGraph) -> Solutions:
+    """How attributes are derived: att, derivation, dvAttr, dvDomain, dvProp; maybe dvLabel, dvExpr, and the derivation of the property itself."""
+    found = bgp(graph, ("?att", "derived", "?derivation"), ("?derivation", "fromAttribute", "?dvAttr"), ("?dvAttr", "onDomain", "?dvDomain"), ("?dvAttr", "onProperty", "?dvProp"))
+    of_property = bgp(
+        graph,
+        ("?dvProp", "derived", "?propDerivation"),
+        ("?propDerivation", "fromExpression", "?propDvExpr"),
+        ("?propDerivation", "fromAttribute", "?propDvAttr"),
+        ("?propDvAttr", "onProperty", "?propDvProp"),
+    ).optional(bgp(graph, ("?propDvAttr", "label", "?propDvLabel")))
+    labelled = found.optional(bgp(graph, ("?dvAttr", "label", "?dvLabel"))).optional(bgp(graph, ("?derivation", "fromExpression", "?dvExpr")))
+    return labelled.optional(of_property.bind("dvPropType", F.lit("DerivedProperty")))
+
+
+#: What is said of attributes and their derivations.
+_ATTRIBUTES = [
+    ("?ctx", "hasAttribute", "?att"),
+    ("?att", "onProperty", "?prop"),
+    ("?att", "isKey", "?key"),
+    ("?att", "onRange", "?range"),
+    ("?att", "derived", "?derivation"),
+    ("?derivation", "fromAttribute", "?dvAttr"),
+    ("?derivation", "fromExpression", "?dvExpr"),
+    ("?dvAttr", "onDomain", "?dvDomain"),
+    ("?dvAttr", "onProperty", "?dvProp"),
+    ("?dvAttr", "label", "?dvLabel"),
+    ("?dvProp", "a", "?dvPropType"),
+    ("?dvProp", "derived", "?propDerivation"),
+    ("?propDerivation", "fromExpression", "?propDvExpr"),
+    ("?propDerivation", "fromAttribute", "?propDvAttr"),
+    ("?propDvAttr", "onProperty", "?propDvProp"),
+    ("?propDvAttr", "label", "?propDvLabel"),
+]
+
+
+def _contexts(graph: TripleGraph, layout: str) -> Solutions:
+    """A layout's features and targets, each as feature or target, and as ctx."""
+    features = bgp(graph, (f"?{layout}", "hasFeature", "?feature")).bind("ctx", "feature")
+    return features.union(bgp(graph, (f"?{layout}", "hasTarget", "?target")).bind("ctx", "target"))
+
+
+def task_dependencies(graph: TripleGraph, algorithm: str, tasks: Sequence[str] | None = None, default: str = "SupervisedLearning") -> DataFrame:
+    """The graph that tasks (by default all) need: layout and paradigm, features and targets with their attributes and
+    derivations, the classes they depend on, and what the algorithm acquires, if it is of a task's paradigm.
+
+    A task without a paradigm has the default one; a context without attributes gives nothing.
+    """
+    task = bgp(graph, ("?task", "a", "LearningTaskLayout"))
+    task = (task.values("task", tasks) if tasks is not None else task).optional(bgp(graph, ("?task", "requiresParadigm", "?p")))
+    layout = task.bind("paradigm", F.coalesce("p", F.lit(default))).join(_contexts(graph, "task"))
+    typed = layout.join(bgp(graph, ("?ctx", "a", "Class"))).optional(bgp(graph, ("?ctx", "visibility", "?vis")))
+    attributes = bgp(graph, ("?ctx", "subClassOf", "?att"), ("?att", "a", "WithAttribute"), ("?att", "onProperty", "?prop"))
+    attributes = attributes.optional(bgp(graph, ("?att", "onRange", "?range"))).optional(bgp(graph, ("?att", "isKey", "?key")))
+    known = bgp(graph, ("?algo", "a", "MlAlgorithm"), ("?algo", "inParadigm", "?paradigm")).values("algo", [algorithm])
+    known = known.optional(bgp(graph, ("?algo", "acquires", "?mlCtx")))
+    found = typed.join(attributes.optional(_derivations(graph))).optional(known)
+    about_task = [
+        ("?task", "a", "LearningTaskLayout"),
+        ("?task", "hasFeature", "?feature"),
+        ("?task", "hasTarget", "?target"),
+        ("?task", "requiresParadigm", "?paradigm"),
+        ("?task", "dependsOn", "?dvDomain"),
+        (F.when(F.col("algo").isNotNull(), F.col("algo")), "a", "MlAlgorithm"),
+        ("?algo", "acquires", "?mlCtx"),
+        ("?ctx", "a", "ContextClass"),
+        ("?ctx", "visibility", "?vis"),
+    ]
+    return found.construct([*about_task, *_ATTRIBUTES])
+
+
+def model_entries(graph: TripleGraph) -> DataFrame:
+    """The newest model of each layout, with the layout's contexts, their attributes and derivations.
+
+    Attributes without a range or key mark do not count; a layout without such attributes gives no entry.
+    """
+    about = bgp(graph, ("?model", "fromAlgorithm", "?algo"), ("?model", "forTask", "?task"))
+    newest = Solutions(latest_models(graph).select("layout", "model")).join(about)
+    attributes = bgp(graph, ("?ctx", "hasAttribute", "?att"), ("?att", "onProperty", "?prop"), ("?att", "isKey", "?key"), ("?att", "onRange", "?range"))
+    found = newest.join(_contexts(graph, "layout")).join(attributes.optional(_derivations(graph)))
+    about_model = [
+        ("?model", "a", "ModelEntry"),
+        ("?model", "fromAlgorithm", "?algo"),
+        ("?model", "forTask", "?task"),
+        ("?model", "forLayout", "?layout"),
+        ("?layout", "a", "LearningTaskLayout"),
+        ("?layout", "hasTarget", "?target"),
+        ("?layout", "hasFeature", "?feature"),
+    ]
+    return found.construct([*about_model, *_ATTRIBUTES])
+
+
 def compatible_nodes(graph: TripleGraph, algorithm: str, classes: Sequence[str]) -> DataFrame:
     """The edge nodes that implement the algorithm and acquire every class that it does not acquire itself."""
     given = {r["c"] for r in bgp(graph, (algorithm, "acquires", "?c")).df.collect()}  # an algorithm's own classes are few

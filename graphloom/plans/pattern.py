@@ -100,9 +100,12 @@ class Solutions:
     def filter(self, condition: Column | str) -> Solutions:
         return Solutions(self.df.where(condition), self.maybe)
 
-    def bind(self, name: str, value: Column) -> Solutions:
+    def bind(self, name: str, value: Column | str) -> Solutions:
+        """name as an expression, or as the value of another variable."""
         if name in self.variables:
             raise QueryError(f"{name} is bound already")
+        if isinstance(value, str):
+            return Solutions(self.df.withColumn(name, F.col(value)), self.maybe | ({name} if value in self.maybe else set()))
         df = self.df.withColumn(name, value)
         return Solutions(df, self.maybe | ({name} if df.schema[name].nullable else set()))
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators.derivation import DerivationGraph
-from graphloom.operators.derive import Attribute, Binding, ContextClass, Derivation, Schema
-from graphloom.plans.storage import new_path
+from graphloom.operators.derive import Attribute, Binding, ContextClass, Derivation, Schema, union_all
+from graphloom.plans import catalogue
+from graphloom.plans.pattern import TripleGraph
+from graphloom.plans.storage import new_path, table
 from graphloom.registry import query, t
 from graphloom.streaming import gather
 
@@ -128,6 +130,150 @@ def derivation_domains(spark, sf_dir):
     return path_closure(nations.unionByName(segments).distinct()).select(F.col("s").alias("cls"), F.col("o").alias("dep"))
 
 
+# ---- task dependencies and models: optional blocks over a schema graph
+
+
+#: The triples that the tables give: subject, predicate, object and the condition, per table.
+SCHEMA_TRIPLES = {
+    "nation": [
+        ("'task/' || n_nationkey", "a", "'LearningTaskLayout'", "true"),
+        ("'task/' || n_nationkey", "requiresParadigm", "'paradigm/' || (n_nationkey % 3)", "n_nationkey % 2 = 1"),
+        ("'task/' || n_nationkey", "hasFeature", "'ctx/' || (n_nationkey % 20)", "n_nationkey % 6 <> 5"),
+        ("'task/' || n_nationkey", "hasTarget", "'ctx/' || ((n_nationkey * 7 + 3) % 20)", "true"),
+    ],
+    "supplier": [
+        ("'algo/' || s_suppkey", "a", "'MlAlgorithm'", "true"),
+        ("'algo/' || s_suppkey", "inParadigm", "'paradigm/' || (s_suppkey % 3)", "true"),
+        ("'algo/' || s_suppkey", "acquires", "'ctx/' || (s_nationkey % 20)", "true"),
+        ("'algo/' || s_suppkey", "acquires", "'ctx/' || ((s_nationkey + 1) % 20)", "true"),
+    ],
+    "part": [
+        ("'ctx/' || (p_partkey % 20)", "a", "'Class'", "p_partkey % 20 <> 13"),
+        ("'ctx/' || (p_partkey % 20)", "visibility", "'Public'", "p_partkey % 20 < 9"),
+        ("'ctx/' || (p_partkey % 20)", "subClassOf", "'att/' || p_partkey", "true"),
+        ("'ctx/' || (p_partkey % 20)", "hasAttribute", "'att/' || p_partkey", "true"),
+        ("'att/' || p_partkey", "a", "'WithAttribute'", "p_partkey % 11 <> 0"),
+        ("'att/' || p_partkey", "onProperty", "'prop/' || p_size", "true"),
+        ("'att/' || p_partkey", "onRange", "p_type", "p_partkey % 4 <> 0"),
+        ("'att/' || p_partkey", "isKey", "'true'", "p_partkey % 3 = 0"),
+        ("'att/' || p_partkey", "derived", "'der/' || p_partkey", "p_partkey % 2 = 0"),
+        ("'der/' || p_partkey", "fromAttribute", "'dva/' || p_partkey", "true"),
+        ("'der/' || p_partkey", "fromExpression", "'AVG(?' || p_brand || ')'", "p_partkey % 5 = 0"),
+        ("'dva/' || p_partkey", "onDomain", "'ctx/' || ((p_partkey * 3) % 20)", "p_partkey % 7 <> 0"),
+        ("'dva/' || p_partkey", "onProperty", "'prop/' || p_size", "true"),
+        ("'dva/' || p_partkey", "label", "p_brand", "p_partkey % 9 = 0"),
+        ("'prop/' || p_size", "derived", "'pd/' || p_size", "p_size % 2 = 0"),
+        ("'pd/' || p_size", "fromExpression", "'TIMESLOT(HOUR)'", "p_size % 3 <> 0"),
+        ("'pd/' || p_size", "fromAttribute", "'pda/' || p_size", "true"),
+        ("'pda/' || p_size", "onProperty", "'prop/' || (p_size + 100)", "true"),
+        ("'pda/' || p_size", "label", "'l' || p_size", "p_size % 4 = 0"),
+    ],
+    "orders": [
+        ("'model/' || o_orderkey", "a", "'ModelEntry'", "true"),
+        ("'model/' || o_orderkey", "forLayout", "'task/' || (o_custkey % 25)", "true"),
+        ("'model/' || o_orderkey", "forTask", "'run/' || o_custkey", "true"),
+        ("'model/' || o_orderkey", "fromAlgorithm", "'algo/' || (o_orderkey % 7)", "o_orderkey % 10 <> 0"),
+        ("'model/' || o_orderkey", "acquiredAt", "{date}(o_orderdate, '{format}')", "true"),
+    ],
+}
+
+
+def schema_graph(spark, sf_dir) -> TripleGraph:
+    """The triples of SCHEMA_TRIPLES, written once: patterns scan them many times."""
+    parts = []
+    for name, rules in SCHEMA_TRIPLES.items():
+        rows = [
+            F.struct(F.expr(s).alias("s"), F.lit(p).alias("p"), F.expr(o.format(date="date_format", format="yyyy-MM-dd HH:mm:ss")).alias("o"), F.expr(c).alias("holds"))
+            for s, p, o, c in rules
+        ]
+        held = t(spark, sf_dir, name).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        parts.append(held.where("holds").drop("holds"))
+    return TripleGraph(table(union_all(parts).distinct(), "schema-graph"))
+
+
+def _triples_sql() -> str:
+    selects = [
+        f"SELECT {s} AS s, '{p}' AS p, {o.format(date='strftime', format='%Y-%m-%d %H:%M:%S')} AS o FROM {name} WHERE {c}"
+        for name, rules in SCHEMA_TRIPLES.items()
+        for s, p, o, c in rules
+    ]
+    return " UNION ".join(selects)
+
+
+#: An attribute's derivations, left-joined block by block.
+_DERIVED_SQL = """
+d0 AS (
+  SELECT a.s AS att, a.o AS derivation, b.o AS dvattr, c.o AS dvdomain, e.o AS dvprop, l.o AS dvlabel, x.o AS dvexpr
+  FROM g a JOIN g b ON b.s = a.o AND b.p = 'fromAttribute' JOIN g c ON c.s = b.o AND c.p = 'onDomain' JOIN g e ON e.s = b.o AND e.p = 'onProperty'
+  LEFT JOIN g l ON l.s = b.o AND l.p = 'label' LEFT JOIN g x ON x.s = a.o AND x.p = 'fromExpression' WHERE a.p = 'derived'
+), pd AS (
+  SELECT a.s AS dvprop, a.o AS pderivation, x.o AS pexpr, b.o AS pattr, e.o AS pprop, l.o AS plabel
+  FROM g a JOIN g x ON x.s = a.o AND x.p = 'fromExpression' JOIN g b ON b.s = a.o AND b.p = 'fromAttribute' JOIN g e ON e.s = b.o AND e.p = 'onProperty'
+  LEFT JOIN g l ON l.s = b.o AND l.p = 'label' WHERE a.p = 'derived'
+), dv AS (
+  SELECT d0.*, pderivation, pexpr, pattr, pprop, plabel FROM d0 LEFT JOIN pd USING (dvprop)
+)"""
+_ATTRIBUTES_SQL = """
+  SELECT ctx AS s, 'hasAttribute' AS p, att AS o FROM f UNION SELECT att, 'onProperty', prop FROM f UNION SELECT att, 'isKey', key FROM f UNION SELECT att, 'onRange', range FROM f
+  UNION SELECT att, 'derived', derivation FROM f UNION SELECT derivation, 'fromAttribute', dvattr FROM f UNION SELECT derivation, 'fromExpression', dvexpr FROM f
+  UNION SELECT dvattr, 'onDomain', dvdomain FROM f UNION SELECT dvattr, 'onProperty', dvprop FROM f UNION SELECT dvattr, 'label', dvlabel FROM f
+  UNION SELECT dvprop, 'a', CASE WHEN pderivation IS NOT NULL THEN 'DerivedProperty' END FROM f UNION SELECT dvprop, 'derived', pderivation FROM f
+  UNION SELECT pderivation, 'fromExpression', pexpr FROM f UNION SELECT pderivation, 'fromAttribute', pattr FROM f
+  UNION SELECT pattr, 'onProperty', pprop FROM f UNION SELECT pattr, 'label', plabel FROM f"""
+_CONTEXTS_SQL = "SELECT s AS task, o AS feature, NULL AS target, o AS ctx FROM g WHERE p = 'hasFeature' UNION ALL SELECT s, NULL, o, o FROM g WHERE p = 'hasTarget'"
+
+
+@query(
+    "task_dependencies",
+    f"""
+    WITH g AS ({_triples_sql()}), c AS ({_CONTEXTS_SQL}), {_DERIVED_SQL}, f AS (
+      SELECT t.s AS task, coalesce(q.o, 'SupervisedLearning') AS paradigm, feature, target, ctx, v.o AS vis, att.o AS att, pr.o AS prop, ra.o AS range, k.o AS key,
+             derivation, dvattr, dvdomain, dvprop, dvlabel, dvexpr, pderivation, pexpr, pattr, pprop, plabel
+      FROM g t LEFT JOIN g q ON q.s = t.s AND q.p = 'requiresParadigm' JOIN c ON c.task = t.s
+      JOIN g cl ON cl.s = ctx AND cl.p = 'a' AND cl.o = 'Class' LEFT JOIN g v ON v.s = ctx AND v.p = 'visibility'
+      JOIN g att ON att.s = ctx AND att.p = 'subClassOf' JOIN g wa ON wa.s = att.o AND wa.p = 'a' AND wa.o = 'WithAttribute'
+      JOIN g pr ON pr.s = att.o AND pr.p = 'onProperty' LEFT JOIN g ra ON ra.s = att.o AND ra.p = 'onRange' LEFT JOIN g k ON k.s = att.o AND k.p = 'isKey'
+      LEFT JOIN dv ON dv.att = att.o WHERE t.p = 'a' AND t.o = 'LearningTaskLayout'
+    ), al AS (
+      SELECT i.s AS algo, i.o AS paradigm, ac.o AS mlctx FROM g i JOIN g y ON y.s = i.s AND y.p = 'a' AND y.o = 'MlAlgorithm'
+      LEFT JOIN g ac ON ac.s = i.s AND ac.p = 'acquires' WHERE i.p = 'inParadigm' AND i.s = 'algo/2' AND i.o IN (SELECT paradigm FROM f)
+    )
+    SELECT * FROM (
+      SELECT task AS s, 'a' AS p, 'LearningTaskLayout' AS o FROM f UNION SELECT task, 'hasFeature', feature FROM f UNION SELECT task, 'hasTarget', target FROM f
+      UNION SELECT task, 'requiresParadigm', paradigm FROM f UNION SELECT task, 'dependsOn', dvdomain FROM f UNION SELECT algo, 'a', 'MlAlgorithm' FROM al
+      UNION SELECT algo, 'acquires', mlctx FROM al UNION SELECT ctx, 'a', 'ContextClass' FROM f UNION SELECT ctx, 'visibility', vis FROM f
+      UNION {_ATTRIBUTES_SQL}
+    ) WHERE s IS NOT NULL AND o IS NOT NULL
+    """,
+)
+def task_dependencies(spark, sf_dir):
+    return catalogue.task_dependencies(schema_graph(spark, sf_dir), "algo/2")
+
+
+@query(
+    "model_entries",
+    f"""
+    WITH g AS ({_triples_sql()}), c AS ({_CONTEXTS_SQL}), {_DERIVED_SQL}, m AS (
+      SELECT l.s AS model, l.o AS layout, a.o AS stamp, max(a.o) OVER (PARTITION BY l.o) AS newest
+      FROM g y JOIN g l ON l.s = y.s AND l.p = 'forLayout' JOIN g a ON a.s = y.s AND a.p = 'acquiredAt' WHERE y.p = 'a' AND y.o = 'ModelEntry'
+    ), f AS (
+      SELECT model, layout, al.o AS algo, ta.o AS task, feature, target, ctx, att.o AS att, pr.o AS prop, ra.o AS range, k.o AS key,
+             derivation, dvattr, dvdomain, dvprop, dvlabel, dvexpr, pderivation, pexpr, pattr, pprop, plabel
+      FROM m JOIN g al ON al.s = model AND al.p = 'fromAlgorithm' JOIN g ta ON ta.s = model AND ta.p = 'forTask' JOIN c ON c.task = layout
+      JOIN g att ON att.s = ctx AND att.p = 'hasAttribute' JOIN g pr ON pr.s = att.o AND pr.p = 'onProperty'
+      JOIN g ra ON ra.s = att.o AND ra.p = 'onRange' JOIN g k ON k.s = att.o AND k.p = 'isKey' LEFT JOIN dv ON dv.att = att.o WHERE stamp = newest
+    )
+    SELECT * FROM (
+      SELECT model AS s, 'a' AS p, 'ModelEntry' AS o FROM f UNION SELECT model, 'fromAlgorithm', algo FROM f UNION SELECT model, 'forTask', task FROM f
+      UNION SELECT model, 'forLayout', layout FROM f UNION SELECT layout, 'a', 'LearningTaskLayout' FROM f
+      UNION SELECT layout, 'hasTarget', target FROM f UNION SELECT layout, 'hasFeature', feature FROM f UNION {_ATTRIBUTES_SQL}
+    ) WHERE s IS NOT NULL AND o IS NOT NULL
+    """,
+)
+def model_entries(spark, sf_dir):
+    return catalogue.model_entries(schema_graph(spark, sf_dir))
+
+
 # ---- rounds on streams
 
 #: A round is a user's day: the first three events until 18:00.
