@@ -61,6 +61,11 @@ FURNITURE = frozenset(
     "site-header page-header masthead topbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login "
     "comment comments commentlist respond disqus replies share sharing social related recommended widget pagination pager toolbar search".split()
 )
+#: Furniture words that boxes of an article's own text have as well.
+BOXES = frozenset("alert banner menu notice overlay popup promo search sponsor toolbar".split())
+#: Elements that are never furniture inside the main text by their name, and those that a reader clicks.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
+CLICKED = frozenset("a button".split())
 #: Parts that may stand beside a furniture word in a name; a name with any other part ("has-sidebar", "search-results") marks no furniture.
 NEUTRAL = frozenset(
     "site main page top bottom left right primary secondary global local inner outer box bar area list item items block section container wrapper wrap "
@@ -122,9 +127,31 @@ class Element:
         role = self.found().get("role", "").lower() if "role" in self.attributes.lower() else ""
         return role if role in ("article", "main") else ""
 
-    def named(self, words: frozenset[str]) -> bool:
+    def named(self, words: frozenset[str], keys: tuple[str, ...] = ("class", "id")) -> bool:
         found = self.found()
-        return any(marked_as(found[k], words) for k in ("class", "id") if found.get(k))
+        return any(marked_as(found[k], words) for k in keys if found.get(k))
+
+    def holds_articles(self) -> bool:
+        todo = [self]
+        while todo:
+            inner = [c for c in todo.pop().children if isinstance(c, Element)]
+            if any(c.kind() == "article" for c in inner):
+                return True
+            todo += inner
+        return False
+
+    def mostly_links(self) -> bool:
+        """Whether at least half of its text is in links or buttons, or it has none."""
+        linked, whole, todo = 0, 0, [(self, self.tag in CLICKED)]
+        while todo:
+            e, inside = todo.pop()
+            for c in e.children:
+                if isinstance(c, str):
+                    n = len(_space.sub(" ", c).strip())
+                    whole, linked = whole + n, linked + n * inside
+                else:
+                    todo.append((c, inside or c.tag in CLICKED))
+        return 2 * linked >= whole
 
     def left_out(self, inside_main: bool) -> bool:
         """Whether the page itself takes it out of the text, by tag, role or style."""
@@ -136,9 +163,18 @@ class Element:
         return bool(re.search(r"display\s*:\s*none", found.get("style", ""), re.IGNORECASE)) or found.get("role", "").lower() in FURNITURE_ROLES
 
     def dropped(self, inside_main: bool) -> bool:
+        """Outside the main text names of class and id count.  Inside, headings and paragraphs stay; ids, which are made from titles,
+        and classes that an article's own boxes have count where a second sign agrees: links and buttons, or articles of others.
+        """
         if self.left_out(inside_main):
             return True
-        return self.tag not in ("body", "html", "main") and self.named(FURNITURE if inside_main else FURNITURE_OUTSIDE)
+        if self.tag in ("body", "html", "main"):
+            return False
+        if not inside_main:
+            return self.named(FURNITURE_OUTSIDE)
+        if self.tag in PROSE:
+            return False
+        return self.named(FURNITURE - BOXES, ("class",)) or (self.named(FURNITURE) and (self.mostly_links() or self.holds_articles()))
 
 
 def parse(page: str) -> Element:
@@ -380,8 +416,8 @@ def host_of(url: str):
     return F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/?#:]*)", 1)
 
 
-def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """host, hash and pages of the subtrees that recur on many pages of a host."""
+def templates(pages: DataFrame, url: str = "url", page: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """host, hash and pages of the subtrees that recur on min_pages pages of a host and on min_share of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -399,18 +435,20 @@ def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFra
 
     thin = pages.select(host_of(url).alias("host"), F.col(page).alias("html"))
     counted = thin.mapInArrow(run, "host string, hash long, pages long").groupBy("host", "hash").agg(F.sum("pages").alias("pages"))
-    common = counted.where(F.col("pages") >= MIN_PAGES)
+    common = counted.where(F.col("pages") >= min_pages)
     sizes = pages.groupBy(host_of(url).alias("host")).agg(F.count(F.lit(1)).alias("host_pages"))
-    return common.join(sizes, "host").where(F.col("pages") >= MIN_SHARE * F.col("host_pages")).select("host", "hash", "pages")
+    return common.join(sizes, "host").where(F.col("pages") >= min_share * F.col("host_pages")).select("host", "hash", "pages")
 
 
-def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+def extract_pages(
+    pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE
+) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages.
 
-    A host keeps fewer than ``subtrees per page / MIN_SHARE`` templates, so their list per host is short whatever
+    A host keeps fewer than ``subtrees per page / min_share`` templates, so their list per host is short whatever
     the host's size; the lists are broadcast up to a checked number of hosts and shuffled beyond it.
     """
-    known = table(templates(pages, url, page), "html-templates")
+    known = table(templates(pages, url, page, min_pages, min_share), "html-templates")
     lists = small(known.groupBy("host").agg(F.collect_list("hash").alias("template")), 20_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

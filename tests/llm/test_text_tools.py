@@ -330,3 +330,35 @@ def test_templates_go_before_the_main_text_is_chosen(spark):
 def test_copies_of_a_page_are_no_templates(spark):
     out = _texts(spark, lambda i: f"<div>Top</div><article><h1>t</h1><section><p>a story</p></section><div>more of it</div></article><p>{i}</p>")
     assert set(out.values()) == {"t\na story\nmore of it"}
+
+
+@pytest.mark.parametrize(
+    "inner,text",
+    [
+        ('<section id="search"><p>How search engines work</p></section>', "How search engines work"),
+        ('<h2 id="comments">Comments on the law</h2><p>One</p>', "Comments on the law\nOne"),
+        ('<h2 id="social">Social life</h2>', "Social life"),
+        ('<section id="banner">A banner year</section>', "A banner year"),
+        ('<p class="share">Market share rose</p>', "Market share rose"),
+        ('<div class="alert">Take care of the <a href="x">wire</a> here</div>', "Take care of the wire here"),
+        ('<p>Text</p><div class="share"><a href="t">Tweet</a></div><div class="notice"><button>Accept</button></div>', "Text"),
+        ('<p>Text</p><div class="comments"><div>I like it</div></div>', "Text"),
+    ],
+)
+def test_names_alone_take_no_text_from_an_article(inner, text):
+    assert html_extract.extract(f"<body><article>{inner}</article></body>") == text
+
+
+def test_counts_of_templates_equal_brute_force(spark):
+    menu = "<div><ul><li>Home page of the site</li><li>About the site and us</li></ul></div>"
+    rows = [(i, f"https://h{i % 3}.org/{i}", f"<body>{menu if i % 2 else ''}<div><p>text {i} of a page with words</p></div></body>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    counts, sizes = {}, {}
+    for _, url, page in rows:
+        host = url.split("/")[2]
+        sizes[host] = sizes.get(host, 0) + 1
+        for x in html_extract.page_hashes(page):
+            counts[host, x] = counts.get((host, x), 0) + 1
+    for least, share in ((5, 0.2), (2, 0.6)):
+        expected = {(h, x, n) for (h, x), n in counts.items() if n >= least and n >= share * sizes[h]}
+        assert {tuple(r) for r in html_extract.templates(pages, min_pages=least, min_share=share).collect()} == expected
