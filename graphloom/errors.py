@@ -17,6 +17,10 @@ class DecodeError(GraphloomError):
     """A record that lacks a required field or holds a value of the wrong type."""
 
 
+class Conflict(GraphloomError):
+    """Another writer has committed the version that this one was to make."""
+
+
 class QueryError(GraphloomError):
     """A query of the wrong form, or one whose parts do not share variables."""
 

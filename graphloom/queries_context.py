@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.derivation import DerivationGraph
 from graphloom.operators.derive import Attribute, Binding, ContextClass, Derivation, Schema, union_all
-from graphloom.plans import catalogue
+from graphloom.operators.infer import Axioms
+from graphloom.operators.maintain import Maintained, rules_of
+from graphloom.operators.update import GraphStore
+from graphloom.plans import catalogue, rounds
 from graphloom.plans.pattern import TripleGraph
 from graphloom.plans.storage import new_path, table
 from graphloom.registry import query, t
@@ -147,6 +150,13 @@ SCHEMA_TRIPLES = {
         ("'algo/' || s_suppkey", "acquires", "'ctx/' || (s_nationkey % 20)", "true"),
         ("'algo/' || s_suppkey", "acquires", "'ctx/' || ((s_nationkey + 1) % 20)", "true"),
     ],
+    "customer": [
+        ("'edge/' || c_custkey", "a", "'EdgeNode'", "c_custkey % 9 <> 0"),
+        ("'edge/' || c_custkey", "implements", "'algo/' || (c_custkey % 7)", "true"),
+        ("'edge/' || c_custkey", "acquires", "'ctx/' || (c_nationkey % 20)", "true"),
+        ("'edge/' || c_custkey", "acquires", "'ctx/' || (c_custkey % 5)", "true"),
+        ("'edge/' || c_custkey", "acquires", "'ctx/' || (c_custkey % 3)", "true"),
+    ],
     "part": [
         ("'ctx/' || (p_partkey % 20)", "a", "'Class'", "p_partkey % 20 <> 13"),
         ("'ctx/' || (p_partkey % 20)", "visibility", "'Public'", "p_partkey % 20 < 9"),
@@ -274,6 +284,121 @@ def model_entries(spark, sf_dir):
     return catalogue.model_entries(schema_graph(spark, sf_dir))
 
 
+CLASSES = ["ctx/1", "ctx/2"]
+
+
+@query(
+    "fetch_schemas",
+    f"""
+    WITH g AS ({_triples_sql()})
+    SELECT a.s AS cls, pr.o AS property, ra.o AS range, coalesce(k.o = 'true', false) AS is_key, NULL::VARCHAR AS unit, coalesce(v.o, 'Private') AS visibility
+    FROM g a JOIN g wa ON wa.s = a.o AND wa.p = 'a' AND wa.o = 'WithAttribute' JOIN g pr ON pr.s = a.o AND pr.p = 'onProperty' JOIN g ra ON ra.s = a.o AND ra.p = 'onRange'
+    LEFT JOIN g k ON k.s = a.o AND k.p = 'isKey' LEFT JOIN g v ON v.s = a.s AND v.p = 'visibility' WHERE a.p = 'subClassOf' AND a.s IN ('ctx/1', 'ctx/2')
+    """,
+)
+def fetch_schemas(spark, sf_dir):
+    """The schemas of two classes and of what they depend on, from the whole graph."""
+    return catalogue.fetch_schemas(schema_graph(spark, sf_dir), CLASSES)
+
+
+@query(
+    "compatible_clients",
+    f"""
+    WITH g AS ({_triples_sql()}), need AS (SELECT unnest(['ctx/1', 'ctx/2', 'ctx/4']) AS c EXCEPT SELECT o FROM g WHERE s = 'algo/2' AND p = 'acquires')
+    SELECT n.s AS node FROM g n JOIN g i ON i.s = n.s AND i.p = 'implements' AND i.o = 'algo/2' WHERE n.p = 'a' AND n.o = 'EdgeNode'
+    AND NOT EXISTS (SELECT 1 FROM need WHERE c NOT IN (SELECT o FROM g q WHERE q.s = n.s AND q.p = 'acquires'))
+    """,
+)
+def compatible_clients(spark, sf_dir):
+    """The edge nodes that can take part in a task: they have the algorithm and every class that it does not bring."""
+    return catalogue.compatible_nodes(schema_graph(spark, sf_dir), "algo/2", ["ctx/1", "ctx/2", "ctx/4"])
+
+
+# ---- steps of a learning round
+
+
+@query(
+    "predictions_export",
+    "SELECT 'item/' || event_id AS item, 'class/' || event_type AS predicted, value AS prob FROM events WHERE event_id % 4 <> 0",
+)
+def predictions_export(spark, sf_dir):
+    """Records with a probability are predictions; those without are labels."""
+    rec = F.concat(F.lit("rec/"), "event_id")
+    said = [
+        (F.lit("a"), F.lit("CategorizedItem")),
+        (F.lit("represents"), F.concat(F.lit("item/"), "event_id")),
+        (F.lit("category"), F.concat(F.lit("class/"), "event_type")),
+        (F.lit("predictProb"), F.when(F.col("event_id") % 4 != 0, F.col("value").cast("string"))),
+    ]
+    rows = t(spark, sf_dir, "events").select(F.explode(F.array(*[F.struct(rec.alias("s"), p.alias("p"), o.alias("o")) for p, o in said])).alias("r")).select("r.*")
+    return catalogue.predictions(TripleGraph(rows.where("o is not null"))).df
+
+
+@query(
+    "round_clients",
+    """
+    WITH c AS (SELECT c_nationkey, c_custkey, c_acctbal, count(*) OVER (PARTITION BY c_nationkey) AS n, CASE WHEN c_acctbal > 0
+               THEN -ln((('0x' || substr(md5('42:' || c_custkey), 1, 8))::BIGINT + 0.5) / 4294967296.0) / c_acctbal END AS draw FROM customer)
+    SELECT c_custkey AS node FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY draw NULLS LAST, c_custkey) AS r FROM c)
+    WHERE draw IS NOT NULL AND r <= greatest(floor(n * 0.3), 2)
+    """,
+)
+def round_clients(spark, sf_dir):
+    """Each aggregator's clients for a round, drawn by the size of their data."""
+    customers = t(spark, sf_dir, "customer")
+    clients = customers.select(F.col("c_nationkey").alias("aggregator"), F.col("c_custkey").alias("node"))
+    sizes = customers.select(F.col("c_custkey").alias("node"), F.col("c_acctbal").alias("value"))
+    return rounds.FedAvg(client_fraction=0.3, min_clients_per_aggregator=2).select_train(clients, sizes)
+
+
+def _aggregations(spark, sf_dir):
+    """Each nation aggregates its customers, in one of three rounds."""
+    customers = t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("node"), (F.col("c_custkey") % 3).alias("round"), F.col("c_custkey").alias("c"))
+    return customers.groupBy("node", "round").agg(F.collect_list("c").alias("on_node")).withColumn("task", F.lit("t"))
+
+
+@query(
+    "round_workload",
+    "SELECT c_nationkey AS node, sum(o_orderkey % 1000)::BIGINT AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 3 = 1 GROUP BY c_nationkey",
+)
+def round_workload(spark, sf_dir):
+    """The bytes that each aggregator takes in in a round, from the updates of those it aggregates."""
+    sent = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    columns = [F.col("c_nationkey").alias("node"), F.lit("t").alias("task"), (F.col("c_custkey") % 3).alias("round"), F.col("c_custkey").alias("from_node")]
+    return rounds.workload(_aggregations(spark, sf_dir), sent.select(*columns, (F.col("o_orderkey") % 1000).alias("total_size")), "t", 1)
+
+
+@query(
+    "model_sizes",
+    """
+    WITH own AS (SELECT o_custkey AS c, count(*) AS value FROM orders GROUP BY o_custkey)
+    SELECT c_nationkey::BIGINT AS node, sum(value)::BIGINT AS size FROM customer JOIN own ON c = c_custkey GROUP BY c_nationkey
+    """,
+)
+def model_sizes(spark, sf_dir):
+    """An aggregator's weight: the data of all it has aggregated."""
+    aggregator = (-F.col("node") - 1).alias("node")  # below zero, so that no customer has its number
+    sizes = t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("node")).agg(F.count(F.lit(1)).alias("value"))
+    nodes = t(spark, sf_dir, "customer").join(sizes, F.col("c_custkey") == F.col("node")).select(F.col("c_nationkey").cast("long").alias("node")).distinct()
+    aggregations = _aggregations(spark, sf_dir).select(aggregator, "on_node")
+    return rounds.model_sizes(nodes.select(aggregator), sizes, aggregations).select(aggregator.cast("long").alias("node"), "size")
+
+
+@query(
+    "assign_clients",
+    """
+    SELECT s_suppkey AS aggregator, c_custkey AS client FROM (
+      SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY (c_acctbal - s_acctbal) ** 2 + (c_nationkey - s_nationkey) ** 2, s_suppkey) AS r FROM customer, supplier
+    ) WHERE r = 1
+    """,
+)
+def assign_clients(spark, sf_dir):
+    """Each client with its nearest aggregator."""
+    fogs = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    clients = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    return rounds.FedAvg().map_nodes(fogs, clients)
+
+
 # ---- rounds on streams
 
 #: A round is a user's day: the first three events until 18:00.
@@ -317,3 +442,36 @@ def rounds_first_answers(spark, sf_dir):
 def round_status_log(spark, sf_dir):
     """How many rounds of each day were begun, completed, and ended by their deadline."""
     return _rounds(spark, sf_dir, running=True).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- entailments under updates
+
+
+@query(
+    "maintained_updates",
+    """
+    WITH o AS (SELECT 'order/' || o_orderkey AS o, 'cust/' || o_custkey AS c FROM orders WHERE (o_orderkey % 10 < 8 AND o_orderkey % 7 <> 3) OR o_orderkey % 10 >= 8),
+    c AS (SELECT 'cust/' || c_custkey AS c, CASE WHEN c_custkey % 20 = 1 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END AS n FROM customer),
+    n AS (SELECT n_nationkey AS n, 'nation/' || n_nationkey AS nation, 'region/' || n_regionkey AS region FROM nation)
+    SELECT o AS s, 'placedBy' AS p, c AS o FROM o UNION SELECT c, 'placed', o FROM o UNION SELECT o, 'placedIn', nation FROM o JOIN c USING (c) JOIN n USING (n)
+    UNION SELECT c, unnest(['livesIn', 'partOf']), nation FROM c JOIN n USING (n) UNION SELECT c, 'partOf', region FROM c JOIN n USING (n) UNION SELECT nation, 'partOf', region FROM n
+    """,
+)
+def maintained_updates(spark, sf_dir):
+    """A graph and what it entails, after orders and then homes have changed, from what changed alone."""
+    axioms = Axioms(inverse=[("placedBy", "placed")], sub_property=[("livesIn", "partOf")], transitive=["partOf"], chains={"placedIn": ["placedBy", "livesIn"]})
+    graph = Maintained(GraphStore(spark, new_path(spark, "maintained")), rules_of(axioms, types=False))
+
+    def said(df, s, p, o):
+        return df.select(F.concat(F.lit(s[0]), s[1]).alias("s"), F.lit(p).alias("p"), F.concat(F.lit(o[0]), o[1]).alias("o"))
+
+    orders, customers, nations = (t(spark, sf_dir, name) for name in ("orders", "customer", "nation"))
+    placed = said(orders, ("order/", "o_orderkey"), "placedBy", ("cust/", "o_custkey"))
+    key = F.substring_index("s", "/", -1).cast("bigint")
+    homes = said(customers, ("cust/", "c_custkey"), "livesIn", ("nation/", "c_nationkey"))
+    graph.update(None, placed.where(key % 10 < 8).unionByName(homes).unionByName(said(nations, ("nation/", "n_nationkey"), "partOf", ("region/", "n_regionkey"))))
+    graph.store.compact()
+    graph.update(placed.where(key % 7 == 3), placed.where(key % 10 >= 8))
+    moved = customers.where("c_custkey % 20 = 1")
+    graph.update(homes.where(key % 20 == 1), said(moved.withColumn("to", (F.col("c_nationkey") + 1) % 25), ("cust/", "c_custkey"), "livesIn", ("nation/", "to")))
+    return graph.triples()

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graphloom.errors import DecodeError, MissingContext, NameError_, NotFound, QueryError
+from graphloom.errors import Conflict, DecodeError, MissingContext, NameError_, NotFound, QueryError
 from graphloom.functions.terms import Name, PrefixMap, compact_space, file_stem, format_name, fragment, parse_name
 from graphloom.operators import infer, joins, update
 from graphloom.operators.closure import path_closure
@@ -226,12 +226,42 @@ def test_division_by_a_table(spark):
 def test_a_lost_write_does_not_stop_the_store(spark, tmp_path):
     store = update.GraphStore(spark, f"file://{tmp_path}/lost")
     store.insert(triples(spark, [("a", "p", "b")]))
-    (tmp_path / "lost" / "v1").mkdir()
-    (tmp_path / "lost" / "v1" / "part-0.parquet").write_bytes(b"half")
+    (tmp_path / "lost" / "u-half").mkdir()  # a folder that no entry of the log names
+    (tmp_path / "lost" / "u-half" / "part-0.parquet").write_bytes(b"half")
     store.insert(triples(spark, [("c", "p", "d")]))
     assert store.version() == 1 and {r["s"] for r in store.triples().collect()} == {"a", "c"}
 
 
+def test_of_two_writers_one_commits(spark, tmp_path):
+    one, two = (update.GraphStore(spark, f"file://{tmp_path}/two") for _ in range(2))
+    one.insert(triples(spark, [("a", "p", "b")]))
+    began = one.version()
+    one.update(None, triples(spark, [("c", "p", "d")]), began)
+    with pytest.raises(Conflict):
+        two.update(triples(spark, [("a", "p", "b")]), triples(spark, [("e", "p", "f")]), began)
+    assert {r["s"] for r in two.triples().collect()} == {"a", "c"}
+    two.update(triples(spark, [("a", "p", "b")]), triples(spark, [("e", "p", "f")]))
+    assert {r["s"] for r in one.triples().collect()} == {"c", "e"} and {r["s"] for r in one.triples(began).collect()} == {"a"}
+
+
+def test_bases_and_lookups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(update.GraphStore, "UPDATES", 3)
+    store = update.GraphStore(spark, f"file://{tmp_path}/base")
+    expected = set()
+    for k in range(8):
+        new, old = {(f"s{i}", "p", f"o{k}") for i in range(k, k + 4)}, {(f"s{k}", "p", f"o{k - 1}"), (f"s{k + 1}", "p", f"o{k}")}
+        store.update(triples(spark, sorted(old)), triples(spark, sorted(new)))
+        expected = (expected - old) | new
+    assert {tuple(r) for r in store.triples().collect()} == expected
+    assert store.version() > 7 and len(store._layers()[1]) < 3
+    some = spark.createDataFrame([("s3",), ("s5",), ("s5",)], "x string")
+    assert {tuple(r) for r in store.about(some).collect()} == {t for t in expected if t[0] in ("s3", "s5")}
+    assert {tuple(r) for r in store.about(spark.createDataFrame([("o7",)], "x string"), "o").collect()} == {t for t in expected if t[2] == "o7"}
+    # a lookup reads the buckets of its keys and not the whole base
+    base = [f for f in store.triples().inputFiles() if "/by_s/" in f]
+    assert 0 < len([f for f in store.about(some).inputFiles() if "/by_s/" in f]) <= 2 < len(base)
+
+
 # ---- records
 
 
