@@ -16,14 +16,13 @@ documents hold sends one row a batch to its task, not one a document.  Later exa
 a text never enter the rounds: all their windows are in the first copy.
 
 Defined cases: a null or empty text has no words; texts of fewer than 13 words lose none; a
-null id is neither smaller nor larger than another, so its rows lose nothing and cause no
-removal; equal ids are not smaller, so rows that share one leave each other whole; an empty
+null id is neither smaller nor larger than another, so its rows lose nothing, cause no
+removal and are never dealt out; equal ids are not smaller, so rows that share one leave each other whole; an empty
 table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -171,6 +170,8 @@ def later_copies(docs: DataFrame, doc_id: str, text: str, partitions: int) -> Da
 def dedup_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of each row of docs."""
     parts = input_partitions(docs)
+    nameless = docs.where(F.col(doc_id).isNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.where(F.col(doc_id).isNotNull())
     copies = table(_by_document(later_copies(docs, doc_id, text, parts), "copy_of"), "substring-copies")
     dealt = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition(parts, "doc_id")
     texts = dealt.join(copies.hint("shuffle_hash"), F.col("doc_id") == F.col("_to"), "left").select(
@@ -234,4 +235,6 @@ def dedup_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 ["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    return answered.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    nothing = [F.lit(False).alias("is_copy"), F.lit(None).cast("array<long>").alias("repeated")]
+    shape = "doc_id long, n_words long, n_removed long, kept string"
+    return answered.mapInArrow(cut, shape).unionByName(nameless.select("doc_id", "text", *nothing).mapInArrow(cut, shape))

@@ -186,3 +186,11 @@ def test_long_texts_are_whole(spark):
     assert out[2]["class_id"] == 1 and out[2]["n_links"] == 1
     cut = {r["doc_id"]: r for r in substring_dedup.dedup_documents(documents(spark, rows)).select("doc_id", "n_removed", F.length("kept").alias("n")).collect()}
     assert cut[2]["n_removed"] == 20_000
+
+
+def test_rows_without_an_id_are_not_dealt_out(spark):
+    """They stay in their partitions, whatever their number, and lose nothing."""
+    rows = [(None if i % 3 else i, sentence(i % 5, 40), "en", "a", 1) for i in range(300)]
+    out = substring_dedup.dedup_documents(documents(spark, rows).repartition(6))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["kept"].split(" ") if r["kept"] else []) for r in out.collect())
+    assert got == sorted((d is None, d or 0, n, kept) for d, n, kept in dedup_substrings([(x[0], x[1]) for x in rows]))
