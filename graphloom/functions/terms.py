@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from graphloom.errors import NameError_
 
 # Fixed values of the grammar of local names.
-ESCAPABLE = "_~.-!$&'()*+,;=/?#@%"
 _local_char = r"(?:[^\W]|[:·-]|%[0-9A-Fa-f]{2}|\\[_~.\-!$&'()*+,;=/?#@%])"
 _local = re.compile(rf"(?:{_local_char}(?:(?:{_local_char}|\.)*{_local_char})?)?")
 _prefix = re.compile(r"(?:[^\W\d_](?:[\w.·-]*[\w·-])?)?")
@@ -101,7 +100,9 @@ class PrefixMap(Mapping[str, str]):
         """The prefixed name of an IRI, if a prefix fits and the rest is a local name."""
         for prefix, namespace in self._longest_first():
             if iri.startswith(namespace) and _prefix.fullmatch(prefix):
-                return Name(prefix, iri[len(namespace) :])
+                name = Name(prefix, iri[len(namespace) :])
+                if _local.fullmatch(format_name(name).split(":", 1)[1]):  # escaped where the grammar lets it be
+                    return name
         return None
 
     def shorten(self, iri: str) -> str:

@@ -13,7 +13,7 @@ from graphloom.plans import catalogue, rounds
 from graphloom.plans.pattern import TripleGraph
 from graphloom.plans.storage import new_path, table
 from graphloom.registry import query, t
-from graphloom.streaming import gather
+from graphloom.streaming import context, gather
 
 # ---- derivation graphs
 
@@ -475,3 +475,20 @@ def maintained_updates(spark, sf_dir):
     moved = customers.where("c_custkey % 20 = 1")
     graph.update(homes.where(key % 20 == 1), said(moved.withColumn("to", (F.col("c_nationkey") + 1) % 25), ("cust/", "c_custkey"), "livesIn", ("nation/", "to")))
     return graph.triples()
+
+
+# ---- relayed context
+
+
+@query("relayed_view", "SELECT event_id, user_id, event_type FROM events")
+def relayed_view(spark, sf_dir):
+    """Events that a stream brings by two routes, the second in other batches than the first: each once."""
+    events = t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    routes = []
+    for slices in (4, 3):
+        folder = gather.replay(events, "ts", slices, "relayed-source")
+        routes.append(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "4").parquet(folder))
+    out = context.relayed_view(routes, ["event_id", "user_id", "event_type"], "ts", "15 days")
+    path = new_path(spark, "relayed-sink")
+    gather.sink(out, path, new_path(spark, "relayed-state")).awaitTermination()
+    return gather.read_sink(spark, path, out.schema).select("event_id", "user_id", "event_type")

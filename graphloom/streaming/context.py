@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -51,6 +52,19 @@ def global_view(parts: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
     return all_parts.withColumn("subject", subject_hash("record", *[F.col(k) for k in key])).dropDuplicates(["subject"])
 
 
+def relayed_view(routes: Sequence[DataFrame], key: Sequence[str], at: str, delay: str) -> DataFrame:
+    """The union of streams that bring the same records by several routes, each record once.
+
+    A copy is known by the hash of its content for as long as the watermark, the slowest route's, is less than delay past
+    its time; so the state is bounded, and a copy that comes later than that is dropped with other late rows.
+    """
+    from graphloom.operators.derive import union_all
+
+    named = [r.withColumn("_time", F.col(at).cast("timestamp")).withWatermark("_time", delay) for r in routes]
+    known = union_all([r.withColumn("subject", subject_hash("record", *[F.col(k) for k in key])) for r in named])
+    return known.dropDuplicatesWithinWatermark(["subject"]).drop("_time")
+
+
 def current_round(messages: DataFrame, round_no: int) -> DataFrame:
     """Messages of this round; those of another are stale."""
     return messages.where(F.col("round") == round_no)
@@ -130,3 +144,31 @@ def rescore(features: DataFrame, labelled: DataFrame, keys: Sequence[str], model
         except Exception as fault:  # noqa: BLE001  the loop goes on, the fault is told
             faults.append(f"{model}: {fault}")
     return results, faults
+
+
+def rescore_every(
+    spark: SparkSession,
+    seconds: float,
+    load: Callable[[], tuple[DataFrame, DataFrame, DataFrame]],
+    keys: Sequence[str],
+    score: Callable[[DataFrame, object], DataFrame],
+    write: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    told: Callable[[str], None] = print,
+) -> StreamingQuery:
+    """Rescoring at a processing-time trigger: each batch loads features, labelled records and the newest models as of its start.
+
+    write(df, batch) takes each result; it must take a batch twice without harm.  Faults of single models are told and
+    do not stop the query.
+    """
+
+    def run(_: DataFrame, batch_id: int) -> None:
+        features, labelled, models = load()
+        results, faults = rescore(features, labelled, keys, models, score)
+        for fault in faults:
+            told(fault)
+        if results:
+            write(reduce(DataFrame.unionByName, results), batch_id)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", "1").load()
+    return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds:g} seconds").start()

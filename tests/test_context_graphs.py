@@ -13,7 +13,7 @@ from graphloom.operators import ranking, sampling
 from graphloom.operators.ranking import ranked
 from graphloom.plans.storage import new_path, table
 from graphloom.queries_context import SLOTS, VISITS, _from
-from graphloom.streaming import gather
+from graphloom.streaming import context, gather
 
 # ---- derivation graphs
 
@@ -189,3 +189,44 @@ def test_weighted_samples_of_groups(spark):
     out = sampling.weighted_sample(df, "id", "w", 0.1, 5, group=["g"])
     assert {(r["g"], r["count"]) for r in out.groupBy("g").count().collect()} == {(0, 33), (1, 33), (2, 33)}
     assert out.where("w <= 0").isEmpty()
+
+
+# ---- relays and triggers
+
+
+def test_a_record_by_two_routes_comes_once(spark):
+    rows = [(i, dt.datetime(2024, 1, 1 + i // 10, i % 10)) for i in range(100)]
+    df = spark.createDataFrame(rows, "k long, ts timestamp")
+    folders = [gather.replay(df, "ts", n, "t-relay") for n in (5, 2)]
+    routes = [spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "2").parquet(f) for f in folders]
+    out = context.relayed_view(routes, ["k"], "ts", "6 days")
+    path = new_path(spark, "t-sink")
+    gather.sink(out, path, new_path(spark, "t-state")).awaitTermination()
+    assert sorted(r["k"] for r in gather.read_sink(spark, path, out.schema).collect()) == list(range(100))
+
+
+def test_rescoring_takes_the_models_of_its_trigger(spark):
+    features = spark.createDataFrame([(i,) for i in range(6)], "k long")
+    models, labelled, scored = [("m1",)], [(0,)], []
+
+    def load():
+        return features, spark.createDataFrame(labelled, "k long"), spark.createDataFrame(models, "name string")
+
+    def write(df, batch):
+        scored.append(sorted((r["model"], r["k"]) for r in df.collect()))
+        labelled.extend((k,) for _, k in scored[-1] if k < 3)
+        models[:] = [("m2",), ("broken",)]
+
+    def score(todo, model):
+        if model["name"] == "broken":
+            raise ValueError("no weights")
+        return todo.select("k", F.lit(model["name"]).alias("model"))
+
+    told = []
+    job = context.rescore_every(spark, 0.5, load, ["k"], score, write, new_path(spark, "t-rescore"), told.append)
+    until = time.time() + 90
+    while len(scored) < 2 and time.time() < until:
+        time.sleep(0.1)
+    job.stop()
+    assert scored[0] == [("m1", k) for k in range(1, 6)] and scored[1] == [("m2", k) for k in (3, 4, 5)]
+    assert told and all("no weights" in x for x in told)
