@@ -175,7 +175,7 @@ def test_stages_take_odd_documents(spark, tmp_path):
 
 def test_registry():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in llm_queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(llm_queries.ORACLES) <= set(llm_queries.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "benchmark decontamination", "mixing sources", "token-ID output"]
 
@@ -184,7 +184,7 @@ def test_queries_match_sql(spark, sf_dir):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     for name, sql in llm_queries.ORACLES.items():
         got = llm_queries.QUERIES[name](spark, sf_dir)
