@@ -63,6 +63,8 @@ FURNITURE = frozenset(
 )
 #: Furniture words that boxes of an article's own text have as well.
 BOXES = frozenset("alert banner menu notice overlay popup promo search sponsor toolbar".split())
+#: Names of readers' comments: an element that holds other than a heading or paragraph is theirs also by its id.
+READERS = frozenset("comment comments commentlist respond disqus reply replies".split())
 #: Elements that are never furniture inside the main text by their name, and those that a reader clicks.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
 CLICKED = frozenset("a button".split())
@@ -174,7 +176,9 @@ class Element:
             return self.named(FURNITURE_OUTSIDE)
         if self.tag in PROSE:
             return False
-        return self.named(FURNITURE - BOXES, ("class",)) or (self.named(FURNITURE) and (self.mostly_links() or self.holds_articles()))
+        if self.named(FURNITURE - BOXES, ("class",)) or self.named(READERS):
+            return True
+        return self.named(FURNITURE) and (self.mostly_links() or self.holds_articles())
 
 
 def parse(page: str) -> Element:
