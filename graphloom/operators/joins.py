@@ -69,42 +69,64 @@ def require(df: DataFrame, found: str, key: str) -> DataFrame:
     return df
 
 
+#: Centers among a center's own cell, on average, from which nearest begins with narrower cells.
+CELL_SITES = 4
+
+
+def _narrow(sites: DataFrame, names: Sequence[str], width: float, least: float) -> float:
+    """width, quartered while a center shares its cell with more than CELL_SITES on average; sites are distinct positions."""
+    while width / 4 >= least:
+        held = sites.groupBy(*[F.floor(F.col(c) / width) for c in names]).agg(F.count(F.lit(1)).alias("n"))
+        r = held.agg((F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).alias("m")).first()
+        if r["m"] <= CELL_SITES:
+            break
+        width /= 4
+    return width
+
+
 def nearest(points: DataFrame, point_id: str, at: Sequence[str], centers: DataFrame, center_id: str, center_at: Sequence[str]) -> DataFrame:
     """point_id, center_id and distance2 of each point's nearest center (least id among equals).
 
+    Equal positions are one: of centers the least id stands for all, and points meet centers once a position.
     Both sides are laid on a grid and meet in the cells around a point.  A center found within one
     cell's width is the nearest; the other points go on with cells of four times the width, until
-    all are settled.  No pair outside of neighbouring cells is ever formed.
+    all are settled.  The first width follows the centers' density, so that a cell holds few of them however many
+    there are.  No pair outside of neighbouring cells is ever formed.
     """
-    sites = table(centers.select(F.col(center_id).alias("_c"), *[F.col(c).cast("double").alias(f"_y{i}") for i, c in enumerate(center_at)]).dropna(), "nearest-sites")
-    left = table(points.select(F.col(point_id).alias("_p"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(at)]).dropna(), "nearest-points")
     dims = range(len(at))
+    xs, ys = [f"_x{i}" for i in dims], [f"_y{i}" for i in dims]
+    every = centers.select(F.col(center_id).alias("_c"), *[F.col(c).cast("double").alias(y) for c, y in zip(center_at, ys, strict=True)]).dropna()
+    sites = table(every.groupBy(*ys).agg(F.min("_c").alias("_c")), "nearest-sites")
+    asked = points.select(F.col(point_id).alias("_p"), *[F.col(c).cast("double").alias(x) for c, x in zip(at, xs, strict=True)]).dropna()
+    left = table(asked.select(*xs).distinct(), "nearest-points")
     ends = sites.agg(F.count(F.lit(1)).alias("n"), *[f(f"_y{i}").alias(f"{f.__name__}{i}") for i in dims for f in (F.min, F.max)]).first()
     if not ends["n"]:
-        return left.select(F.col("_p").alias(point_id), F.lit(None).cast(dict(centers.dtypes)[center_id]).alias(center_id), F.lit(None).cast("double").alias("distance2"))
+        return asked.select(F.col("_p").alias(point_id), F.lit(None).cast(dict(centers.dtypes)[center_id]).alias(center_id), F.lit(None).cast("double").alias("distance2"))
     far = left.agg(*[F.max(F.abs(F.col(f"_x{i}"))).alias(f"m{i}") for i in dims]).first()
     span = max([ends[f"max{i}"] - ends[f"min{i}"] for i in dims] + [0.0])
     reach = max([abs(v) for i in dims for v in (ends[f"max{i}"], ends[f"min{i}"], far[f"m{i}"] or 0.0)] + [1e-9])
     width = max(2 * span / max(1.0, ends["n"] ** (1 / len(at))), reach * 1e-6)
+    width = _narrow(sites, ys, width, reach * 1e-6)
     settled = None
     while True:
         last = width > 4 * reach  # one cell and its neighbours hold everything
-        cells = [F.floor(F.col(f"_x{i}") / width).alias(f"_g{i}") for i in dims]
+        cells = [F.floor(F.col(x) / width).alias(f"_g{i}") for i, x in enumerate(xs)]
         around = left.select("*", *cells)
         for i in dims:
             around = around.withColumn(f"_g{i}", F.explode(F.sequence(F.col(f"_g{i}") - 1, F.col(f"_g{i}") + 1)))
-        placed = sites.select("*", *[F.floor(F.col(f"_y{i}") / width).alias(f"_g{i}") for i in dims])
-        distance = sum(((F.col(f"_x{i}") - F.col(f"_y{i}")) * (F.col(f"_x{i}") - F.col(f"_y{i}")) for i in dims), F.lit(0.0))
-        best = around.join(small(placed), [f"_g{i}" for i in dims]).groupBy("_p").agg(F.min(F.struct(distance.alias("d"), F.col("_c").alias("c"))).alias("b"))
-        found = table(best.where(F.lit(last) | (F.col("b.d") <= width * width)).select("_p", F.col("b.c").alias("_c"), F.col("b.d").alias("_d")), "nearest-found")
+        placed = sites.select("*", *[F.floor(F.col(y) / width).alias(f"_g{i}") for i, y in enumerate(ys)])
+        distance = sum(((F.col(x) - F.col(y)) * (F.col(x) - F.col(y)) for x, y in zip(xs, ys, strict=True)), F.lit(0.0))
+        best = around.join(small(placed), [f"_g{i}" for i in dims]).groupBy(*xs).agg(F.min(F.struct(distance.alias("d"), F.col("_c").alias("c"))).alias("b"))
+        found = table(best.where(F.lit(last) | (F.col("b.d") <= width * width)).select(*xs, F.col("b.c").alias("_c"), F.col("b.d").alias("_d")), "nearest-found")
         settled = found if settled is None else settled.unionByName(found)
         if last:
             break
-        left = table(left.join(found.select("_p"), "_p", "left_anti"), "nearest-points")
+        left = table(left.join(found.select(*xs), xs, "left_anti"), "nearest-points")
         if left.isEmpty():
             break
         width *= 4
-    return settled.select(F.col("_p").alias(point_id), F.col("_c").alias(center_id), F.col("_d").alias("distance2"))
+    met = asked.join(settled, xs).groupBy("_p").agg(F.min(F.struct("_d", "_c")).alias("b"))
+    return table(met.select(F.col("_p").alias(point_id), F.col("b._c").alias(center_id), F.col("b._d").alias("distance2")), "nearest")
 
 
 def convert_units(df: DataFrame, value: str, unit: str, to: str, units: DataFrame) -> DataFrame:

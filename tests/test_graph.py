@@ -181,6 +181,30 @@ def test_nearest_matches_brute_force(spark):
     assert joins.nearest(p, "p", ["x"], c.limit(0), "c", ["x"]).where("c is null").count() == 201
 
 
+def test_nearest_meets_few_centers_however_many_there_are(spark, monkeypatch):
+    """Centers on a few lines, copied many times: a cell of the first grid holds few of them, and equal positions are one."""
+    import random
+
+    rng = random.Random(6)
+    centers = [(i, round(rng.uniform(-1000, 10000), 2), float(rng.randrange(5))) for i in range(400)]
+    centers += [(i + 400 * k, x, y) for k in range(1, 20) for i, x, y in centers]
+    points = [(i, round(rng.uniform(-1000, 10000), 2), float(rng.randrange(5))) for i in range(100)]
+    points += [(i + 100, x, y) for i, x, y in points] + [(0, 5.0, 2.0)]
+    held, small = [], joins.small
+
+    def seen(df, *more):
+        if "_g0" in df.columns:
+            held.append([r["count"] for r in df.groupBy("_g0", "_g1").count().collect()])
+        return small(df, *more)
+
+    monkeypatch.setattr(joins, "small", seen)
+    p, c = spark.createDataFrame(points, "p int, x double, y double"), spark.createDataFrame(centers, "c int, x double, y double")
+    got = joins.nearest(p, "p", ["x", "y"], c, "c", ["x", "y"]).collect()
+    best = {i: min(min(((x - a) ** 2 + (y - b) ** 2, k) for k, a, b in centers) for j, x, y in points if j == i) for i, _, _ in points}
+    assert {r["p"]: (r["distance2"], r["c"]) for r in got} == best and len(got) == 200
+    assert sum(n * n for n in held[0]) / sum(held[0]) <= 8 and sum(held[0]) <= 400
+
+
 def test_division_and_latest(spark):
     have = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 1), ("c", 3)], "n string, i int")
     assert [r[0] for r in joins.division(have, "n", "i", [1, 2, 2]).collect()] == ["a"]
