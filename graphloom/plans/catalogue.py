@@ -7,6 +7,7 @@ visibility, acquires, implements, acquired, hasStatus, and so on.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 from graphloom.errors import NotFound
 from graphloom.operators.closure import path_closure
 from graphloom.operators.derive import ContextClass
-from graphloom.operators.joins import division, latest
+from graphloom.operators.joins import division
 from graphloom.operators.update import GraphStore
-from graphloom.plans.pattern import Solutions, TripleGraph, bgp
+from graphloom.plans.pattern import Solutions, TripleGraph, bgp, construct_all, semi_join
+from graphloom.plans.storage import small, table
 
 TRIPLES = "s string, p string, o string"
 
@@ -151,54 +153,69 @@ def _contexts(graph: TripleGraph, layout: str) -> Solutions:
     return features.union(bgp(graph, (f"?{layout}", "hasTarget", "?target")).bind("ctx", "target"))
 
 
+def _written(found: Solutions, name: str) -> Solutions:
+    """found, written once, as several parts of an answer use it."""
+    return Solutions(table(found.df, name), found.maybe)
+
+
 def task_dependencies(graph: TripleGraph, algorithm: str, tasks: Sequence[str] | None = None, default: str = "SupervisedLearning") -> DataFrame:
     """The graph that tasks (by default all) need: layout and paradigm, features and targets with their attributes and
     derivations, the classes they depend on, and what the algorithm acquires, if it is of a task's paradigm.
 
     A task without a paradigm has the default one; a context without attributes gives nothing.
+    Tasks, contexts and attributes are each said by themselves: their joined solutions would grow as the product of them.
     """
     task = bgp(graph, ("?task", "a", "LearningTaskLayout"))
     task = (task.values("task", tasks) if tasks is not None else task).optional(bgp(graph, ("?task", "requiresParadigm", "?p")))
     layout = task.bind("paradigm", F.coalesce("p", F.lit(default))).join(_contexts(graph, "task"))
     typed = layout.join(bgp(graph, ("?ctx", "a", "Class"))).optional(bgp(graph, ("?ctx", "visibility", "?vis")))
+    typed = _written(typed, "task-contexts")
     attributes = bgp(graph, ("?ctx", "subClassOf", "?att"), ("?att", "a", "WithAttribute"), ("?att", "onProperty", "?prop"))
-    attributes = attributes.optional(bgp(graph, ("?att", "onRange", "?range"))).optional(bgp(graph, ("?att", "isKey", "?key")))
+    attributes = semi_join(attributes, typed.project("ctx")).optional(bgp(graph, ("?att", "onRange", "?range"))).optional(bgp(graph, ("?att", "isKey", "?key")))
+    attributes = _written(attributes.optional(_derivations(graph)), "task-attributes")
     known = bgp(graph, ("?algo", "a", "MlAlgorithm"), ("?algo", "inParadigm", "?paradigm")).values("algo", [algorithm])
     known = known.optional(bgp(graph, ("?algo", "acquires", "?mlCtx")))
-    found = typed.join(attributes.optional(_derivations(graph))).optional(known)
+    found = _written(semi_join(typed, attributes.project("ctx")), "task-contexts")
     about_task = [
         ("?task", "a", "LearningTaskLayout"),
         ("?task", "hasFeature", "?feature"),
         ("?task", "hasTarget", "?target"),
         ("?task", "requiresParadigm", "?paradigm"),
-        ("?task", "dependsOn", "?dvDomain"),
-        (F.when(F.col("algo").isNotNull(), F.col("algo")), "a", "MlAlgorithm"),
-        ("?algo", "acquires", "?mlCtx"),
         ("?ctx", "a", "ContextClass"),
         ("?ctx", "visibility", "?vis"),
     ]
-    return found.construct([*about_task, *_ATTRIBUTES])
+    needs = found.project("task", "ctx").distinct().join(attributes.project("ctx", "dvDomain").distinct())
+    about_algorithm = [("?algo", "a", "MlAlgorithm"), ("?algo", "acquires", "?mlCtx")]
+    return construct_all(
+        (found, about_task),
+        (needs, [("?task", "dependsOn", "?dvDomain")]),
+        (semi_join(known, found.project("paradigm")), about_algorithm),
+        (attributes, _ATTRIBUTES),
+    )
 
 
 def model_entries(graph: TripleGraph) -> DataFrame:
     """The newest model of each layout, with the layout's contexts, their attributes and derivations.
 
     Attributes without a range or key mark do not count; a layout without such attributes gives no entry.
+    Models, layouts and attributes are each said by themselves: a layout's models and its attributes never meet.
     """
-    about = bgp(graph, ("?model", "fromAlgorithm", "?algo"), ("?model", "forTask", "?task"))
-    newest = Solutions(latest_models(graph).select("layout", "model")).join(about)
+    newest = _written(Solutions(latest_models(graph).select("layout", "model")), "newest-models")
+    about = [semi_join(bgp(graph, ("?model", p, v)), newest.project("model")) for p, v in (("fromAlgorithm", "?algo"), ("forTask", "?task"))]
+    newest = _written(reduce(Solutions.join, about, newest), "newest-models")
     attributes = bgp(graph, ("?ctx", "hasAttribute", "?att"), ("?att", "onProperty", "?prop"), ("?att", "isKey", "?key"), ("?att", "onRange", "?range"))
-    found = newest.join(_contexts(graph, "layout")).join(attributes.optional(_derivations(graph)))
+    attributes = _written(semi_join(attributes, _contexts(graph, "layout").project("ctx")).optional(_derivations(graph)), "model-attributes")
+    contexts = semi_join(semi_join(_contexts(graph, "layout"), newest.project("layout")), attributes.project("ctx"))
+    contexts = _written(contexts, "model-contexts")
     about_model = [
         ("?model", "a", "ModelEntry"),
         ("?model", "fromAlgorithm", "?algo"),
         ("?model", "forTask", "?task"),
         ("?model", "forLayout", "?layout"),
-        ("?layout", "a", "LearningTaskLayout"),
-        ("?layout", "hasTarget", "?target"),
-        ("?layout", "hasFeature", "?feature"),
     ]
-    return found.construct([*about_model, *_ATTRIBUTES])
+    about_layout = [("?layout", "a", "LearningTaskLayout"), ("?layout", "hasTarget", "?target"), ("?layout", "hasFeature", "?feature")]
+    models = semi_join(newest, contexts.project("layout"))
+    return construct_all((models, about_model), (contexts, about_layout), (semi_join(attributes, contexts.project("ctx")), _ATTRIBUTES))
 
 
 def compatible_nodes(graph: TripleGraph, algorithm: str, classes: Sequence[str]) -> DataFrame:
@@ -232,4 +249,5 @@ def predictions(graph: TripleGraph) -> Solutions:
 def latest_models(graph: TripleGraph) -> DataFrame:
     """layout, model and at of each layout's newest model; equally new ones all stay."""
     found = bgp(graph, ("?model", "a", "ModelEntry"), ("?model", "forLayout", "?layout"), ("?model", "acquiredAt", "?at")).df
-    return latest(found.select("layout", "model", "at"), ["layout"], "at")
+    models = table(found.select("layout", "model", "at"), "models")
+    return models.join(small(models.groupBy("layout").agg(F.max("at").alias("at"))), ["layout", "at"], "left_semi")

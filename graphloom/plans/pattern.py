@@ -133,8 +133,8 @@ class Solutions:
     def ask(self) -> bool:
         return not self.df.isEmpty()
 
-    def construct(self, template: Sequence[tuple[Any, Any, Any]]) -> DataFrame:
-        """The set of triples s, p, o of the template; those with an unbound part are left out.
+    def construct(self, template: Sequence[tuple[Any, Any, Any]], distinct: bool = True) -> DataFrame:
+        """The set (or with distinct off the bag) of triples s, p, o of the template; those with an unbound part are left out.
 
         ``?name`` is a variable, ``_:name`` a node that is fresh for each solution but the same
         within it and on every run, since it is named by a hash of the solution; columns are expressions.
@@ -152,7 +152,8 @@ class Solutions:
 
         triples = F.array(*[F.struct(term(s).alias("s"), term(p).alias("p"), term(o).alias("o")) for s, p, o in template])
         out = self.df.select(F.explode(triples).alias("t")).select("t.s", "t.p", "t.o")
-        return out.where(F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull()).distinct()
+        out = out.where(F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull())
+        return out.distinct() if distinct else out
 
     def rows(self, cls: Callable[..., Any]) -> Iterable[Any]:
         """The solutions as objects, by name; unbound variables are left out.  For small results."""
@@ -342,6 +343,11 @@ def values(spark: SparkSession, name: str, items: Sequence[Any], kind: str) -> S
     return Solutions(spark.createDataFrame([(i,) for i in items], f"`{name}` {kind}"))
 
 
+def construct_all(*parts: tuple[Solutions, Sequence[tuple[Any, Any, Any]]]) -> DataFrame:
+    """The set of triples that solutions and their templates give together."""
+    return reduce(DataFrame.unionByName, [found.construct(template, distinct=False) for found, template in parts]).distinct()
+
+
 def semi_join(left: Solutions, right: Solutions) -> Solutions:
     """left's solutions that agree with one of right, which is broadcast if it is small."""
     on = left._shared(right)

@@ -6,7 +6,7 @@ from graphloom.errors import NotFound
 from graphloom.operators import derive, infer
 from graphloom.operators.update import GraphStore
 from graphloom.plans import catalogue
-from graphloom.plans.pattern import TripleGraph
+from graphloom.plans.pattern import Solutions, TripleGraph
 from graphloom.plans.storage import new_path
 
 CLASSES = [
@@ -91,3 +91,28 @@ def test_seed(spark, store):
     one = spark.createDataFrame([("a", "b", "c")], catalogue.TRIPLES)
     store.seed(one, one, spark.createDataFrame([("d", "e", "f")], catalogue.TRIPLES))
     assert sorted(tuple(r) for r in store.triples().collect()) == [("a", "b", "c"), ("d", "e", "f")]
+
+
+def test_models_and_attributes_never_multiply(spark, monkeypatch):
+    """A layout's equally new models and its contexts' attributes are each said once, not as pairs; so are tasks and attributes."""
+    n, rows = 30, [("l", "hasFeature", "c"), ("l", "hasTarget", "c"), ("l", "hasTarget", "none"), ("l", "a", "LearningTaskLayout"), ("c", "a", "Class"), ("none", "a", "Class")]
+    for i in range(n):
+        rows += [(f"m{i}", "a", "ModelEntry"), (f"m{i}", "forLayout", "l"), (f"m{i}", "acquiredAt", "2024"), (f"m{i}", "fromAlgorithm", "x"), (f"m{i}", "forTask", "t")]
+        rows += [("c", "hasAttribute", f"a{i}"), ("c", "subClassOf", f"a{i}"), (f"a{i}", "a", "WithAttribute")]
+        rows += [(f"a{i}", "onProperty", "p"), (f"a{i}", "isKey", "true"), (f"a{i}", "onRange", "r")]
+        rows += [(f"k{i}", "a", "LearningTaskLayout"), (f"k{i}", "hasFeature", "c")]
+    graph, counts, construct = TripleGraph(spark.createDataFrame(rows, "s string, p string, o string")), [], Solutions.construct
+
+    def counted(found, *more, **options):
+        counts.append(found.df.count())
+        return construct(found, *more, **options)
+
+    monkeypatch.setattr(Solutions, "construct", counted)
+    models = {tuple(r) for r in catalogue.model_entries(graph).collect()}
+    said = {(f"m{i}", p, o) for i in range(n) for p, o in (("a", "ModelEntry"), ("forLayout", "l"), ("fromAlgorithm", "x"), ("forTask", "t"))}
+    said |= {(s, p, o) for i in range(n) for s, p, o in (("c", "hasAttribute", f"a{i}"), (f"a{i}", "onProperty", "p"), (f"a{i}", "isKey", "true"), (f"a{i}", "onRange", "r"))}
+    assert models == said | {("l", "a", "LearningTaskLayout"), ("l", "hasFeature", "c"), ("l", "hasTarget", "c")}
+    assert max(counts) <= 2 * n
+    counts.clear()
+    assert catalogue.task_dependencies(graph, "x").count() == 3 * (n + 1) + 2 + 3 * n + n  # l's target too; c's class; attributes with key and range
+    assert max(counts) <= 2 * n + 4
