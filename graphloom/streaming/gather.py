@@ -1,12 +1,13 @@
 """Rounds on streams: the first n answers of each round, or what came until its deadline.
 
-A round is keyed state with an event-time timer.  It holds the n earliest answers so far and is
+A round is keyed state with an event-time timer, held with the other rounds of its shard.  It holds the n earliest answers so far and is
 due when the watermark passes the n-th of them, so that no earlier one can come, or else its deadline.  The result hangs on
 event times alone: neither the order of arrival nor a restart changes it.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -19,6 +20,8 @@ from graphloom.plans.storage import importable, new_path
 RUNNING, COMPLETE, TIMED_OUT = "Running", "Complete", "TimedOut"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ANSWERS = "array<struct<at: long, id: string>>"
+#: Shards that rounds are dealt into; a checkpoint holds for one number.  A task holds the open rounds of one shard at a time, and a batch rewrites those it touches.
+SHARDS = 256
 
 
 def _ms(micros: int) -> int:
@@ -26,54 +29,67 @@ def _ms(micros: int) -> int:
 
 
 class Rounds(StatefulProcessor):
-    """State of one round: its earliest answers (at in microseconds, id), the deadline, and whether it is over."""
+    """State of the open rounds of one shard: each round's deadline and earliest answers (at in microseconds, id), None once it is over.
+
+    The rounds of a shard are read and written as one value, with one timer at the first that is due; a
+    value and a timer for each round would cost several calls to the state store for each.
+    """
 
     def __init__(self, keys: Sequence[str], n: int, running: bool) -> None:
         self.keys, self.n, self.running = list(keys), n, running
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.answers = handle.getListState("answers", "at long, id string")
-        self.deadline = handle.getValueState("deadline", "at long")
-        self.over = handle.getValueState("over", "is boolean")
+        self.rounds = handle.getValueState("rounds", "held binary")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if self.over.exists():
-            return
-        held = [(r[0], r[1]) for r in self.answers.get()]
-        fresh, deadline = not held, None
-        for r in rows:
-            if r["_at"] <= r["_deadline"]:
-                held.append((r["_at"], r["_id"]))
-                deadline = r["_deadline"]
-        if deadline is None:
-            return
-        held = sorted(held)[: self.n]
-        self.answers.put(held)
-        if fresh:
-            self.deadline.update((deadline,))
-        due = _ms(held[-1][0] if len(held) == self.n else deadline)
+    def _held(self) -> dict[tuple, list]:
+        return pickle.loads(self.rounds.get()[0]) if self.rounds.exists() else {}
+
+    def _due(self, deadline: int, answers: list | None) -> int:
+        return _ms(answers[-1][0] if answers and len(answers) == self.n else deadline)
+
+    def _keep(self, held: dict[tuple, list]) -> None:
+        """The shard's rounds and its timer from now on."""
+        first = min((self._due(*r) for r in held.values()), default=None)
         for t in list(self.handle.listTimers()):
-            if t != due:
+            if t != first:
                 self.handle.deleteTimer(t)
-        self.handle.registerTimer(due)
-        if fresh and self.running:
-            yield self._row(key, RUNNING, [])
+        if first is None:
+            self.rounds.clear()
+        else:
+            self.rounds.update((pickle.dumps(held, pickle.HIGHEST_PROTOCOL),))
+            self.handle.registerTimer(first)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held, touched, places = self._held(), set(), len(self.keys)
+        for r in rows:
+            own, (at, answer, deadline) = tuple(r[1 : places + 1]), r[-3:]
+            if at > deadline:
+                continue
+            known = held.get(own)
+            if known is None:
+                held[own] = [deadline, [(at, answer)]]
+                if self.running:
+                    yield self._row(own, RUNNING, [])
+            elif known[1] is not None:
+                known[1].append((at, answer))
+                touched.add(own)
+        for own in touched:
+            held[own][1] = sorted(held[own][1])[: self.n]
+        self._keep(held)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.over.exists():  # its deadline has come, nothing of it can come any more
-            self.over.clear()
-            self.deadline.clear()
-            return
-        held = [(r[0], r[1]) for r in self.answers.get()]
-        deadline = self.deadline.get()[0]
-        self.answers.clear()
-        if len(held) == self.n and _ms(held[-1][0]) < _ms(deadline):
-            self.over.update((True,))
-            self.handle.registerTimer(_ms(deadline))
-        else:
-            self.deadline.clear()
-        yield self._row(key, COMPLETE if len(held) == self.n else TIMED_OUT, held)
+        held, now = self._held(), max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        for own, (deadline, answers) in list(held.items()):
+            if self._due(deadline, answers) > now:
+                continue
+            if answers is not None:
+                yield self._row(own, COMPLETE if len(answers) == self.n else TIMED_OUT, answers)
+            if _ms(deadline) <= now:  # nothing of it can come any more
+                del held[own]
+            else:
+                held[own][1] = None
+        self._keep(held)
 
     def _row(self, key: tuple, status: str, held: list) -> Row:
         return Row(*self.keys, "status", "answers")(*key, status, [Row(at=a, id=i) for a, i in held])
@@ -101,10 +117,11 @@ def gather(
     known = F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull()
     # one condition on time and keys stays above the watermark, so rows without a key move it too
     whole = held.where(F.when(F.col("_time").isNotNull(), known).otherwise(F.lit(False)))
-    rows = whole.select(*keys, "_time", micros.alias("_at"), F.col(answer).cast("string").alias("_id"), limit.alias("_deadline"))
+    shard = F.pmod(F.xxhash64(*keys), F.lit(SHARDS)).alias("_shard")
+    rows = whole.select(shard, *keys, "_time", micros.alias("_at"), F.col(answer).cast("string").alias("_id"), limit.alias("_deadline"))
     fields = [T.StructField(k, rows.schema[k].dataType) for k in keys]
     out = T.StructType([*fields, T.StructField("status", T.StringType()), T.StructField("answers", T.StructType.fromDDL(f"a {ANSWERS}")["a"].dataType)])
-    return rows.groupBy(*keys).transformWithState(Rounds(keys, n, running), out, "Append", "EventTime")
+    return rows.groupBy("_shard").transformWithState(Rounds(keys, n, running), out, "Append", "EventTime")
 
 
 def replay(df: DataFrame, at: str, slices: int, name: str, until: Column | None = None) -> str:

@@ -230,3 +230,58 @@ def test_rescoring_takes_the_models_of_its_trigger(spark):
     job.stop()
     assert scored[0] == [("m1", k) for k in range(1, 6)] and scored[1] == [("m2", k) for k in (3, 4, 5)]
     assert told and all("no weights" in x for x in told)
+
+
+def test_rounds_of_a_shard_share_a_value_and_a_timer():
+    """Calls to the state store do not grow with the rounds of a shard."""
+    calls = []
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+    class Handle:
+        timers: set = set()
+
+        def getValueState(self, *_):
+            return Value()
+
+        def listTimers(self):
+            return iter(set(self.timers))
+
+        def registerTimer(self, t):
+            calls.append("timer")
+            self.timers.add(t)
+
+        def deleteTimer(self, t):
+            self.timers.discard(t)
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    state = gather.Rounds(["user"], 2, True)
+    state.init(Handle())
+    answers = [(0, user, None, at * 1000, str(at), 50_000) for user in range(500) for at in ((9, 3, 5) if user % 2 else (60, 7))]
+    rows = [gather.Row("_shard", "user", "_time", "_at", "_id", "_deadline")(*a) for a in answers]
+    begun = list(state.handleInputRows((0,), iter(rows), Now(0)))
+    assert len(begun) == 500 and len(calls) <= 3 and Handle.timers == {5}
+    early = list(state.handleExpiredTimer((0,), Now(5), Now(5)))
+    assert {(r["user"], r["status"], tuple(a["id"] for a in r["answers"])) for r in early} == {(u, "Complete", ("3", "5")) for u in range(1, 500, 2)}
+    assert not list(state.handleInputRows((0,), iter(rows[2:3]), Now(5)))  # a round that is over does not begin again
+    late = list(state.handleExpiredTimer((0,), Now(50), Now(50)))
+    assert {(r["user"], r["status"], tuple(a["id"] for a in r["answers"])) for r in late} == {(u, "TimedOut", ("7",)) for u in range(0, 500, 2)}
+    assert not state.rounds.exists() and len(calls) <= 12
